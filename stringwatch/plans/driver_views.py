@@ -44,10 +44,14 @@ def epoch(column: str, name: str) -> Column:
     return F.unix_seconds(F.col(column)).alias(name)
 
 
+def plant_of(supplier: str) -> Column:
+    """Ten suppliers make a plant."""
+    return F.floor(F.col(supplier) / 10).cast("string")
+
+
 def _lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
-        F.floor(F.col("l_suppkey") / 10).cast("string").alias("plant_id"),
-        F.col("l_suppkey").cast("string").alias("device_no"),
+        F.col("l_suppkey").alias("supplier"),
         F.floor(day_number("l_shipdate") / SLOT_DAYS).cast("int").alias("slot"),
         (F.col("l_partkey") % STRINGS + 1).cast("int").alias("string_no"),
         (F.col("l_quantity") - 1).cast("long").alias("q"),
@@ -68,7 +72,7 @@ def device_table(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.count_if(mine).alias(f"n{s}"),
             F.count_if(mine & F.col("returned")).alias(f"r{s}"),
         ]
-    grouped = source.groupBy("plant_id", "device_no", "slot").agg(*aggregates)
+    grouped = source.groupBy("supplier", "slot").agg(*aggregates)
     currents = {f"string_current_{s:02d}": F.try_divide(F.col(f"q{s}").cast("double"), F.col(f"n{s}")) for s in range(1, STRINGS + 1)}
     statuses = {
         f"string_status_{s:02d}": F.when(F.col(f"n{s}") == 0, F.lit(None).cast("int"))
@@ -79,8 +83,8 @@ def device_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     return grouped.select(
         F.timestamp_seconds(slot_epoch(F.col("slot"))).alias("event_time"),
-        "plant_id",
-        "device_no",
+        plant_of("supplier").alias("plant_id"),
+        F.col("supplier").cast("string").alias("device_no"),
         (F.col("d") * 10.0 / F.col("n")).alias("active_power"),
         F.lit(100.0).alias("rated_power"),
         F.when(F.col("n") % 11 == 0, 5).otherwise(1).alias("status_code"),
