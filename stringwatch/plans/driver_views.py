@@ -10,7 +10,7 @@ number of devices is the number of suppliers.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 STRINGS = 12
@@ -117,3 +117,131 @@ pts as (
          {EPOCH} + (slot // {SLOTS_PER_DAY}) * 86400 + (slot % {SLOTS_PER_DAY}) * 300 as epoch
   from li group by plant, dev, slot, s)
 """
+
+# --- other views -----------------------------------------------------------
+
+DAY_OF_SLOT = f"({EPOCH} + (slot // {SLOTS_PER_DAY}) * 86400 + (slot % {SLOTS_PER_DAY}) * 300)"
+
+
+def weather_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forecast and, with holes, measured irradiance per plant and 15 minutes."""
+    source = table(spark, sf_dir, "lineitem").select(
+        F.floor(F.col("l_suppkey") / 10).alias("plant"),
+        F.floor(day_number("l_shipdate") / SLOT_DAYS).cast("int").alias("slot"),
+        F.round(F.col("l_discount") * 100).cast("long").alias("d"),
+        F.round(F.col("l_tax") * 100).cast("long").alias("x"),
+    )
+    at = slot_epoch(F.col("slot"))
+    grouped = source.groupBy("plant", (at - F.pmod(at, F.lit(900))).alias("at")).agg(
+        F.sum("d").alias("d"), F.sum("x").alias("x"), F.count(F.lit(1)).alias("n")
+    )
+    return grouped.select(
+        F.timestamp_seconds("at").alias("time"),
+        F.col("plant").cast("string").alias("plant_id"),
+        (F.col("d") * 100.0 / F.col("n")).alias("forecast_ghi"),
+        F.when(F.col("x") % 3 != 0, F.col("x") * 100.0 / F.col("n")).alias("sensor_ghi"),
+    )
+
+
+SQL_WEATHER = f"""
+wx as (
+  select plant, {DAY_OF_SLOT} // 900 * 900 as wt, sum(d) * 100.0 / count(*) as forecast_ghi,
+         case when sum(x) % 3 <> 0 then sum(x) * 100.0 / count(*) end as sensor_ghi
+  from li group by plant, {DAY_OF_SLOT} // 900 * 900)
+"""
+
+
+def raw_alarm_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as an alarm file: everything text, some rows malformed."""
+    key = F.col("o_orderkey")
+    start = slot_epoch(F.floor(day_number("o_orderdate") / SLOT_DAYS)) + key % 5 * 60
+    device = F.floor(F.col("o_custkey") / 15)
+    length = F.when(key % 89 == 0, F.lit(-60)).otherwise(key % 40 * 60)
+    return table(spark, sf_dir, "orders").select(
+        key.cast("string").alias("id"),
+        F.when(F.col("o_orderstatus") == "F", "101001")
+        .when(F.col("o_orderstatus") == "O", "101002")
+        .otherwise("999")
+        .alias("alarm_code"),
+        F.when(key % 4 == 0, "")
+        .when(key % 4 == 1, F.concat((key % 12 + 1).cast("string"), F.lit(", "), (key % 7 + 1).cast("string")))
+        .otherwise((key % 12 + 1).cast("string"))
+        .alias("alarm_string"),
+        F.concat(F.lit(" "), device.cast("string"), F.lit(" ")).alias("device_no"),
+        F.concat(F.lit("station-"), F.floor(device / 10).cast("string")).alias("station_name"),
+        F.when(key % 97 == 0, "bad").otherwise((start * 1000).cast("string")).alias("raise_time"),
+        ((start + length) * 1000).cast("string").alias("end_time"),
+    )
+
+
+def station_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stations of the suppliers' plants; every seventh plant is not mapped."""
+    plant = F.floor(F.col("s_suppkey") / 10)
+    return (
+        table(spark, sf_dir, "supplier")
+        .select(plant.alias("plant"))
+        .distinct()
+        .where(F.col("plant") % 7 != 3)
+        .select(
+            F.concat(F.lit("station-"), F.col("plant").cast("string")).alias("station_name"),
+            F.col("plant").cast("string").alias("plant_id"),
+        )
+    )
+
+
+SQL_ALARMS = f"""
+od as (
+  select *, cast(floor(date_diff('day', date '1995-01-01', cast(o_orderdate as date)) / {SLOT_DAYS}.0) as bigint) as slot,
+         o_custkey // 15 as dev from orders),
+al as (
+  select o_orderkey as id, dev, dev // 10 as st_plant,
+         case o_orderstatus when 'F' then '101001' when 'O' then '101002' else '999' end as code,
+         case when o_orderkey % 4 = 0 then []
+              when o_orderkey % 4 = 1 then [o_orderkey % 12 + 1, o_orderkey % 7 + 1]
+              else [o_orderkey % 12 + 1] end as strings,
+         {DAY_OF_SLOT} + o_orderkey % 5 * 60 as rt,
+         {DAY_OF_SLOT} + o_orderkey % 5 * 60 + o_orderkey % 40 * 60 as et
+  from od where o_orderkey % 97 <> 0 and o_orderkey % 89 <> 0),
+alc as (
+  select *, case when st_plant % 7 <> 3 and st_plant in (select distinct s_suppkey // 10 from supplier) then st_plant end as plant
+  from al where code in ('101001', '101002'))
+"""
+
+RATED = 100.0
+
+
+def residual_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily mean event value per user against the day before as forecast."""
+    daily = (
+        table(spark, sf_dir, "events")
+        .select(
+            F.col("user_id").alias("user"),
+            F.unix_date(F.to_date("ts")).alias("day"),
+            F.round(F.col("value") * 100).cast("long").alias("cents"),
+        )
+        .groupBy("user", "day")
+        .agg(F.sum("cents").alias("cents"), F.count(F.lit(1)).alias("n"))
+        .withColumn("actual", F.col("cents") / 100.0 / F.col("n"))
+    )
+    previous = F.lag("actual").over(Window.partitionBy("user").orderBy("day"))
+    return daily.select(
+        F.timestamp_seconds(F.col("day").cast("long") * 86_400).alias("target_time"),
+        F.floor(F.col("user") / 15).cast("string").alias("plant_id"),
+        F.col("user").cast("string").alias("device_no"),
+        F.lit(RATED).alias("rated_power"),
+        F.col("actual").alias("actual_power"),
+        F.coalesce(previous, F.lit(20.0)).alias("predicted_power"),
+        (F.col("actual") / RATED).alias("actual_power_ratio"),
+    )
+
+
+SQL_RESIDUALS = """
+dl as (
+  select user_id // 15 as plant, user_id as dev, date_diff('day', date '1970-01-01', cast(ts as date)) as day,
+         sum(cast(round(value * 100) as bigint)) / 100.0 / count(*) as actual
+  from events group by all),
+rs as (
+  select *, coalesce(lag(actual) over (partition by plant, dev order by day), 20.0) as predicted, actual / 100.0 as ratio from dl),
+res as (
+  select *, (predicted - actual) / 100.0 as u, ratio between 0.1 and 1.1 as ok from rs)
+"""
