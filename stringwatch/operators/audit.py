@@ -86,9 +86,9 @@ def deltas(
         line = runs.Timeline((*line_keys, "_day"), time)
     else:
         line = runs.Timeline(line_keys, time, chunk_minutes=chunk_minutes)
-    result = runs.with_previous(times, line, {"_previous": F.col(time)})
-    minutes = (micros(time) - F.unix_micros("_previous")) / MICROS_PER_MINUTE
-    return result.withColumn("delta_minutes", minutes).drop("_previous", "_day")
+    result = runs.with_previous(times, line, {"_previous_time": F.col(time)})
+    minutes = (micros(time) - F.unix_micros("_previous_time")) / MICROS_PER_MINUTE
+    return result.withColumn("delta_minutes", minutes).drop("_previous_time", "_day")
 
 
 def estimated_missing(delta: Column, interval_minutes: int) -> Column:

@@ -71,7 +71,7 @@ def with_previous(frame: DataFrame, line: Timeline, columns: Mapping[str, Column
     """Add values of the previous row of the same key, null on the first."""
     packed = F.struct(*[value.alias(name) for name, value in columns.items()])
     if line.chunk_minutes is None:
-        result = frame.withColumn("_previous", F.lag(packed).over(line.local_window()))
+        result = frame.withColumn("_previous_row", F.lag(packed).over(line.local_window()))
     else:
         by_chunk = Window.partitionBy(*line.keys).orderBy(_CHUNK)
         result = _with_carry(
@@ -81,9 +81,9 @@ def with_previous(frame: DataFrame, line: Timeline, columns: Mapping[str, Column
             {"_carry": F.lag("_last").over(by_chunk)},
         )
         result = result.withColumn(
-            "_previous", F.coalesce(F.lag("_row").over(line.local_window()), "_carry")
+            "_previous_row", F.coalesce(F.lag("_row").over(line.local_window()), "_carry")
         ).drop("_carry", "_row", _CHUNK)
-    return result.withColumns({name: F.col(f"_previous.{name}") for name in columns}).drop("_previous")
+    return result.withColumns({name: F.col(f"_previous_row.{name}") for name in columns}).drop("_previous_row")
 
 
 def with_latest_time(frame: DataFrame, line: Timeline, conditions: Mapping[str, Column]) -> DataFrame:

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from stringwatch.plans import residual_queries, string_queries  # noqa: F401
+from stringwatch.plans import audit_queries, device_queries, residual_queries, string_queries  # noqa: F401
 from stringwatch.plans.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]
