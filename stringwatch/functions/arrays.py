@@ -57,7 +57,7 @@ def number_list(numbers: Column) -> Column:
 
 def parse_number_list(text: Column) -> Column:
     """String numbers from ``"3, 10,11"``; an empty text gives an empty array."""
-    parts = F.filter(F.transform(F.split(text, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p != "")
     return F.coalesce(
         F.transform(parts, lambda p: p.try_cast("double").cast("int")),
         F.array().cast("array<int>"),

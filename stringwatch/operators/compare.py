@@ -65,13 +65,13 @@ def comparison_events(points: DataFrame, names: Sequence[str], interval_minutes:
     """
     line = runs.Timeline(DEVICE_KEYS, "event_time", interval_minutes)
     active = points.where(sum((F.size(n) for n in names), F.lit(0)) > 0)
+
+    def tagged(position: int, name: str) -> Column:
+        return F.transform(name, lambda s: F.struct(F.lit(position).alias("v"), s.alias("s")))
+
     named = runs.with_run_start(active, line, "start_time").withColumn(
         "_all",
-        F.flatten(
-            F.array(
-                *[F.transform(n, lambda s, v=i: F.struct(F.lit(v).alias("v"), s.alias("s"))) for i, n in enumerate(names)]
-            )
-        ),
+        F.flatten(F.array(*[tagged(i, n) for i, n in enumerate(names)])),
     )
     spans = named.groupBy(*DEVICE_KEYS, "start_time").agg(
         F.max("event_time").alias("end_time"), F.count(F.lit(1)).alias("alert_time_points")

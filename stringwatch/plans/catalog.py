@@ -1,6 +1,12 @@
 """All registered queries."""
 
-from stringwatch.plans import audit_queries, device_queries, residual_queries, string_queries  # noqa: F401
+from stringwatch.plans import (  # noqa: F401
+    alarm_queries,
+    audit_queries,
+    device_queries,
+    residual_queries,
+    string_queries,
+)
 from stringwatch.plans.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]
