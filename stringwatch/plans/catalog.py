@@ -4,7 +4,9 @@ from stringwatch.plans import (  # noqa: F401
     alarm_queries,
     audit_queries,
     device_queries,
+    ewma_queries,
     residual_queries,
+    stream_queries,
     string_queries,
 )
 from stringwatch.plans.registry import CHECKS, QUERIES

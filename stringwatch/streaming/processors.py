@@ -45,10 +45,14 @@ class OrderedProcessor(StatefulProcessor):
         raise NotImplementedError
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        latest = None
         for row in rows:
             time_ms = int(row[self.time_field].timestamp() * 1000)
             self.waiting.updateValue((time_ms,), self.payload(row))
-            self.handle.registerTimer(time_ms)
+            latest = time_ms if latest is None else max(latest, time_ms)
+        if latest is not None:
+            # one timer per batch and key releases everything up to its end
+            self.handle.registerTimer(latest)
         return iter([])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
