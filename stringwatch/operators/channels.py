@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stringwatch.functions.timegrid import local_date
-from stringwatch.schema import DEVICE_KEYS, channel_numbers, number, require_columns
+from stringwatch.schema import DEVICE_KEYS, channel_numbers, number, number_text, require_columns
 
 # fixed values: channel status 1 normal, 2 low current, 4 zero current
 CONFIGURED_STATUS = (1, 2, 4)
@@ -17,20 +17,12 @@ CONFIGURED_STATUS = (1, 2, 4)
 def readings(frame: DataFrame) -> Column:
     """Array of (string_no, current, status) of one wide row."""
 
-    def status(n: int) -> Column:
-        name = f"string_status_{n:02d}"
-        return number(name) if name in frame.columns else F.lit(None).cast("double")
+    def entry(n: int) -> str:
+        status = f"string_status_{n:02d}"
+        value = number_text(status) if status in frame.columns else "cast(null as double)"
+        return f"named_struct('string_no', {n}, 'current', {number_text(f'string_current_{n:02d}')}, 'status', {value})"
 
-    return F.array(
-        *[
-            F.struct(
-                F.lit(n).alias("string_no"),
-                number(f"string_current_{n:02d}").alias("current"),
-                status(n).alias("status"),
-            )
-            for n in channel_numbers(frame)
-        ]
-    )
+    return F.expr(f"array({', '.join(entry(n) for n in channel_numbers(frame))})")
 
 
 def configured(reading: Column) -> Column:

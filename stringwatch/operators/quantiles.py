@@ -1,9 +1,10 @@
 """Exact quantiles and ranks of groups of any size.
 
-``percentile`` keeps every distinct value of a group in one task. Here values
-are counted in monotone bins first; only the bin around the wanted rank is
-split further, so a task holds bin counts or one narrow slice of values however
-large the group is. Results use linear interpolation between order statistics.
+``percentile`` keeps every distinct value of a group in one task, which is fine
+for groups of a checked size. For larger ones values are counted in monotone
+bins first; only the bin around the wanted rank is split further, so a task
+holds bin counts or one narrow slice of values however large the group is.
+Results use linear interpolation between order statistics.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 
 COARSE_PER_OCTAVE = 512
 FINE_BINS = 65_536
+# largest group that one aggregation buffer may hold, with and without keys
+SMALL_KEYED_GROUP = 50_000
+SMALL_SINGLE_GROUP = 500_000
 
 
 def coarse_bin(value: Column) -> Column:
@@ -33,10 +37,28 @@ def quantiles(frame: DataFrame, keys: Sequence[str], value: str, probabilities:
     """Exact quantiles of ``value`` per group.
 
     Returns keys, ``n`` (non-null, non-NaN values) and ``q``, an array in the
-    order of ``probabilities``. ``frame`` is read three times, so pass a scan or
-    a staged table rather than a long computation.
+    order of ``probabilities``. The size of the largest group is measured first:
+    if every group is small the built-in aggregate is used, otherwise the values
+    are binned. ``frame`` is read several times, so pass a scan or a staged table
+    rather than a long computation.
     """
     keys = list(keys)
+    values = F.col(value).cast("double")
+    known = frame.where(values.isNotNull() & ~F.isnan(values))
+    sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    largest = sizes.agg(F.max("_size")).first()[0] or 0
+    if largest > (SMALL_KEYED_GROUP if keys else SMALL_SINGLE_GROUP):
+        return binned_quantiles(frame, keys, value, probabilities)
+    wanted = F.percentile(values, F.array(*[F.lit(float(p)) for p in probabilities]))
+    grouped = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), wanted.alias("q"))
+    return grouped.where("n > 0")
+
+
+def binned_quantiles(
+    frame: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float]
+) -> DataFrame:
+    """The same for groups of any size: bins, slices of one bin, then values."""
+    keys = list(keys)
     group = keys or ["_all"]
     rows = frame.select(
         *(keys or [F.lit(0).alias("_all")]), F.col(value).cast("double").alias("_v")

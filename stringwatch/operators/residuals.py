@@ -28,7 +28,7 @@ def fit_responses(context: DataFrame, settings: ResidualSettings) -> DataFrame:
         F.col(IRRADIANCE).alias("_g"),
         F.inline(F.filter("strings", lambda s: s["current"] > zero)),
     ).select(*STRING_KEYS, (F.col("current") / F.col("_g")).alias("_ratio"))
-    return quantile(stage(long, "responses"), STRING_KEYS, "_ratio", 0.5, "response").drop("n")
+    return quantile(long, STRING_KEYS, "_ratio", 0.5, "response").drop("n")
 
 
 def responses_by_device(responses: DataFrame) -> DataFrame:

@@ -120,7 +120,6 @@ def fit_context_thresholds(
         "n",
         "days",
     )
-    counts = stage(counts, "threshold-counts")
     plant_counts = passing(
         "plant_count", settings.minimum_plant_count_samples, settings.minimum_plant_count_days
     ).withColumn("string_count", F.col("k2").cast("int"))
@@ -128,7 +127,6 @@ def fit_context_thresholds(
     plant_counts = plant_counts.join(
         counts.select("string_count", F.col("threshold").alias("_parent")), "string_count", "left"
     ).select(F.col("k1").alias("plant_id"), "string_count", shrunk(parent).alias("threshold"), "n", "days")
-    plant_counts = stage(plant_counts, "threshold-plant-counts")
     usual = (
         samples.groupBy("plant_id", "device_no", "string_count")
         .agg(F.count("value").alias("_n"))

@@ -37,7 +37,7 @@ def alarm_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alert_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stage(strings.apply_string_detector(device_table(spark, sf_dir), SETTINGS), "string-alerts")
+    return strings.apply_string_detector(device_table(spark, sf_dir), SETTINGS)
 
 
 def completeness_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +139,13 @@ def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stage(alarms.complete_label_points(classified(spark, sf_dir)), "label-points")
+    return alarms.complete_label_points(classified(spark, sf_dir))
+
+
+def labels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Fully covered alarms and their grid points, from one classification."""
+    events = classified(spark, sf_dir)
+    return events.where("classification = 'complete'"), alarms.complete_label_points(events)
 
 
 @query(
@@ -351,13 +357,7 @@ aev as (
 
 
 def rolled_up(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stage(
-        evaluate.device_time_alerts(alert_points(spark, sf_dir), "combined_alert", "lof_eligible"), "device-alerts"
-    )
-
-
-def label_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classified(spark, sf_dir).where("classification = 'complete'")
+    return evaluate.device_time_alerts(alert_points(spark, sf_dir), "combined_alert", "lof_eligible")
 
 
 @query(
@@ -419,7 +419,7 @@ def predicted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
  from pev p join lev l on p.plant = l.plant and p.dev = l.dev and p.b >= l.es and p.a <= l.ee""",
 )
 def event_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matches = evaluate.event_matches(predicted_events(spark, sf_dir), label_events(spark, sf_dir))
+    matches = evaluate.event_matches(predicted_events(spark, sf_dir), labels(spark, sf_dir)[0])
     return matches.select(
         "plant_id", "device_no", "alarm_event_id", epoch("prediction_start_time", "prediction_start"),
         epoch("prediction_end_time", "prediction_end"), epoch("alarm_start_time", "alarm_start"), epoch("alarm_end_time", "alarm_end"),
@@ -436,7 +436,8 @@ select p as predicted_events, ph as predicted_events_hit, l as label_events, lh
  round(ph / p, 6) as precision, round(lh / l, 6) as recall, round(2 * (ph / p) * (lh / l) / (ph / p + lh / l), 6) as f1 from hc""",
 )
 def event_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    result = evaluate.event_metrics(predicted_events(spark, sf_dir), label_events(spark, sf_dir))
+    predicted = stage(predicted_events(spark, sf_dir), "predicted-events")
+    result = evaluate.event_metrics(predicted, labels(spark, sf_dir)[0])
     return result.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
 
 
@@ -444,6 +445,12 @@ def aligned_alarm_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.alarm_point_recall(label_points(spark, sf_dir), rolled_up(spark, sf_dir))
 
 
+def recalled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, points = labels(spark, sf_dir)
+    aligned = evaluate.alarm_point_recall(points, rolled_up(spark, sf_dir))
+    return evaluate.alarm_event_recall(events, aligned)
+
+
 @query(
     "alarm_point_recall",
     f"""with {SQL_EVAL} select cast(id as varchar) as alarm_event_id, {KEYS_SQL}, av as output_available, det as detected, el as score_eligible,
@@ -462,8 +469,7 @@ def alarm_point_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
  round((f - rt) / 60.0, 6) as detection_delay_minutes from aev""",
 )
 def alarm_event_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    result = evaluate.alarm_event_recall(label_events(spark, sf_dir), aligned_alarm_points(spark, sf_dir))
-    return result.select(
+    return recalled_events(spark, sf_dir).select(
         "alarm_event_id", "alarm_points", "detected_points", "output_available_points", "score_eligible_points",
         "event_detected", *r6("event_point_recall", "detection_delay_minutes"),
     )
@@ -489,9 +495,7 @@ select scope, plant_id, count(*) as alarm_events, cast(sum((d > 0)::int) as bigi
  round(quantile_cont((f - rt) / 60.0, 0.9), 6) as delay_p90, round(max((f - rt) / 60.0), 6) as delay_maximum from sc2 group by scope, plant_id""",
 )
 def event_recall_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = stage(
-        evaluate.alarm_event_recall(label_events(spark, sf_dir), aligned_alarm_points(spark, sf_dir)), "event-recall"
-    )
+    events = stage(recalled_events(spark, sf_dir), "event-recall")
     return evaluate.event_recall_summary(events).select(
         "scope", "plant_id", "alarm_events", "detected_events", "missed_events",
         *r6("event_recall", "delay_median", "delay_p90", "delay_maximum"),
@@ -499,7 +503,7 @@ def event_recall_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def station_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alert_points(spark, sf_dir).withColumn("station_name", F.concat(F.lit("station-"), "plant_id"))
+    return stage(alert_points(spark, sf_dir), "string-alerts").withColumn("station_name", F.concat(F.lit("station-"), "plant_id"))
 
 
 def scoped_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -609,7 +613,7 @@ def txt(column: str) -> str:
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A loose and a tight alert column of the same points."""
-    points = alert_points(spark, sf_dir)
+    points = stage(alert_points(spark, sf_dir), "string-alerts")
     zero = F.col("zero_current_alert") == 1
     raw = F.col("lof_raw_alert") == 1
     return points.withColumn("loose", raw | zero).withColumn(

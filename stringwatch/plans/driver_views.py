@@ -44,54 +44,39 @@ def epoch(column: str, name: str) -> Column:
     return F.unix_seconds(F.col(column)).alias(name)
 
 
-def plant_of(supplier: str) -> Column:
-    """Ten suppliers make a plant."""
-    return F.floor(F.col(supplier) / 10).cast("string")
-
-
-def _lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("supplier"),
-        F.floor(day_number("l_shipdate") / SLOT_DAYS).cast("int").alias("slot"),
-        (F.col("l_partkey") % STRINGS + 1).cast("int").alias("string_no"),
-        (F.col("l_quantity") - 1).cast("long").alias("q"),
-        F.round(F.col("l_discount") * 100).cast("long").alias("d"),
-        F.round(F.col("l_tax") * 100).cast("long").alias("x"),
-        (F.col("l_returnflag") == "R").alias("returned"),
-    )
-
-
 def device_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide device rows in one aggregation straight from the scan."""
-    source = _lineitem(spark, sf_dir)
-    aggregates = [F.count(F.lit(1)).alias("n"), F.sum("d").alias("d")]
-    for s in range(1, STRINGS + 1):
-        mine = F.col("string_no") == s
+    source = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_suppkey as supplier",
+        f"cast(floor((unix_date(to_date(l_shipdate)) - {FIRST_DAY}) / {SLOT_DAYS}) as int) as slot",
+        f"cast(l_partkey % {STRINGS} + 1 as int) as s",
+        "cast(l_quantity - 1 as bigint) as q",
+        "cast(round(l_discount * 100) as bigint) as d",
+        "l_returnflag = 'R' as returned",
+    )
+    strings = range(1, STRINGS + 1)
+    aggregates = ["count(1) as n", "sum(d) as d"]
+    for s in strings:
         aggregates += [
-            F.sum(F.when(mine, F.col("q"))).alias(f"q{s}"),
-            F.count_if(mine).alias(f"n{s}"),
-            F.count_if(mine & F.col("returned")).alias(f"r{s}"),
+            f"sum(case when s = {s} then q end) as q{s}",
+            f"count_if(s = {s}) as n{s}",
+            f"count_if(s = {s} and returned) as r{s}",
         ]
-    grouped = source.groupBy("supplier", "slot").agg(*aggregates)
-    currents = {f"string_current_{s:02d}": F.try_divide(F.col(f"q{s}").cast("double"), F.col(f"n{s}")) for s in range(1, STRINGS + 1)}
-    statuses = {
-        f"string_status_{s:02d}": F.when(F.col(f"n{s}") == 0, F.lit(None).cast("int"))
-        .when(F.col(f"q{s}") == 0, 4)
-        .when(F.col(f"r{s}") > 0, 2)
-        .otherwise(1)
-        for s in range(1, STRINGS + 1)
-    }
-    return grouped.select(
-        F.timestamp_seconds(slot_epoch(F.col("slot"))).alias("event_time"),
-        plant_of("supplier").alias("plant_id"),
-        F.col("supplier").cast("string").alias("device_no"),
-        (F.col("d") * 10.0 / F.col("n")).alias("active_power"),
-        F.lit(100.0).alias("rated_power"),
-        F.when(F.col("n") % 11 == 0, 5).otherwise(1).alias("status_code"),
-        F.lit(STRINGS).alias("main_string_count"),
-        sum((F.col(f"n{s}") > 0).cast("int") for s in range(1, STRINGS + 1)).alias("valid_current_string_count"),
-        *[value.alias(name) for name, value in currents.items()],
-        *[value.alias(name) for name, value in statuses.items()],
+    grouped = source.groupBy("supplier", "slot").agg(*[F.expr(text) for text in aggregates])
+    return grouped.selectExpr(
+        f"timestamp_seconds({EPOCH} + slot div {SLOTS_PER_DAY} * 86400 + slot % {SLOTS_PER_DAY} * 300) as event_time",
+        "cast(supplier div 10 as string) as plant_id",
+        "cast(supplier as string) as device_no",
+        "d * 10.0D / n as active_power",
+        "100.0D as rated_power",
+        "case when n % 11 = 0 then 5 else 1 end as status_code",
+        f"{STRINGS} as main_string_count",
+        " + ".join(f"int(n{s} > 0)" for s in strings) + " as valid_current_string_count",
+        *[f"try_divide(double(q{s}), n{s}) as string_current_{s:02d}" for s in strings],
+        *[
+            f"case when n{s} = 0 then null when q{s} = 0 then 4 when r{s} > 0 then 2 else 1 end as string_status_{s:02d}"
+            for s in strings
+        ],
     )
 
 

@@ -66,11 +66,11 @@ def r6(*names: str):
 def model(spark: SparkSession, sf_dir: str) -> tuple[residuals.ResidualModel, DataFrame]:
     """Fitted scales and responses, and the context they were fitted on."""
     source = stage(irradiance.peer_source(device_table(spark, sf_dir), SETTINGS), "peers")
-    scales = stage(irradiance.fit_device_scale(source), "device-scales")
+    scales = irradiance.fit_device_scale(source)
     context = stage(
         residuals.with_irradiance(irradiance.peer_irradiance(source, scales, SETTINGS)), "context"
     )
-    responses = stage(residuals.fit_responses(context, SETTINGS), "string-responses")
+    responses = residuals.fit_responses(context, SETTINGS)
     return residuals.ResidualModel(SETTINGS, scales, responses), context
 
 

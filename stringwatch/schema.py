@@ -40,10 +40,17 @@ def channel_numbers(frame: DataFrame) -> list[int]:
     return numbers
 
 
+def number_text(column: str) -> str:
+    """SQL for a double value, with anything unparsable, NaN or infinite as null."""
+    value = f"try_cast(`{column}` as double)"
+    return f"case when not isnan({value}) and abs({value}) <> double('inf') then {value} end"
+
+
 def number(column: Column | str) -> Column:
-    """Double value, with anything unparsable, NaN or infinite as null."""
-    value = F.expr(f"try_cast(`{column}` as double)") if isinstance(column, str) else column
-    return F.when(~F.isnan(value) & (F.abs(value) != F.lit(float("inf"))), value)
+    """The same as a column, of a named column or of an expression."""
+    if isinstance(column, str):
+        return F.expr(number_text(column))
+    return F.when(~F.isnan(column) & (F.abs(column) != F.lit(float("inf"))), column)
 
 
 def key_text(column: str) -> Column:

@@ -51,11 +51,13 @@ def test_quantiles_match_numpy(spark):
     rows += [("normal", None), ("normal", math.nan)]
     frame = spark.createDataFrame(rows, "k string, v double")
     probabilities = [0.0, 0.005, 0.5, 0.9, 0.995, 1.0]
-    got = {r.k: r for r in q.quantiles(frame, ["k"], "v", probabilities).collect()}
-    for name, values in samples.items():
-        assert got[name].n == len(values)
-        assert got[name].q == pytest.approx(np.quantile(values, probabilities).tolist(), rel=1e-12)
+    for way in (q.quantiles, q.binned_quantiles):
+        got = {r.k: r for r in way(frame, ["k"], "v", probabilities).collect()}
+        for name, values in samples.items():
+            assert got[name].n == len(values)
+            assert got[name].q == pytest.approx(np.quantile(values, probabilities).tolist(), rel=1e-12)
     everything = np.concatenate(list(samples.values()))
+    assert q.binned_quantiles(frame, [], "v", [0.25]).first().q == pytest.approx([np.quantile(everything, 0.25)])
     assert q.scalar_quantiles(frame, "v", [0.25]) == pytest.approx([np.quantile(everything, 0.25)])
     assert q.scalar_quantiles(frame.where("false"), "v", [0.25]) is None
 
