@@ -3,6 +3,7 @@
 from stringwatch.plans import (  # noqa: F401
     alarm_queries,
     audit_queries,
+    detection_queries,
     device_queries,
     ewma_queries,
     residual_queries,

@@ -173,18 +173,22 @@ def string_response(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "residual_scores",
-    f"""with {SQL_SCALE} select {KEYS_SQL}, cast(s as integer) as string_no, round(expected, 6) as expected_current,
+    f"""with {SQL_SCALE} select {KEYS_SQL}, cast(s as integer) as string_no, round(expected + 1e-9, 6) as expected_current,
  round(r, 6) as residual_ratio, round(rmed, 6) as residual_median, round(score, 6) as lof_score,
  cast(n as integer) as available_strings, round(drel, 6) as isolated_relative_drop,
- round(dabs, 6) as isolated_absolute_drop, cast(gate as integer) as isolated_effect_eligible,
+ round(dabs + 1e-9, 6) as isolated_absolute_drop, cast(gate as integer) as isolated_effect_eligible,
  cast(iso as integer) as isolated_raw_alert from cand""",
 )
 def residual_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # amperes are short binary fractions here: keep them off rounding ties
+    amperes = {c: F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("expected_current", "isolated_absolute_drop")}
     return scored_points(spark, sf_dir).select(
         *keys(), "string_no",
-        *r6("expected_current", "residual_ratio", "residual_median", "lof_score"),
+        amperes["expected_current"],
+        *r6("residual_ratio", "residual_median", "lof_score"),
         "available_strings",
-        *r6("isolated_relative_drop", "isolated_absolute_drop"),
+        *r6("isolated_relative_drop"),
+        amperes["isolated_absolute_drop"],
         "isolated_effect_eligible", "isolated_raw_alert",
     )
 
