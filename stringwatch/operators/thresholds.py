@@ -11,7 +11,7 @@ from stringwatch.config import HierarchySettings, ResidualSettings
 from stringwatch.functions.timegrid import local_date
 from stringwatch.operators import runs
 from stringwatch.operators.ewma import MAD_FACTOR
-from stringwatch.operators.quantiles import quantiles
+from stringwatch.operators.quantiles import quantiles, scalar_quantiles
 from stringwatch.operators.residuals import with_drops
 from stringwatch.schema import STRING_KEYS
 from stringwatch.storage import stage
@@ -30,7 +30,7 @@ class ContextThresholds:
 
 
 def _levels(samples: DataFrame) -> DataFrame:
-    """Every sample once per level of the hierarchy."""
+    """Every sample once per level below the global one."""
     count = F.col("string_count").cast("string")
     none = F.lit("")
     return samples.select(
@@ -46,7 +46,6 @@ def _levels(samples: DataFrame) -> DataFrame:
                         ("device", F.col("plant_id"), F.col("device_no")),
                         ("plant_count", F.col("plant_id"), count),
                         ("count", count, none),
-                        ("global", none, none),
                     )
                 ]
             )
@@ -70,8 +69,18 @@ def fit_context_thresholds(
     ``floor`` no threshold lies below it.
     """
     samples = stage(samples.select("plant_id", "device_no", "string_count", "value", "day"), "threshold-samples")
-    levels = _levels(samples)
     probabilities = [settings.quantile, 0.5]
+    overall = scalar_quantiles(samples, "value", probabilities)
+    if overall is None:
+        raise ValueError("No eligible samples remain for threshold calibration")
+    global_threshold, center = overall
+    if mad_multiplier is not None:
+        spread = samples.select(F.abs(F.col("value") - F.lit(center)).alias("value"))
+        cap = center + mad_multiplier * MAD_FACTOR * scalar_quantiles(spread, "value", [0.5])[0]
+        global_threshold = min(global_threshold, cap)
+    if floor is not None:
+        global_threshold = max(global_threshold, floor)
+    levels = _levels(samples)
     table = quantiles(levels, LEVEL_KEYS, "value", probabilities)
     # samples per day first, so that counting days needs no distinct values
     days = (
@@ -96,10 +105,6 @@ def fit_context_thresholds(
         cap = F.col("median") + mad_multiplier * MAD_FACTOR * F.col("mad")
         table = stage(table.join(mad, LEVEL_KEYS).withColumn("q", F.least("q", cap)).drop("mad"), "threshold-capped")
 
-    top = table.where("level = 'global'").first()
-    if top is None:
-        raise ValueError("No eligible samples remain for threshold calibration")
-
     def floored(value: Column) -> Column:
         return value if floor is None else F.greatest(value, F.lit(floor))
 
@@ -113,7 +118,6 @@ def fit_context_thresholds(
             (F.col("level") == level) & (F.col("n") >= minimum_samples) & (F.col("days") >= minimum_days)
         )
 
-    global_threshold = top["q"] if floor is None else max(top["q"], floor)
     counts = passing("count", settings.minimum_count_samples, settings.minimum_count_days).select(
         F.col("k1").cast("int").alias("string_count"),
         shrunk(F.lit(global_threshold)).alias("threshold"),
