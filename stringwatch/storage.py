@@ -12,22 +12,69 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def staging_root(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables; a temporary one only if unset."""
+    """Shared folder for intermediate tables.
+
+    Without the setting, a local session gets a temporary folder (tests); a
+    cluster session fails, since executors there do not share local folders.
+    """
     root = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="stringwatch-stage-")
         spark.conf.set(CHECKPOINT_DIR, root)
     return root.rstrip("/")
 
 
-def stage(frame: DataFrame, name: str = "table") -> DataFrame:
+def staging_path(spark: SparkSession, name: str = "table") -> str:
+    """A new path below the shared folder, used once."""
+    return f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stage(frame: DataFrame, name: str = "table", path: str | None = None, codec: str | None = None) -> DataFrame:
     """Write ``frame`` once and return a scan of the written table."""
     spark = frame.sparkSession
-    path = f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
-    frame.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    path = path or staging_path(spark, name)
+    writer = frame.write.mode("errorifexists")
+    if codec:
+        writer = writer.option("compression", codec)
+    writer.parquet(path)
+    return spark.read.schema(StructType(frame.schema.fields)).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a staged table that no frame in use reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Scratch:
+    """Staged tables of one job, deleted together by :meth:`drop`.
+
+    The frames returned by :meth:`stage` are lazy scans: drop only after every
+    result that derives from them has been written.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def path(self, name: str = "table") -> str:
+        self.paths.append(staging_path(self.spark, name))
+        return self.paths[-1]
+
+    def stage(self, frame: DataFrame, name: str = "table", codec: str | None = None) -> DataFrame:
+        return stage(frame, name, self.path(name), codec)
+
+    def drop(self, *keep: str) -> None:
+        for path in self.paths:
+            if path not in keep:
+                remove(self.spark, path)
+        self.paths = [path for path in self.paths if path in keep]
