@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stringwatch.llm import mixing
+from stringwatch.llm import mixing, token_files, tokens
 from stringwatch.llm.records import alarms, as_documents, table
 from stringwatch.llm.sql import MIXING
 
@@ -15,6 +15,15 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_CHECKS: dict[str, str] = {}
 
 
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_file(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def llm_query(name: str, sql: str | None = None):
     def register(function):
         LLM_QUERIES[name] = function
@@ -30,6 +39,17 @@ def equal_weights(records: DataFrame) -> DataFrame:
     return records.select("station_name").distinct().withColumn("weight", F.lit(1.0))
 
 
+@llm_query("op1_token_counts")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_documents(tokens.alarm_token_counts(alarms(spark, sf_dir), tokenizer_file()))
+
+
+@llm_query("op9_token_files")
+def token_file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.write_alarm_tokens(alarms(spark, sf_dir), tokenizer_file(), token_files.token_path(spark))
+    return as_documents(token_files.read_alarm_tokens(spark, path, with_ids=False))
+
+
 @llm_query("op8_source_mixing", MIXING)
 def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = alarms(spark, sf_dir)
