@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stringwatch.llm import mixing, token_files, tokens
-from stringwatch.llm.records import alarms, as_documents, table
+from stringwatch.llm import decontamination, mixing, secret_scan, simhash, token_files, tokens
+from stringwatch.llm.records import alarms, as_alarms, as_documents, table
 from stringwatch.llm.sql import MIXING
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,22 @@ def token_file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_documents(token_files.read_alarm_tokens(spark, path, with_ids=False))
 
 
+@llm_query("op2_decontamination")
+def decontaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = as_alarms(table(spark, sf_dir, "benchmark"))
+    return as_documents(decontamination.contaminated_alarms(alarms(spark, sf_dir), items))
+
+
+@llm_query("op6_near_copies")
+def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_documents(simhash.alarm_near_copies(alarms(spark, sf_dir)))
+
+
+@llm_query("op10_secrets")
+def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_documents(secret_scan.alarm_secrets(alarms(spark, sf_dir), tokenizer_file()))
+
+
 @llm_query("op8_source_mixing", MIXING)
 def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = alarms(spark, sf_dir)
