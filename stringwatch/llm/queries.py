@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stringwatch.llm import decontamination, mixing, secret_scan, simhash, token_files, tokens
+from stringwatch.llm import decontamination, mixing, neighbours, quality, secret_scan, simhash, token_files, tokens
 from stringwatch.llm.records import alarms, as_alarms, as_documents, table
 from stringwatch.llm.sql import MIXING
 
@@ -71,3 +71,15 @@ def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = alarms(spark, sf_dir)
     mixed = as_documents(mixing.mix_alarm_sources(records, equal_weights(records)))
     return mixed.select("doc_id", "source", "copy_no", "shuffle_key", F.md5("text").alias("text_md5"))
+
+
+@llm_query("op7_nearest_profiles")
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profiles = table(spark, sf_dir, "embeddings").withColumnsRenamed({"vec_id": "device_no", "embedding": "current_profile"})
+    found = neighbours.nearest_profiles(profiles, F.col("device_no") % 100 == 0)
+    return found.withColumnRenamed("device_no", "vec_id")
+
+
+@llm_query("op4_quality")
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_documents(quality.alarm_quality(alarms(spark, sf_dir), as_alarms(table(spark, sf_dir, "labels"))))
