@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stringwatch.llm import decontamination, mixing, neighbours, quality, secret_scan, simhash, token_files, tokens
+from stringwatch.llm import decontamination, mixing, neighbours, quality, resharding, secret_scan, simhash, token_files, tokens, toxicity
 from stringwatch.llm.records import alarms, as_alarms, as_documents, table
 from stringwatch.llm.sql import MIXING
 
@@ -83,3 +83,30 @@ def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @llm_query("op4_quality")
 def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_documents(quality.alarm_quality(alarms(spark, sf_dir), as_alarms(table(spark, sf_dir, "labels"))))
+
+
+OLD_SHARDS, NEW_SHARDS = 16, 24
+
+
+def old_shard() -> Column:
+    """Where alarms lie before resharding: stations are dealt to shards, so sizes are uneven."""
+    return F.pmod(F.crc32("station_name"), F.lit(OLD_SHARDS))
+
+
+@llm_query("op3_resharding")
+def resharded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed, _ = resharding.reshard_alarms(alarms(spark, sf_dir), old_shard(), NEW_SHARDS)
+    return as_documents(placed).select(
+        "doc_id",
+        resharding.row_size("text").alias("size"),
+        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@llm_query("op5_toxicity")
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_documents(toxicity.alarm_toxicity(alarms(spark, sf_dir), as_alarms(table(spark, sf_dir, "labels"))))

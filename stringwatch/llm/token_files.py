@@ -13,6 +13,7 @@ lengths, checkpoints, payload); payloads are big-endian 32-bit words.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -129,10 +130,11 @@ def encoded(alarms: DataFrame, tokenizer_path: str, end_id: int, kind: str) -> D
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = vocabulary.load(tokenizer_path)
+        code = np.dtype(kind).char  # tasks run on little-endian machines
         end, width = np.array([end_id], kind).tobytes(), np.dtype(kind).itemsize
 
         def ids_of(pieces: list[str]) -> list[bytes]:
-            return [np.array(e.ids, kind).tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+            return [array(code, e.ids).tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
         table = vocabulary.PieceTable(ids_of)
         for batch in batches:
@@ -146,7 +148,11 @@ def encoded(alarms: DataFrame, tokenizer_path: str, end_id: int, kind: str) -> D
                     begins = np.cumsum(sizes) - sizes
                     lengths = sizes[index]
                     ends = np.cumsum(lengths)
-                    ids = flat[np.repeat(begins[index] - ends + lengths, lengths) + np.arange(ends[-1])]
+                    small = np.int32 if max(ends[-1], len(flat)) < 1 << 31 else np.int64
+                    at = np.repeat((begins[index] - ends + lengths).astype(small), lengths)
+                    at += np.arange(ends[-1], dtype=small)
+                    ids = flat[at]
+                    del at
                     for row, a, b in zip(rows, ends[starts] - lengths[starts], np.append(ends[starts[1:] - 1], ends[-1])):
                         rows_ids[row] = ids[a:b].tobytes() + end
                 yield pa.RecordBatch.from_arrays(

@@ -18,8 +18,8 @@ import pyarrow.compute as pc
 SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: bytes of text looked at together
 CHUNK_BYTES = 16 << 20
-#: results kept for later batches by one worker, and the longest piece kept
-KEPT_PIECES, KEPT_LENGTH = 500_000, 64
+#: results kept for later batches by one worker in each of two generations, and the longest piece kept
+KEPT_PIECES, KEPT_LENGTH = 400_000, 16
 
 
 def load(path: str):
@@ -45,19 +45,23 @@ def _open(piece: str) -> bool:
 
 
 class PieceTable:
-    """Values of pieces, kept across batches up to a bound."""
+    """Values of pieces, kept across batches up to a bound; what was not used lately goes first."""
 
     def __init__(self, compute: Callable[[list[str]], list]):
         self.compute = compute
-        self.kept: dict[str, object] = {}
+        self.young: dict[str, object] = {}
+        self.old: dict[str, object] = {}
 
     def values(self, pieces: list[str]) -> list:
-        missing = [p for p in pieces if p not in self.kept]
-        new = dict(zip(missing, self.compute(missing))) if missing else {}
-        found = [new[p] if p in new else self.kept[p] for p in pieces]
-        if len(self.kept) > KEPT_PIECES:
-            self.kept.clear()
-        self.kept.update((p, v) for p, v in new.items() if len(p) <= KEPT_LENGTH)
+        young, old = self.young, self.old
+        if len(young) > KEPT_PIECES:
+            self.old, self.young = young, {}
+            young, old = self.young, self.old
+        found = [young[p] if p in young else old.get(p) for p in pieces]
+        missing = [i for i, value in enumerate(found) if value is None]
+        for i, value in zip(missing, self.compute([pieces[i] for i in missing]) if missing else ()):
+            found[i] = value
+        young.update((p, value) for p, value in zip(pieces, found) if len(p) <= KEPT_LENGTH)
         return found
 
 
@@ -69,7 +73,8 @@ def pieces_of(texts: pa.Array) -> Iterator[tuple[np.ndarray, list[str], np.ndarr
     split = pc.split_pattern(texts, " ")
     starts = np.asarray(split.offsets, dtype=np.int64)[:-1] - split.offsets[0].as_py()
     coded = split.flatten().dictionary_encode()
-    index, distinct = np.asarray(coded.indices, dtype=np.int64), coded.dictionary.to_pylist()
+    del split
+    index, distinct = np.asarray(coded.indices), coded.dictionary.to_pylist()
     is_open = np.fromiter(map(_open, distinct), bool, len(distinct))
     if not is_open.any():
         yield _spaced(np.arange(len(texts)), distinct, index, starts)
@@ -85,12 +90,12 @@ def pieces_of(texts: pa.Array) -> Iterator[tuple[np.ndarray, list[str], np.ndarr
     parts = [SAFE_SPACE.split(texts[int(r)].as_py()) for r in rows]
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     coded = pa.array([p for some in parts for p in some], pa.large_string()).dictionary_encode()
-    yield _spaced(rows, coded.dictionary.to_pylist(), np.asarray(coded.indices, dtype=np.int64), np.cumsum(lengths) - lengths)
+    yield _spaced(rows, coded.dictionary.to_pylist(), np.asarray(coded.indices), np.cumsum(lengths) - lengths)
 
 
 def _spaced(rows, distinct, index, starts):
     """Number the first pieces of the rows apart from the others, which get their space."""
     firsts, again = np.unique(index[starts], return_inverse=True)
-    index = index + len(firsts)
+    index = index + np.int32(len(firsts))
     index[starts] = again
     return rows, [distinct[i] for i in firsts] + [" " + p for p in distinct], index, starts
