@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stringwatch.functions.arrays import parse_number_list
@@ -48,9 +48,16 @@ def clean_alarm_events(
 
 
 def with_plant(events: DataFrame, stations: DataFrame) -> DataFrame:
-    """Map station names to plants; unmapped ones keep a null plant."""
-    names = stations.select(
-        F.trim("station_name").alias("station_name"), key_text("plant_id").alias("plant_id")
+    """Map station names to plants; unmapped ones keep a null plant.
+
+    A station with two plants fails the job.
+    """
+    conflict = F.raise_error(F.concat(F.lit("several plants for station "), "station_name")).cast("string")
+    names = (
+        stations.select(F.trim("station_name").alias("station_name"), key_text("plant_id").alias("plant_id"))
+        .groupBy("station_name")
+        .agg(F.min("plant_id").alias("_low"), F.max("plant_id").alias("_high"))
+        .select("station_name", F.when(F.col("_low") == F.col("_high"), F.col("_low")).when(F.col("_low").isNotNull(), conflict).alias("plant_id"))
     )
     return events.join(names, "station_name", "left").withColumn(
         "station_mapping_status", F.when(F.col("plant_id").isNotNull(), "mapped").otherwise("station_unmapped")
@@ -149,20 +156,8 @@ def classify_events(events: DataFrame, source: DataFrame, interval_minutes: int
     # one row per device-time first: a repeated time is complete if any copy is
     on_grid = source.where(F.pmod(micros("event_time"), F.lit(step)) == 0)
     rows = on_grid.groupBy(*POINT_KEYS).agg(F.bool_or("current_complete").alias("_complete"))
-    windows = clipped.where(F.col("effective_start_time").isNotNull()).select(
-        *DEVICE_KEYS, "alarm_event_id", "effective_start_time", "effective_end_time"
-    )
-    found = (
-        intervals.points_in_windows(
-            rows, windows, DEVICE_KEYS, "event_time", "effective_start_time", "effective_end_time"
-        )
-        .groupBy("alarm_event_id", *DEVICE_KEYS)
-        .agg(
-            F.count(F.lit(1)).alias("present_points"),
-            F.count_if(~F.col("_complete")).alias("current_incomplete_points"),
-        )
-    )
-    joined = clipped.join(found, ["alarm_event_id", *DEVICE_KEYS], "left").withColumns(
+    windows = clipped.where(F.col("effective_start_time").isNotNull()).select(*WINDOW)
+    joined = clipped.join(_rows_in_windows(rows, windows), WINDOW, "left").withColumns(
         {
             "present_points": F.coalesce("present_points", F.lit(0)),
             "current_incomplete_points": F.coalesce("current_incomplete_points", F.lit(0)),
@@ -191,6 +186,43 @@ def classify_events(events: DataFrame, source: DataFrame, interval_minutes: int
     )
 
 
+WINDOW = ["alarm_event_id", *DEVICE_KEYS, "effective_start_time", "effective_end_time"]
+
+
+def _rows_in_windows(rows: DataFrame, windows: DataFrame) -> DataFrame:
+    """Present and incomplete rows of every window, from running counts at its two ends.
+
+    Rows and window ends are laid out by device and time, once each; days are
+    counted on their own and shifted by the totals of the earlier ones.
+    """
+    day = F.floor(F.col("_at") / F.lit(86_400_000_000))
+    empty = F.lit(None)
+    points = rows.select(
+        *DEVICE_KEYS, micros("event_time").alias("_at"), F.lit(1).alias("_side"), (~F.col("_complete")).cast("long").alias("_open")
+    )
+    windows = windows.distinct()
+    ends = windows.select(
+        "*", F.explode(F.array(*[F.struct(micros(c).alias("_at"), F.lit(side).alias("_side")) for c, side in ((WINDOW[-2], 0), (WINDOW[-1], 2))])).alias("_end")
+    ).select(*WINDOW, "_end.*", empty.cast("long").alias("_open"))
+    laid = points.unionByName(ends, allowMissingColumns=True).withColumn("_day", day)
+    present, incomplete = F.count("_open"), F.coalesce(F.sum("_open"), F.lit(0))
+    days = laid.groupBy(*DEVICE_KEYS, "_day").agg(present.alias("_n"), incomplete.alias("_m"))
+    earlier = Window.partitionBy(*DEVICE_KEYS).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(
+        *DEVICE_KEYS, "_day", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("_n", "_m")]
+    )
+    within = Window.partitionBy(*DEVICE_KEYS, "_day").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = (
+        laid.join(days, [*DEVICE_KEYS, "_day"])
+        .withColumns({"_n": F.col("_n_before") + present.over(within), "_m": F.col("_m_before") + F.coalesce(F.sum("_open").over(within), F.lit(0))})
+        .where("_side <> 1")
+    )
+    sign = F.when(F.col("_side") == 2, 1).otherwise(-1)
+    return counted.groupBy(*WINDOW).agg(
+        F.sum(sign * F.col("_n")).alias("present_points"), F.sum(sign * F.col("_m")).alias("current_incomplete_points")
+    )
+
+
 def complete_label_points(classified: DataFrame, interval_minutes: int = 5) -> DataFrame:
     """Grid points of fully covered alarms: the labels."""
     return expand_to_grid(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stringwatch.functions.timegrid import MICROS_PER_MINUTE, local_date, micros
 from stringwatch.operators import runs
-from stringwatch.schema import number
+from stringwatch.schema import DEVICE_KEYS, number
 
 DAY_MINUTES = 1_440
 
@@ -152,7 +152,7 @@ def presence_by_date(frame: DataFrame, time: str, columns: Sequence[str], timezo
 
 def continuity(
     frame: DataFrame,
-    keys: Sequence[str] = ("device_no",),
+    keys: Sequence[str] = DEVICE_KEYS,
     time: str = "event_time",
     interval_minutes: int = 5,
     chunk_minutes: int = DAY_MINUTES,
@@ -193,7 +193,7 @@ def continuity_totals(per_device: DataFrame) -> DataFrame:
 
 
 def daily_device_counts(
-    frame: DataFrame, keys: Sequence[str] = ("device_no",), time: str = "event_time", timezone: str = "Asia/Shanghai"
+    frame: DataFrame, keys: Sequence[str] = DEVICE_KEYS, time: str = "event_time", timezone: str = "Asia/Shanghai"
 ) -> DataFrame:
     """Rows and time range per local day and device, and per day (keys null)."""
     dated = frame.withColumn("local_date", local_date(time, timezone))
@@ -234,13 +234,13 @@ def plant_alignment(devices: DataFrame, weather: DataFrame, columns: Sequence[st
     plants = devices.where("plant_id is not null").select("plant_id").distinct()
     present = plants.join(weather.select("plant_id").distinct(), "plant_id", "left_semi")
     matched = weather.join(plants, "plant_id", "left_semi")
-    total = plants.agg(F.count(F.lit(1)).alias("target_plants")).withColumn("_k", F.lit(0))
-    here = present.agg(F.count(F.lit(1)).alias("target_plants_present")).withColumn("_k", F.lit(0))
+    total = plants.agg(F.count(F.lit(1)).alias("target_plants"))
+    here = present.agg(F.count(F.lit(1)).alias("target_plants_present"))
     shares = matched.agg(
         F.count(F.lit(1)).alias("matched_rows"),
         *[
             F.bround(F.count_if(F.col(c).isNull()) / F.count(F.lit(1)) * 100, 4).alias(f"matched_{c}_null_percent")
             for c in columns
         ],
-    ).withColumn("_k", F.lit(0))
-    return total.join(here, "_k").join(shares, "_k").drop("_k")
+    )
+    return total.join(here).join(shares)  # one row each

@@ -133,8 +133,8 @@ def drop_distribution(filtered: DataFrame, value: str = "isolated_absolute_drop"
         F.min(value).alias("minimum"),
         F.max(value).alias("maximum"),
         F.count_if(F.col(value) < small).alias("below_small"),
-    ).withColumn("_k", F.lit(0))
-    table = quantiles(filtered, [], value, [0.5, 0.9]).select(
-        F.lit(0).alias("_k"), F.col("n").alias("samples"), F.get("q", 0).alias("median"), F.get("q", 1).alias("p90")
     )
-    return counts.join(table, "_k").drop("_k")
+    # one row, and one or none
+    table = quantiles(filtered, [], value, [0.5, 0.9]).select("n", F.get("q", 0).alias("median"), F.get("q", 1).alias("p90"))
+    joined = counts.join(table, F.lit(True), "left")
+    return joined.select(*counts.columns, F.coalesce("n", F.lit(0)).alias("samples"), "median", "p90")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,10 +14,11 @@ from stringwatch.schema import POINT_KEYS, channel_numbers, number
 EVENT_KEYS = ("alarm_event_id", "alarm_code", "station_name", "plant_id", "device_no", "raise_time", "end_time")
 
 
-def production_rows(frame: DataFrame, order: str | None = None) -> DataFrame:
+def production_rows(frame: DataFrame, order: Sequence[str] = ()) -> DataFrame:
     """One row per device-time with its multiplicity and channel counts.
 
-    The first row by ``order`` (any, if none is given) stands for repeated ones.
+    The first row by ``order``, then by its own counts and currents, stands for
+    repeated ones; after :func:`with_position` the order is file and row.
     """
     checked = with_completeness(frame)
     currents = [number(f"string_current_{n:02d}") for n in channel_numbers(frame)]
@@ -27,7 +30,7 @@ def production_rows(frame: DataFrame, order: str | None = None) -> DataFrame:
         F.array_max(F.filter(values, lambda v: v.isNotNull())).alias("current_maximum"),
         finite_count(values).alias("_finite"),
     )
-    first = F.min_by(row, F.col(order)) if order else F.first(row)
+    first = F.min_by(row, F.struct(*order, row) if order else row)
     return (
         checked.groupBy(*POINT_KEYS)
         .agg(F.count(F.lit(1)).alias("production_row_count"), first.alias("_row"))

@@ -121,7 +121,7 @@ def event_metrics(predicted: DataFrame, labels: DataFrame) -> DataFrame:
     t = intervals.overlaps_any(
         labels, predicted, DEVICE_KEYS, "effective_start_time", "effective_end_time", "start_time", "end_time", "_hit"
     ).agg(F.count(F.lit(1)).alias("label_events"), F.coalesce(F.sum("_hit"), F.lit(0)).alias("label_events_hit"))
-    both = p.withColumn("_k", F.lit(0)).join(t.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    both = p.join(t)  # one row each
     return with_scores(
         both.withColumn("false_positive_events", F.col("predicted_events") - F.col("predicted_events_hit")).withColumn(
             "missed_label_events", F.col("label_events") - F.col("label_events_hit")
@@ -136,9 +136,17 @@ def event_metrics(predicted: DataFrame, labels: DataFrame) -> DataFrame:
 # --- recall of alarms ------------------------------------------------------
 
 
+def first_rows(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key: the smallest by its other columns, which must have an order."""
+    rest = [c for c in frame.columns if c not in keys]
+    if not rest:
+        return frame.distinct()
+    return frame.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")).select(*keys, "_row.*").select(*frame.columns)
+
+
 def alarm_point_recall(alarm_points: DataFrame, predictions: DataFrame) -> DataFrame:
     """Alarm points with what the detector said there."""
-    points = alarm_points.dropDuplicates(["alarm_event_id", *POINT_KEYS])
+    points = first_rows(alarm_points, ("alarm_event_id", *POINT_KEYS))
     joined = points.join(
         predictions.withColumn("output_available", F.lit(1)), list(POINT_KEYS), "left"
     )
@@ -160,7 +168,7 @@ def alarm_event_recall(events: DataFrame, aligned: DataFrame) -> DataFrame:
     )
     counts = ("alarm_points", "detected_points", "output_available_points", "score_eligible_points")
     return (
-        events.dropDuplicates(["alarm_event_id"])
+        first_rows(events, ("alarm_event_id",))
         .join(per_event, "alarm_event_id", "left")
         .withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in counts})
         .withColumn("event_detected", (F.col("detected_points") > 0).cast("int"))

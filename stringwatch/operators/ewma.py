@@ -119,7 +119,7 @@ def fit_ewma(frame: DataFrame, settings: EwmaSettings = EwmaSettings()) -> tuple
     )
     robust = robust_center_scale(prepared.where("ewma_eligible"), "underproduction_residual")
     if robust is None:
-        raise ValueError("No eligible validation residuals remain for calibration")
+        raise ValueError("the history has no residual of plausible output, so the chart cannot be fitted")
     fitted = settings.derive(center=robust[0], scale=robust[1])
     scores = stage(ewma_scores(prepared, fitted).where("ewma_eligible").select("ewma_score"), "ewma-scores")
     fitted = fitted.derive(threshold=scalar_quantiles(scores, "ewma_score", [settings.quantile])[0])

@@ -1,10 +1,11 @@
 """Exact quantiles and ranks of groups of any size.
 
-``percentile`` keeps every distinct value of a group in one task, which is fine
-for groups of a checked size. For larger ones values are counted in monotone
-bins first; only the bin around the wanted rank is split further, so a task
-holds bin counts or one narrow slice of values however large the group is.
-Results use linear interpolation between order statistics.
+Equal values of a group are counted first. The counted values are put into
+ranges of (group, value) that are written once; a running count then needs one
+total per group and range, and the order inside a range. No task holds more than
+a range, however large a group or however often a value occurs. Infinite values
+are ordered like others. Quantiles use linear interpolation between order
+statistics.
 """
 
 from __future__ import annotations
@@ -14,134 +15,75 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-COARSE_PER_OCTAVE = 512
-FINE_BINS = 65_536
-# largest group that one aggregation buffer may hold, with and without keys
-SMALL_KEYED_GROUP = 50_000
-SMALL_SINGLE_GROUP = 500_000
+from stringwatch.storage import stage
 
 
-def coarse_bin(value: Column) -> Column:
-    """Monotone integer bin, fine enough to cut a group into small slices."""
-    size = F.floor(F.log2(F.abs(value)) * COARSE_PER_OCTAVE).cast("int")
-    # offset keeps magnitudes positive: the exponent of a double is above -1075
-    magnitude = size + F.lit(1_100 * COARSE_PER_OCTAVE)
-    return F.when(value > 0, magnitude).when(value < 0, -magnitude).otherwise(0)
+def _same_group(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+    """Null-safe equality of the keys and of the range."""
+    condition = left["_range"] == right["_in_range"]
+    for i, key in enumerate(keys):
+        condition = condition & left[key].eqNullSafe(right[f"_key{i}"])
+    return condition
 
 
-def _positions(probabilities: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(p)) for p in probabilities])
+def _counted_ranges(frame: DataFrame, keys: Sequence[str], value: str) -> tuple[DataFrame, DataFrame]:
+    """Values with ``_count`` and ``_range``; per group and range its size, the rows before it and the group's size.
+
+    Null and NaN values are left out.
+    """
+    known = frame.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    counted = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_count"))
+    ranged = stage(counted.repartitionByRange(*keys, value).withColumn("_range", F.spark_partition_id()), "values")
+    totals = ranged.groupBy(*keys, "_range").agg(F.sum("_count").alias("_total"))
+    # one row per group and range
+    group = Window.partitionBy(*[F.col(k) for k in keys])
+    earlier = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumns({"_before": F.coalesce(F.sum("_total").over(earlier), F.lit(0)), "_n": F.sum("_total").over(group)})
+    return ranged, totals.withColumnsRenamed({"_range": "_in_range"} | {k: f"_key{i}" for i, k in enumerate(keys)})
+
+
+def _running_start(keys: Sequence[str], value: str) -> Column:
+    """Rows of the group with a smaller value."""
+    inside = Window.partitionBy(*[F.col(k) for k in keys], "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return F.col("_before") + F.coalesce(F.sum("_count").over(inside), F.lit(0))
+
+
+def _within(ranks: Column, start: Column, count: Column) -> Column:
+    return F.filter(ranks, lambda r: (r >= start) & (r < start + count))
 
 
 def quantiles(frame: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:
     """Exact quantiles of ``value`` per group.
 
     Returns keys, ``n`` (non-null, non-NaN values) and ``q``, an array in the
-    order of ``probabilities``. The size of the largest group is measured first:
-    if every group is small the built-in aggregate is used, otherwise the values
-    are binned. ``frame`` is read several times, so pass a scan or a staged table
-    rather than a long computation.
+    order of ``probabilities``. ``frame`` is read once or twice, so pass a scan
+    or a staged table rather than a long computation.
     """
     keys = list(keys)
-    values = F.col(value).cast("double")
-    known = frame.where(values.isNotNull() & ~F.isnan(values))
-    sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    largest = sizes.agg(F.max("_size")).first()[0] or 0
-    if largest > (SMALL_KEYED_GROUP if keys else SMALL_SINGLE_GROUP):
-        return binned_quantiles(frame, keys, value, probabilities)
-    wanted = F.percentile(values, F.array(*[F.lit(float(p)) for p in probabilities]))
-    grouped = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), wanted.alias("q"))
-    return grouped.where("n > 0")
-
-
-def binned_quantiles(
-    frame: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float]
-) -> DataFrame:
-    """The same for groups of any size: bins, slices of one bin, then values."""
-    keys = list(keys)
-    group = keys or ["_all"]
-    rows = frame.select(
-        *(keys or [F.lit(0).alias("_all")]), F.col(value).cast("double").alias("_v")
-    ).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    # -0.0 and 0.0 share a bin but print differently
-    rows = rows.withColumn("_v", F.col("_v") + F.lit(0.0)).withColumn("_bin", coarse_bin(F.col("_v")))
-
-    bins = rows.groupBy(*group, "_bin").agg(
-        F.count(F.lit(1)).alias("_count"), F.min("_v").alias("_low"), F.max("_v").alias("_high")
-    )
-    everything = Window.partitionBy(*group)
-    ordered = everything.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.withColumns(
-        {
-            "_before": F.coalesce(F.sum("_count").over(ordered), F.lit(0)),
-            "_n": F.sum("_count").over(everything),
-        }
-    )
+    asked = F.array(*[F.lit(float(p)) for p in probabilities])
+    # -0.0 and 0.0 are one value
+    values = frame.select(*keys, (F.col(value).cast("double") + F.lit(0.0)).alias("_v"))
+    ranged, totals = _counted_ranges(values, keys, "_v")
     # wanted 0-based ranks; each quantile needs the two around its position
     wanted = F.array_distinct(
         F.flatten(
             F.transform(
-                _positions(probabilities),
+                asked,
                 lambda p: F.array(
                     F.floor(p * (F.col("_n") - 1)).cast("long"), F.ceil(p * (F.col("_n") - 1)).cast("long")
                 ),
             )
         )
     )
-    targets = bins.withColumn(
-        "_ranks",
-        F.filter(wanted, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_count"))),
-    ).where(F.size("_ranks") > 0)
-
-    width = F.col("_high") - F.col("_low")
-    fine = (
-        F.when(width > 0, F.floor((F.col("_v") - F.col("_low")) / width * FINE_BINS))
-        .otherwise(0)
-        .cast("int")
-    )
-    targets = targets.select(*group, "_bin", "_low", "_high", "_before", "_n", "_ranks")
-    if not keys:
-        # a single group: at most two bins per probability
-        targets = F.broadcast(targets)
-    inside = rows.join(targets, [*group, "_bin"]).withColumn("_fine", fine)
-    slices = inside.groupBy(*group, "_bin", "_fine").agg(
-        F.count(F.lit(1)).alias("_count"),
-        F.first("_before").alias("_start"),
-        F.first("_ranks").alias("_ranks"),
-        F.first("_n").alias("_n"),
-    )
-    within = Window.partitionBy(*group, "_bin").orderBy("_fine").rowsBetween(Window.unboundedPreceding, -1)
-    slices = (
-        slices.withColumn("_start", F.col("_start") + F.coalesce(F.sum("_count").over(within), F.lit(0)))
-        .withColumn(
-            "_ranks",
-            F.filter("_ranks", lambda r: (r >= F.col("_start")) & (r < F.col("_start") + F.col("_count"))),
-        )
-        .where(F.size("_ranks") > 0)
-        .select(*group, "_bin", "_fine", "_start", "_ranks")
-    )
-    values = (
-        inside.select(*group, "_bin", "_fine", "_v", "_n")
-        .join(slices, [*group, "_bin", "_fine"])
-        .groupBy(*group, "_bin", "_fine", "_v")
-        .agg(
-            F.count(F.lit(1)).alias("_count"),
-            F.first("_start").alias("_start"),
-            F.first("_ranks").alias("_ranks"),
-            F.first("_n").alias("_n"),
-        )
-    )
-    by_value = Window.partitionBy(*group, "_bin", "_fine").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    targets = totals.withColumn("_ranks", _within(wanted, F.col("_before"), F.col("_total"))).where(F.size("_ranks") > 0)
     found = (
-        values.withColumn("_start", F.col("_start") + F.coalesce(F.sum("_count").over(by_value), F.lit(0)))
-        .withColumn(
-            "_ranks",
-            F.filter("_ranks", lambda r: (r >= F.col("_start")) & (r < F.col("_start") + F.col("_count"))),
-        )
-        .select(*group, "_n", "_v", F.explode("_ranks").alias("_rank"))
+        ranged.join(targets, _same_group(ranged, targets, keys))
+        .withColumn("_start", _running_start(keys, "_v"))
+        .withColumn("_ranks", _within(F.col("_ranks"), F.col("_start"), F.col("_count")))
+        .select(*keys, "_n", "_v", F.explode("_ranks").alias("_rank"))
     )
     # at most two rows per quantile and group are left here
-    picked = found.groupBy(*group).agg(
+    picked = found.groupBy(*keys).agg(
         F.first("_n").alias("n"), F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at")
     )
 
@@ -149,10 +91,10 @@ def binned_quantiles(
         position = p * (F.col("n") - 1)
         low = F.col("_at")[F.floor(position).cast("long")]
         high = F.col("_at")[F.ceil(position).cast("long")]
-        return low + (high - low) * (position - F.floor(position))
+        # equal neighbours need no difference, which infinite ones do not have
+        return F.when(low == high, low).otherwise(low + (high - low) * (position - F.floor(position)))
 
-    result = picked.withColumn("q", F.transform(_positions(probabilities), interpolate))
-    return result.select(*keys, "n", "q")
+    return picked.where("n > 0").withColumn("q", F.transform(asked, interpolate)).select(*keys, "n", "q")
 
 
 def quantile(frame: DataFrame, keys: Sequence[str], value: str, probability: float, name: str) -> DataFrame:
@@ -170,25 +112,12 @@ def scalar_quantiles(frame: DataFrame, value: str, probabilities: Sequence[float
 def average_ranks(frame: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """Rank with ties averaged, per group and distinct value.
 
-    Returns keys, the value and its rank. Counts are taken per value first; the
-    running count is built from bin totals and inside bins, never over a whole
-    group.
+    Returns keys, the value and its rank.
     """
     keys = list(keys)
-    counted = (
-        frame.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("_count"))
-        .withColumn("_bin", coarse_bin(F.col(value).cast("double")))
-    )
-    bins = counted.groupBy(*keys, "_bin").agg(F.sum("_count").alias("_total"))
-    before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.withColumn("_before", F.coalesce(F.sum("_total").over(before), F.lit(0)))
-    inside = (
-        Window.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    )
+    ranged, totals = _counted_ranges(frame, keys, value)
     return (
-        counted.join(bins, [*keys, "_bin"])
-        .withColumn("_smaller", F.col("_before") + F.coalesce(F.sum("_count").over(inside), F.lit(0)))
-        .select(*keys, value, (F.col("_smaller") + (F.col("_count") + 1) / 2).alias(name))
+        ranged.join(totals, _same_group(ranged, totals, keys))
+        .withColumn("_start", _running_start(keys, value))
+        .select(*keys, value, (F.col("_start") + (F.col("_count") + 1) / 2).alias(name))
     )

@@ -247,23 +247,14 @@ def build_context(
     return with_irradiance(peer_irradiance(peer_source(frame, settings, inventory), scales, settings))
 
 
-def fit_thresholds(scored: DataFrame, settings: ResidualSettings, maximum_rows: int | None = None) -> ResidualSettings:
-    """LOF, low-residual and gap thresholds from scored history.
-
-    ``maximum_rows`` bounds the LOF sample as a parity option; the rows with the
-    smallest key hashes are taken, so the sample does not depend on the layout.
-    """
+def fit_thresholds(scored: DataFrame, settings: ResidualSettings) -> ResidualSettings:
+    """LOF, low-residual and gap thresholds from all scored history."""
     low = (
         with_drops(scored, settings)
         .where("lof_eligible and response_known")
         .where(F.col("string_current") > float(settings.zero_current_threshold))
     )
-    sample = low.select(*POINT_KEYS, "string_no", "lof_score", "residual_ratio")
-    if maximum_rows is not None:
-        sample = sample.orderBy(
-            F.xxhash64(*POINT_KEYS, "string_no"), *POINT_KEYS, "string_no"
-        ).limit(maximum_rows)
-    lof = quantiles(sample, [], "lof_score", [settings.lof_quantile]).first()
+    lof = quantiles(low, [], "lof_score", [settings.lof_quantile]).first()
     residual = quantiles(low, [], "residual_ratio", [settings.residual_quantile]).first()
     gaps = scored.where(F.col("collective_gap").isNotNull()).groupBy(*POINT_KEYS).agg(
         F.first("collective_gap").alias("collective_gap")
@@ -306,7 +297,6 @@ def fit_residual_model(
     inventory: DataFrame | None = None,
     context: DataFrame | None = None,
     scales: DataFrame | None = None,
-    maximum_rows: int | None = None,
 ) -> ResidualModel:
     """Scales, responses and thresholds from history without known alarms.
 
@@ -321,4 +311,4 @@ def fit_residual_model(
     context = stage(context, "context")
     responses = stage(fit_responses(context, settings), "string-responses")
     scored = stage(score_residuals(context, responses, settings), "residual-scores")
-    return ResidualModel(fit_thresholds(scored, settings, maximum_rows), scales, responses)
+    return ResidualModel(fit_thresholds(scored, settings), scales, responses)

@@ -13,7 +13,7 @@ from stringwatch.functions.lof import lof_scores
 from stringwatch.operators import runs
 from stringwatch.operators.channels import configured, readings
 from stringwatch.operators.quantiles import quantiles
-from stringwatch.schema import STRING_KEYS, number, require_columns
+from stringwatch.schema import POINT_KEYS, SOURCE_PLANT, STRING_KEYS, number, require_columns
 from stringwatch.storage import stage
 
 
@@ -49,7 +49,7 @@ def score_strings(frame: DataFrame, settings: LofSettings = LofSettings(minimum_
         number("rated_power").alias("rated_power"),
         *[
             c
-            for c in ("status_code", "main_string_count", "valid_current_string_count")
+            for c in ("status_code", "main_string_count", "valid_current_string_count", SOURCE_PLANT)
             if c in frame.columns
         ],
         strings.alias("_strings"),
@@ -103,6 +103,7 @@ def score_strings(frame: DataFrame, settings: LofSettings = LofSettings(minimum_
         "active_power",
         "rated_power",
         "active_power_ratio",
+        *([SOURCE_PLANT] if SOURCE_PLANT in frame.columns else []),
         F.inline(F.transform("_strings", output)),
     )
 
@@ -115,7 +116,7 @@ def fit_string_threshold(
     Normal means scored and, where any status is known, status 1.
     """
     scored = stage(
-        score_strings(frame, settings).select("lof_eligible", "string_status", "lof_score", "zero_current_alert"),
+        score_strings(frame, settings).select(*POINT_KEYS, "lof_eligible", "string_status", "lof_score", "zero_current_alert"),
         "string-scores",
     )
     counts = scored.agg(
@@ -129,11 +130,13 @@ def fit_string_threshold(
     normal = scored.where("lof_eligible")
     if counts["known_status"]:
         normal = normal.where("string_status = 1")
+    wide = scored.select(*POINT_KEYS).distinct().count()
     row = quantiles(normal, [], "lof_score", [settings.quantile, 0.5]).first()
     if row is None:
-        raise ValueError("No eligible normal string scores remain for calibration")
+        raise ValueError("the history has no normal string with a score, so no threshold can be fitted")
     fitted = settings.derive(threshold=row["q"][0])
     report = {
+        "wide_samples": wide,
         "string_samples": counts["string_samples"],
         "eligible_nonzero_samples": counts["eligible_nonzero_samples"],
         "normal_calibration_samples": row["n"],
@@ -146,8 +149,10 @@ def fit_string_threshold(
     return fitted, report
 
 
-def string_timeline(interval_minutes: int, chunk_minutes: int | None = None) -> runs.Timeline:
-    return runs.Timeline(STRING_KEYS, "event_time", interval_minutes, chunk_minutes)
+def string_timeline(frame: DataFrame, interval_minutes: int, chunk_minutes: int | None = None) -> runs.Timeline:
+    """Rows of one string; of mapped plants, of one string of one source plant."""
+    source = (SOURCE_PLANT,) if SOURCE_PLANT in frame.columns else ()
+    return runs.Timeline((*STRING_KEYS, *source), "event_time", interval_minutes, chunk_minutes)
 
 
 def add_string_alerts(scored: DataFrame, settings: LofSettings, chunk_minutes: int | None = None) -> DataFrame:
@@ -163,7 +168,7 @@ def add_string_alerts(scored: DataFrame, settings: LofSettings, chunk_minutes: i
         & (F.col("string_current_ratio") <= 1.0 - settings.minimum_relative_drop)
     )
     result = scored.withColumn("lof_raw_alert", F.coalesce(raw, F.lit(False)).cast("int"))
-    line = string_timeline(settings.interval_minutes, chunk_minutes)
+    line = string_timeline(scored, settings.interval_minutes, chunk_minutes)
     result = runs.with_streak(result, line, F.col("lof_raw_alert") == 1, "lof_consecutive")
     return result.withColumn(
         "lof_alert", (F.col("lof_consecutive") >= settings.minimum_consecutive).cast("int")
@@ -199,5 +204,5 @@ def string_events(
     }
     aggregates = [value.alias(name) for name, value in extra.items() if source[name] in points.columns]
     return runs.collapse(
-        points, string_timeline(interval_minutes, chunk_minutes), F.col(alert_column).cast("boolean"), aggregates
+        points, string_timeline(points, interval_minutes, chunk_minutes), F.col(alert_column).cast("boolean"), aggregates
     )

@@ -252,7 +252,7 @@ def training_audit(frame: DataFrame, interval_minutes: int = 5) -> DataFrame:
         total.alias("rows"),
         F.min("event_time").alias("minimum_event_time"),
         F.max("target_time").alias("maximum_target_time"),
-        F.countDistinct("device_no").alias("devices"),
+        F.countDistinct(*DEVICE_KEYS).alias("devices"),
         F.count_if(~F.col("candidate_normal")).alias("candidate_false_rows"),
         F.count_if(horizon != interval_minutes * MICROS_PER_MINUTE).alias("wrong_horizon_targets"),
         F.count_if(F.coalesce(F.col("status_code") != 1, F.lit(True))).alias("non_running_rows"),
@@ -314,14 +314,18 @@ def device_vocabulary(train: DataFrame, key: str = "device_key") -> DataFrame:
 
 
 def fit_power_model(train: DataFrame, features: Sequence[str], label: str = "target_active_power"):
-    """Linear one-step forecast as a Spark ML pipeline; unseen devices are kept."""
+    """Linear one-step forecast as a Spark ML pipeline.
+
+    Fitted on rows that have the label and all features. Applied to a row
+    without some feature it keeps the row and predicts NaN.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.regression import LinearRegression
 
     stages = [
-        VectorAssembler(inputCols=list(features), outputCol="_raw", handleInvalid="skip"),
+        VectorAssembler(inputCols=list(features), outputCol="_raw", handleInvalid="keep"),
         StandardScaler(inputCol="_raw", outputCol="features", withMean=True),
         LinearRegression(featuresCol="features", labelCol=label, predictionCol="predicted_power", regParam=1e-6),
     ]
-    return Pipeline(stages=stages).fit(train.where(F.col(label).isNotNull()))
+    return Pipeline(stages=stages).fit(train.na.drop(subset=[*features, label]))

@@ -41,9 +41,8 @@ def alert_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def completeness_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Device rows with a completeness flag; two of a plant's ten devices never report."""
-    rows = device_table(spark, sf_dir).where(F.col("device_no").cast("int") % 10 < 8)
-    return channels.with_completeness(rows.withColumn("main_string_count", F.lit(9)))
+    """Device rows with a completeness flag."""
+    return channels.with_completeness(device_table(spark, sf_dir).withColumn("main_string_count", F.lit(9)))
 
 
 SQL_A = f"{SQL_VIEWS},{SQL_ALARMS}"
@@ -105,7 +104,7 @@ def alarms_without_grid_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_CLASS = (
     SQL_GRID
     + """,
-cr as (select plant, dev, epoch, valid_strings >= 9 as ok from meta where dev % 10 < 8),
+cr as (select plant, dev, epoch, valid_strings >= 9 as ok from meta),
 rg as (select plant, dev, min(epoch) as f, max(epoch) as l, count(*) as raw_rows, count(*) filter (where ok) as clean_rows from cr group by plant, dev),
 c0 as (
   select a.id, a.code, a.plant, a.dev, a.rt, a.et, rg.f, rg.l,
@@ -188,11 +187,11 @@ SQL_COVER = (
     + """,
 pc as (
   select m.plant, m.dev, m.epoch, m.valid_strings as finite, min(p.c) as lo, max(p.c) as hi
-  from meta m left join pts p using (plant, dev, slot) where m.dev % 10 < 8 and not (m.slot % 6 = 2) group by all),
+  from meta m left join pts p using (plant, dev, slot) group by all),
 cv as (
   select ap.id, ap.code, ap.st_plant, ap.plant, ap.dev, ap.rt, ap.et, ap.epoch, pc.finite, pc.lo, pc.hi,
-    case when ap.plant is null then 'station_unmapped' when ap.plant % 5 = 4 then 'plant_not_audited'
-         when not (ap.dev % 10 < 8 and ap.dev in (select dev from meta)) then 'production_device_missing'
+    case when ap.plant is null then 'station_unmapped' when ap.plant not in (select plant from meta) then 'plant_not_audited'
+         when ap.dev not in (select dev from meta) then 'production_device_missing'
          when pc.epoch is null then 'production_timestamp_missing' when pc.finite < 9 then 'current_incomplete' else 'complete' end as status
   from ap left join pc on ap.plant = pc.plant and ap.dev = pc.dev and ap.epoch = pc.epoch),
 ce as (
@@ -210,14 +209,9 @@ ce2 as (
 
 def covered_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = alarms.expand_to_grid(alarm_events(spark, sf_dir))
-    devices = device_table(spark, sf_dir).where(F.col("device_no").cast("int") % 10 < 8)
-    # every sixth slot is lost
-    slot = F.floor((F.unix_seconds("event_time") - 1_780_272_000) / 86_400) * 13 + F.pmod(
-        F.unix_seconds("event_time") - 1_780_272_000, F.lit(86_400)
-    ) / 300
-    rows = devices.where(F.pmod(slot.cast("int"), F.lit(6)) != 2).withColumn("main_string_count", F.lit(9))
-    plants = devices.select("plant_id").distinct().where(F.col("plant_id").cast("int") % 5 != 4)
-    return coverage.attach_coverage(points, coverage.production_rows(rows), devices, plants)
+    devices = device_table(spark, sf_dir)
+    rows = devices.withColumn("main_string_count", F.lit(9))
+    return coverage.attach_coverage(points, coverage.production_rows(rows), devices, devices.select("plant_id").distinct())
 
 
 @query(
@@ -257,7 +251,7 @@ def coverage_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_EXTRACT = (
     SQL_CLASS
     + """,
-pr as (select * from meta where slot % 6 <> 2),
+pr as (select * from meta),
 wt as (
   select plant, t - o * 300 as epoch, bool_and(o > 0) as warm
   from (select distinct plant, epoch as t from lp), (select unnest([0, 1, 2, 3]) as o) group by all),
@@ -270,10 +264,8 @@ cx as (
 
 
 def production(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Device rows without every sixth slot, so that some labels find no row."""
-    since = F.unix_seconds("event_time") - 1_780_272_000
-    slot = F.floor(since / 86_400) * 13 + F.pmod(since, F.lit(86_400)) / 300
-    return device_table(spark, sf_dir).where(F.pmod(slot.cast("int"), F.lit(6)) != 2)
+    """All device rows, from a source apart from the one that classified the alarms."""
+    return device_table(spark, sf_dir)
 
 
 @query(
@@ -568,20 +560,20 @@ def evaluation_by_column_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "alarms_within_coverage",
     f"""with {SQL_SCOPED} select cast(id as varchar) as alarm_event_id from alc
- where exists (select 1 from alert where alert.plant = alc.st_plant and alert.dev = alc.dev and alert.plant % 3 <> 0)""",
+ where exists (select 1 from alert where alert.plant = alc.st_plant and alert.dev = alc.dev)""",
 )
 def alarms_within_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    predictions = station_predictions(spark, sf_dir).where(F.col("plant_id").cast("int") % 3 != 0)
+    predictions = station_predictions(spark, sf_dir)
     return alarms.restrict_to_predictions(alarm_events(spark, sf_dir), predictions).select("alarm_event_id")
 
 
 @query(
     "alarms_outside_coverage",
     f"""with {SQL_SCOPED} select 'station-' || cast(st_plant as varchar) as station_name, count(*) as excluded_events from alc
- where not exists (select 1 from alert where alert.plant = alc.st_plant and alert.dev = alc.dev and alert.plant % 3 <> 0) group by 1""",
+ where not exists (select 1 from alert where alert.plant = alc.st_plant and alert.dev = alc.dev) group by 1""",
 )
 def alarms_outside_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    predictions = station_predictions(spark, sf_dir).where(F.col("plant_id").cast("int") % 3 != 0)
+    predictions = station_predictions(spark, sf_dir)
     return alarms.excluded_stations(alarm_events(spark, sf_dir), predictions)
 
 

@@ -230,10 +230,9 @@ def export_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "plant_alignment",
-    f"""with {SQL_W}, dp as (select distinct plant from meta where plant % 3 <> 1), mw as (select * from wx where plant in (select plant from dp))
+    f"""with {SQL_W}, dp as (select distinct plant from meta), mw as (select * from wx where plant in (select plant from dp))
 select (select count(*) from dp) as target_plants, (select count(*) from dp where plant in (select plant from wx)) as target_plants_present,
  count(*) as matched_rows, round_even(count(*) filter (where sensor_ghi is null) * 100.0 / count(*), 4) as matched_sensor_ghi_null_percent from mw""",
 )
 def plant_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    devices = device_table(spark, sf_dir).where(F.col("plant_id").cast("int") % 3 != 1)
-    return audit.plant_alignment(devices, weather_table(spark, sf_dir), ["sensor_ghi"])
+    return audit.plant_alignment(device_table(spark, sf_dir), weather_table(spark, sf_dir), ["sensor_ghi"])

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stringwatch.config import (
@@ -15,6 +15,7 @@ from stringwatch.config import (
     WeatherSettings,
 )
 from stringwatch.operators import channels, intervals, irradiance, memory, persistent, residuals, thresholds
+from stringwatch.sources import sinks
 from stringwatch.storage import stage
 
 # fixed values: the either-or gate of 20 % or 0.5 A
@@ -45,6 +46,51 @@ class Calibration:
     hierarchy: thresholds.ContextThresholds
     persistent: persistent.PersistentModel
 
+    def save(self, path: str) -> None:
+        """One folder per table and setting below ``path``, for use in another process."""
+        spark = self.inventory.sparkSession
+        sinks.save_model(spark, f"{path}/residual", self.model.settings, {"scales": self.model.scales, "responses": self.model.responses})
+        sinks.save_model(spark, f"{path}/persistent", self.persistent.settings)
+        tables = {"inventory": self.inventory, "weather-map": self.weather_map}
+        ladders = {"hierarchy": self.hierarchy, "groups": self.persistent.thresholds}
+        for name, ladder in ladders.items():
+            for level in fields(ladder):
+                value = getattr(ladder, level.name)
+                if isinstance(value, DataFrame):
+                    tables[f"{name}/{level.name}"] = value
+                else:
+                    tables[f"{name}/{level.name}"] = spark.createDataFrame([(value,)], "value double")
+        for name, table in tables.items():
+            if table is not None:
+                table.write.mode("errorifexists").parquet(f"{path}/{name}")
+        written = spark.createDataFrame([(name,) for name, table in tables.items() if table is not None], "name string")
+        written.coalesce(1).write.json(f"{path}/tables")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Calibration:
+        names = {row["name"] for row in spark.read.schema("name string").json(f"{path}/tables").collect()}
+
+        def ladder(name: str) -> thresholds.ContextThresholds:
+            values = {}
+            for level in fields(thresholds.ContextThresholds):
+                table = sinks.load_table(spark, f"{path}/{name}", level.name)
+                values[level.name] = table.first()["value"] if table.columns == ["value"] else table
+            return thresholds.ContextThresholds(**values)
+
+        residual = f"{path}/residual"
+        model = residuals.ResidualModel(
+            sinks.load_settings(spark, residual, ResidualSettings),
+            sinks.load_table(spark, residual, "scales"),
+            sinks.load_table(spark, residual, "responses"),
+        )
+        return cls(
+            sinks.load_table(spark, path, "inventory"),
+            model,
+            sinks.load_table(spark, path, "weather-map") if "weather-map" in names else None,
+            ladder("hierarchy"),
+            persistent.PersistentModel(sinks.load_settings(spark, f"{path}/persistent", PersistentSettings), ladder("groups")),
+        )
+
 
 def _context(
     frame: DataFrame,

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stringwatch.config import MemorySettings
 from stringwatch.plans.alarm_queries import alarm_events
-from stringwatch.plans.detection import DetectionSettings, calibrate, detect, detected_events
+from stringwatch.plans.detection import Calibration, DetectionSettings, calibrate, detect, detected_events
 from stringwatch.plans.driver_views import device_table, epoch, weather_table
 from stringwatch.plans.registry import query
 from stringwatch.plans.residual_queries import HIERARCHY, PERSISTENT, SETTINGS, WEATHER
+from stringwatch.storage import staging_path
 
 DETECTION = DetectionSettings(
     residual=SETTINGS,
@@ -23,14 +24,15 @@ DETECTION = DetectionSettings(
 
 @query("detected_events")
 def complete_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calibrate without alarm windows, with weather, then detect on all rows.
+    """Calibrate without alarm windows, with weather, store the fit, then detect on all rows with the stored one.
 
     Every stage of it has a query of its own that is compared with SQL.
     """
     rows, weather = device_table(spark, sf_dir), weather_table(spark, sf_dir)
-    # alarms of whole devices only, without a buffer: the slots are few, and history must be left
-    alarms = alarm_events(spark, sf_dir).where("plant_id is not null and alarm_string = ''")
-    fitted = calibrate(rows, alarms, weather, DETECTION, "UTC")
+    alarms = alarm_events(spark, sf_dir)
+    path = staging_path(spark, "calibration")
+    calibrate(rows, alarms, weather, DETECTION, "UTC").save(path)
+    fitted = Calibration.load(spark, path)
     events = detected_events(detect(rows, fitted, weather, DETECTION), DETECTION)
     return events.select(
         "plant_id", "device_no", "string_no", epoch("start_time", "start_epoch"), epoch("end_time", "end_epoch"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +12,11 @@ from stringwatch.functions.timegrid import local_date, local_text
 from stringwatch.operators import channels, training
 from stringwatch.operators.numbering import with_row_numbers
 from stringwatch.operators.strings import row_eligible
-from stringwatch.plans.driver_views import SQL_VIEWS, SQL_WEATHER, device_table, epoch, weather_table
+from stringwatch.plans.driver_views import SQL_VIEWS, SQL_WEATHER, device_table, epoch, table, weather_table
 from stringwatch.plans.registry import query
 from stringwatch.plans.string_queries import SETTINGS
 from stringwatch.sources import sinks, telemetry
-from stringwatch.storage import stage, staging_root
+from stringwatch.storage import stage, staging_path, staging_root
 
 TZ = "Asia/Shanghai"
 KEYS_SQL = "cast(plant as varchar) as plant_id, cast(dev as varchar) as device_no, epoch as event_epoch"
@@ -133,6 +134,126 @@ def partitioned_read_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("rows_in_range", "duplicate_rows_removed", "devices")
 
 
+@query(
+    "damaged_files_report",
+    f"""with {SQL_VIEWS} select count(*) as rows_read, count(*) as rows_in_range, cast(0 as bigint) as duplicate_rows_removed,
+ count(distinct dev) as devices, cast(2 as bigint) as files_failed, 'part-broken.parquet,part-cut.parquet' as error_examples, cast(1 as bigint) as empty_files from meta""",
+)
+def damaged_files_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sound files, an empty one, one without a footer and one of which half is left."""
+    path = staging_path(spark, "damaged")
+    rows = device_table(spark, sf_dir)
+    rows.write.parquet(f"{path}/date=2026-06-01")
+    rows.limit(0).coalesce(1).write.parquet(f"{path}/date=2026-06-02")
+    files = spark._jvm.org.apache.hadoop.fs
+    folder = files.Path(f"{path}/date=2026-06-03")
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    one = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{path}/date=2026-06-01").limit(1)
+    content = bytes(one.first()["content"])
+    system.mkdirs(folder)
+    for name, part in (("part-broken.parquet", content[:64]), ("part-cut.parquet", content[: len(content) // 2])):
+        target = system.create(files.Path(folder, name))
+        target.write(bytearray(part))
+        target.close()
+    status = stage(telemetry.file_status(spark, path), "file-status")
+    report = telemetry.read_report(spark, path, "2026-01-01", "2027-01-01", TZ)
+    return report.join(status.agg(F.count_if(F.col("status") == "empty").alias("empty_files"))).select(
+        "rows_read", "rows_in_range", "duplicate_rows_removed", "devices", "files_failed",
+        F.array_join("error_examples", ",").alias("error_examples"), "empty_files",
+    )
+
+
+@query(
+    "station_points",
+    f"""with {SQL_VIEWS} select 'station-' || cast(plant as varchar) as station_name, cast(plant as varchar) as plant_id,
+ cast(dev % 10 as varchar) as device_no, epoch as event_epoch, round(active_power, 6) as active_power from meta""",
+)
+def station_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points written and read with the station of their own plant; device numbers repeat between plants."""
+    path = staging_path(spark, "points")
+    rows = device_table(spark, sf_dir).withColumn("device_no", (F.col("device_no").cast("long") % 10).cast("string"))
+    sinks.write_partitioned(rows, path)
+    devices = telemetry.device_set(rows).withColumn("station_name", F.concat(F.lit("station-"), "plant_id"))
+    points = telemetry.read_points(spark, path, devices, devices.select("station_name", "plant_id").distinct())
+    return points.select("station_name", *keys(), *r6("active_power"))
+
+@query(
+    "weather_merged_roots",
+    f"""with {SQL_VIEWS},{SQL_WEATHER} select cast(plant as varchar) as plant_id, wt as event_epoch,
+ round(forecast_ghi + case when plant % 2 = 0 then 1 else 0 end, 6) as forecast_ghi, round(sensor_ghi, 6) as sensor_ghi from wx""",
+)
+def weather_merged_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two roots, the second corrects the forecasts of every other plant."""
+    path, weather = staging_path(spark, "weather"), weather_table(spark, sf_dir)
+    weather.write.parquet(f"{path}/a")
+    corrected = weather.where(F.col("plant_id").cast("int") % 2 == 0).withColumn("forecast_ghi", F.col("forecast_ghi") + 1)
+    corrected.write.parquet(f"{path}/b")
+    return telemetry.read_weather(spark, [f"{path}/a", f"{path}/b"]).select(
+        "plant_id", epoch("time", "event_epoch"), *r6("forecast_ghi", "sensor_ghi")
+    )
+
+
+@query(
+    "plant_day_rows",
+    f"""with {SQL_VIEWS} select {KEYS_SQL}, round(active_power, 6) as active_power from meta
+ where plant = 0 and (epoch + 28800) // 86400 - {1_780_272_000 // 86_400} in (0, 2)""",
+)
+def plant_day_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One plant's partitions of two local days."""
+    path = staging_path(spark, "devices")
+    sinks.write_partitioned(device_table(spark, sf_dir), path)
+    rows = telemetry.plant_rows(telemetry.read_partitioned(spark, path), "0", ["2026-06-01", "2026-06-03"])
+    return rows.select(F.col("plant_id").cast("string").alias("plant_id"), "device_no", epoch("event_time", "event_epoch"), *r6("active_power"))
+
+
+@query(
+    "exported_days",
+    f"""with {SQL_VIEWS} select strftime(to_timestamp(epoch + 28800)::timestamp, '%Y-%m-%d') as local_day, count(*) as rows,
+ (select count(*) from meta where epoch + 28800 >= {1_780_272_000 + 86_400} and epoch + 28800 < {1_780_272_000 + 3 * 86_400}) as exported_rows
+ from meta where epoch + 28800 >= {1_780_272_000 + 86_400} and epoch + 28800 < {1_780_272_000 + 3 * 86_400} group by 1""",
+)
+def exported_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of local days exported, counted in the written files and by the export itself."""
+    result = sinks.export_dataset(
+        device_table(spark, sf_dir), staging_path(spark, "export"), dt.date(2026, 6, 2), dt.date(2026, 6, 4), "event_time", TZ
+    )
+    written = spark.read.parquet(result["output"])
+    return written.groupBy(F.col("date").cast("string").alias("local_day")).agg(
+        F.count(F.lit(1)).alias("rows"), F.lit(result["exported_rows"]).cast("bigint").alias("exported_rows")
+    )
+
+
+@query(
+    "station_plants",
+    "select distinct 'station-' || cast(s_suppkey // 10 as varchar) as station_name, cast(s_suppkey // 10 as varchar) as plant_id from supplier",
+)
+def station_plants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The station mapping as a JSON object, written and read; one entry per station."""
+    path = staging_path(spark, "stations")
+    plant = F.floor(F.col("s_suppkey") / 10).cast("string")
+    plants = table(spark, sf_dir, "supplier").select(plant.alias("plant_id")).distinct()
+    pairs = F.collect_list(F.struct(F.concat(F.lit(" station-"), "plant_id"), "plant_id"))
+    plants.agg(F.to_json(F.struct(F.map_from_entries(pairs).alias("station_to_plant_id")))).write.text(path)
+    return telemetry.read_station_plants(spark, path)
+
+
+@query(
+    "report_tables",
+    f"""with {SQL_VIEWS} select cast(plant as varchar) as plant_id, count(*) as rows, count(distinct dev) as devices from meta group by plant""",
+)
+def report_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report's table, read back from its CSV copy."""
+    path = staging_path(spark, "report")
+    counts = device_table(spark, sf_dir).groupBy("plant_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("device_no").alias("devices")
+    )
+    sinks.write_report(path, {"plants": counts}, {"metrics": counts})
+    metrics = spark.read.schema(counts.schema).json(f"{path}/metrics.json").select("plant_id")
+    return telemetry.read_any(spark, f"{path}/plants.csv").join(metrics, "plant_id", "left_semi").select(
+        "plant_id", F.col("rows").cast("bigint").alias("rows"), F.col("devices").cast("bigint").alias("devices")
+    )
+
+
 @query(
     "csv_export_manifest",
     f"""with {SQL_VIEWS} select cast(plant as varchar) as plant_id, count(distinct (epoch + 28800) // 86400) as dates, count(*) as rows,
@@ -178,7 +299,7 @@ def plant_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def plant_restoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapped = telemetry.apply_plant_mapping(device_table(spark, sf_dir), {"3": "0", "5": "1"})
-    restored = telemetry.restore_plants(mapped.drop("source_plant_id"), mapped)
+    restored = telemetry.restore_plants(mapped)
     return restored.groupBy("plant_id", "model_plant_id").agg(F.count(F.lit(1)).alias("rows"))
 
 

@@ -140,8 +140,9 @@ def raw_alarm_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as an alarm file: everything text, some rows malformed."""
     key = F.col("o_orderkey")
     start = slot_epoch(F.floor(day_number("o_orderdate") / SLOT_DAYS)) + key % 5 * 60
-    device = F.floor(F.col("o_custkey") / 15)
-    length = F.when(key % 89 == 0, F.lit(-60)).otherwise(key % 40 * 60)
+    # more devices than suppliers report; most alarms are short, so that history without alarms is left
+    device = F.floor(F.col("o_custkey") / 13)
+    length = F.when(key % 89 == 0, F.lit(-60)).when(key % 16 == 7, key % 40 * 60).otherwise(key % 4 * 60)
     return table(spark, sf_dir, "orders").select(
         key.cast("string").alias("id"),
         F.when(F.col("o_orderstatus") == "F", "101001")
@@ -177,7 +178,7 @@ def station_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_ALARMS = f"""
 od as (
   select *, cast(floor(date_diff('day', date '1995-01-01', cast(o_orderdate as date)) / {SLOT_DAYS}.0) as bigint) as slot,
-         o_custkey // 15 as dev from orders),
+         o_custkey // 13 as dev from orders),
 al as (
   select o_orderkey as id, dev, dev // 10 as st_plant,
          case o_orderstatus when 'F' then '101001' when 'O' then '101002' else '999' end as code,
@@ -185,7 +186,7 @@ al as (
               when o_orderkey % 4 = 1 then [o_orderkey % 12 + 1, o_orderkey % 7 + 1]
               else [o_orderkey % 12 + 1] end as strings,
          {DAY_OF_SLOT} + o_orderkey % 5 * 60 as rt,
-         {DAY_OF_SLOT} + o_orderkey % 5 * 60 + o_orderkey % 40 * 60 as et
+         {DAY_OF_SLOT} + o_orderkey % 5 * 60 + case when o_orderkey % 16 = 7 then o_orderkey % 40 else o_orderkey % 4 end * 60 as et
   from od where o_orderkey % 97 <> 0 and o_orderkey % 89 <> 0),
 alc as (
   select *, case when st_plant % 7 <> 3 and st_plant in (select distinct s_suppkey // 10 from supplier) then st_plant end as plant

@@ -15,6 +15,7 @@ from stringwatch.config import (
 from stringwatch.functions.arrays import number_list
 from stringwatch.functions.gates import effect_gate
 from stringwatch.operators import irradiance, memory, persistent, residuals, thresholds
+from stringwatch.plans import detection
 from stringwatch.plans.driver_views import SQL_VIEWS, SQL_WEATHER, device_table, epoch, weather_table
 from stringwatch.plans.registry import query
 from stringwatch.storage import stage
@@ -440,6 +441,18 @@ def reconstructed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "unconfirmed_candidates",
+    f"""with recursive {SQL_MEMORY} select cast(plant as varchar) as plant_id, cast(dev as varchar) as device_no,
+ cast(s as integer) as string_no, a as start_epoch, b as end_epoch, points from mev where confirmed = 0""",
+)
+def unconfirmed_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate events that no alert ever confirmed."""
+    return detection.unconfirmed_candidates(remembered(spark, sf_dir), detection.DetectionSettings(memory=MEMORY)).select(
+        "plant_id", "device_no", "string_no", epoch("start_time", "start_epoch"), epoch("end_time", "end_epoch"), "points"
+    )
+
+
 @query(
     "memory_report",
     f"""with recursive {SQL_MEMORY} select cast(plant as varchar) as plant_id, count(*) as rows,
@@ -535,6 +548,28 @@ def persistent_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "persistent_events",
+    f"""with {SQL_GROUPS},
+pa as (
+  select sc.plant, sc.dev, sc.s, g6.epoch, sc.c, g6.wmed,
+    coalesce(g6.epoch - lag(g6.epoch) over (partition by sc.plant, sc.dev, sc.s order by g6.epoch) <> 300, true) as nw
+  from sc join g6 using (plant, dev, slot)
+  where coalesce(round(wmed - thr, 9) >= 0, false) and member and known and c > 0),
+pr as (select *, sum(nw::int) over (partition by plant, dev, s order by epoch) as run from pa)
+select plant::varchar as plant_id, dev::varchar as device_no, cast(s as integer) as string_no, min(epoch) as start_epoch, max(epoch) as end_epoch,
+ count(*) as points, round(max(wmed), 6) as maximum_deficit, round(min(c), 6) as minimum_current from pr group by plant, dev, s, run""",
+)
+def persistent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = scored_points(spark, sf_dir)
+    fitted, _ = persistent.fit_persistent(scored, PERSISTENT)
+    events = persistent.persistent_events(persistent.apply_persistent(scored, fitted))
+    return events.select(
+        "plant_id", "device_no", "string_no", epoch("start_time", "start_epoch"), epoch("end_time", "end_epoch"), "points",
+        *r6("maximum_deficit", "minimum_current"),
+    )
+
+
 # --- weather ---------------------------------------------------------------
 
 WEATHER = WeatherSettings(candidate_offsets_minutes=(0, 15), minimum_mapping_samples=50, mapping_bins=5)

@@ -9,6 +9,8 @@ from stringwatch.config import LofSettings
 from stringwatch.operators import strings
 from stringwatch.plans.driver_views import SQL_VIEWS, device_table, epoch
 from stringwatch.plans.registry import query
+from stringwatch.sources import sinks, telemetry
+from stringwatch.storage import staging_path
 
 SETTINGS = LofSettings(threshold=1.6)
 
@@ -138,3 +140,70 @@ def string_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("maximum_lof_score", 6).alias("maximum_lof_score"),
         F.col("duration_minutes").cast("double").alias("duration_minutes"),
     )
+
+
+FIT = LofSettings(quantile=0.985)
+
+SQL_NORMAL = """
+normal as (select score from scored where score is not null and st = 1),
+fit as (select quantile_cont(score, 0.985) as threshold, quantile_cont(score, 0.5) as med, max(score) as top, count(*) as n from normal)
+"""
+# alerts as above, with the fitted threshold in place of the given one
+SQL_FITTED = SQL_SCORES.replace("raw as (", SQL_NORMAL.strip() + ",\nraw as (", 1).replace("score >= 1.6", "score >= (select threshold from fit)")
+
+
+@query(
+    "string_threshold",
+    f"""with {SQL_SCORES},{SQL_NORMAL}
+select round(threshold, 6) as threshold, round(med, 6) as score_median, round(top, 6) as score_maximum, n as normal_calibration_samples,
+       (select count(*) from (select distinct plant, dev, epoch from scored)) as wide_samples, (select count(*) from scored) as string_samples,
+       (select count(*) from scored where score is not null) as eligible_nonzero_samples,
+       (select count(*) from scored where zero) as zero_current_samples
+from fit""",
+)
+def string_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fitted threshold and its report, one row."""
+    _, report = strings.fit_string_threshold(device_table(spark, sf_dir), FIT)
+    rounded = {k: round(report[k], 6) for k in ("threshold", "score_median", "score_maximum")}
+    counts = ("normal_calibration_samples", "wide_samples", "string_samples", "eligible_nonzero_samples", "zero_current_samples")
+    return spark.createDataFrame(
+        [tuple(rounded.values()) + tuple(report[k] for k in counts)],
+        ", ".join([f"{k} double" for k in rounded] + [f"{k} bigint" for k in counts]),
+    )
+
+
+@query(
+    "stored_string_alerts",
+    f"""with {SQL_FITTED}
+select cast(plant as varchar) as plant_id, cast(dev as varchar) as device_no, epoch as event_epoch, cast(s as integer) as string_no,
+       cast(raw as integer) as lof_raw_alert, cast(combined as integer) as combined_alert
+from alert""",
+)
+def stored_string_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fit, write the fit, read it back and apply it."""
+    rows, path = device_table(spark, sf_dir), staging_path(spark, "string-model")
+    sinks.save_model(spark, path, strings.fit_string_threshold(rows, FIT)[0])
+    alerts = strings.apply_string_detector(rows, sinks.load_settings(spark, path, LofSettings))
+    return alerts.select(
+        "plant_id", "device_no", epoch("event_time", "event_epoch"), "string_no", "lof_raw_alert", "combined_alert"
+    )
+
+
+@query(
+    "mapped_string_events",
+    f"""with {SQL_EVENTS}
+select cast(plant as varchar) as plant_id, case when plant % 2 = 1 then cast(plant - 1 as varchar) else cast(plant as varchar) end as model_plant_id,
+       cast(dev % 10 as varchar) as device_no, cast(s as integer) as string_no, st_epoch as start_epoch, en_epoch as end_epoch, points,
+       round(max_score, 6) as maximum_lof_score
+from ev""",
+)
+def mapped_string_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plants that share a model plant own devices of the same numbers; their strings stay apart."""
+    rows = device_table(spark, sf_dir).withColumn("device_no", (F.col("device_no").cast("long") % 10).cast("string"))
+    plants = sorted(int(r[0]) for r in rows.select("plant_id").distinct().collect())  # the mapping is a list of plants
+    mapped = telemetry.apply_plant_mapping(rows, {str(p): str(p - 1) for p in plants if p % 2 == 1})
+    events = strings.string_events(strings.apply_string_detector(mapped, SETTINGS))
+    return telemetry.restore_plants(events).select(
+        "plant_id", "model_plant_id", "device_no", "string_no", F.unix_seconds("start_time").alias("start_epoch"),
+        F.unix_seconds("end_time").alias("end_epoch"), "points", F.round("maximum_lof_score", 6).alias("maximum_lof_score"),
+    )

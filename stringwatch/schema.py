@@ -12,6 +12,9 @@ CURRENT_COLUMN = re.compile(r"^string_current_(\d{2})$")
 DEVICE_KEYS = ("plant_id", "device_no")
 POINT_KEYS = ("plant_id", "device_no", "event_time")
 STRING_KEYS = ("plant_id", "device_no", "string_no")
+# where plants are mapped to model plants: the plant a row comes from
+SOURCE_PLANT = "source_plant_id"
+# fixed values: the metadata columns of a device table
 META_COLUMNS = (
     "event_time",
     "plant_id",

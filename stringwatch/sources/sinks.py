@@ -14,6 +14,7 @@ from stringwatch.config import Settings
 from stringwatch.functions.timegrid import local_date, utc_bound
 from stringwatch.schema import require_columns
 
+# the default length of an export, a parameter of it
 MAXIMUM_EXPORT_DAYS = 31
 
 
@@ -28,12 +29,12 @@ def write_partitioned(frame: DataFrame, path: str, time: str = "event_time", tim
     dated.hint("rebalance", "plant_id", "date").write.mode("errorifexists").partitionBy("plant_id", "date").parquet(path)
 
 
-def local_date_range(start: dt.date, end: dt.date, timezone: str) -> tuple[str, str]:
-    """Half-open range of local dates as bounds, at most 31 days."""
+def local_date_range(start: dt.date, end: dt.date, maximum_days: int | None = MAXIMUM_EXPORT_DAYS) -> tuple[str, str]:
+    """Half-open range of local dates as bounds, at most ``maximum_days``; None sets no limit."""
     if end <= start:
         raise ValueError("end must be later than start")
-    if (end - start).days > MAXIMUM_EXPORT_DAYS:
-        raise ValueError("an export covers at most 31 days")
+    if maximum_days is not None and (end - start).days > maximum_days:
+        raise ValueError(f"an export covers at most {maximum_days} days")
     return f"{start.isoformat()}T00:00:00", f"{end.isoformat()}T00:00:00"
 
 
@@ -45,12 +46,13 @@ def export_dataset(
     time: str,
     timezone: str = "Asia/Shanghai",
     plant_id: str | None = None,
+    maximum_days: int | None = MAXIMUM_EXPORT_DAYS,
 ) -> dict[str, Any]:
     """Write a date range as date partitions and reconcile the row count.
 
     Rows are counted by the writing job itself and again in the written table.
     """
-    first, last = local_date_range(start, end, timezone)
+    first, last = local_date_range(start, end, maximum_days)
     chosen = frame.where((F.col(time) >= utc_bound(first, timezone)) & (F.col(time) < utc_bound(last, timezone)))
     target = path
     if plant_id is not None:
@@ -71,9 +73,10 @@ def export_dataset(
 def export_csv(
     frame: DataFrame, path: str, time: str, timezone: str = "Asia/Shanghai", plants: Sequence[str] | None = None
 ) -> DataFrame:
-    """Raw rows as CSV by plant and local day; returns the manifest.
+    """Raw rows as CSV by plant and local day; returns the manifest of what was written.
 
-    A row without a valid time fails the job.
+    A row without a valid time fails the job. The manifest is read back from the
+    files, not taken from the input.
     """
     require_columns(frame, ("plant_id", time), "table")
     rows = frame if plants is None else frame.where(F.col("plant_id").cast("string").isin(*plants))
@@ -82,7 +85,8 @@ def export_csv(
     ).otherwise(local_date(time, timezone))
     dated = rows.withColumn("date", checked)
     dated.write.mode("errorifexists").option("header", "true").partitionBy("plant_id", "date").csv(path)
-    return export_manifest(dated, time)
+    written = frame.sparkSession.read.schema(dated.schema).option("header", "true").csv(path)
+    return export_manifest(written, time)
 
 
 def check_same_schema(spark: SparkSession, paths: Sequence[str]) -> list[str]:
@@ -91,7 +95,7 @@ def check_same_schema(spark: SparkSession, paths: Sequence[str]) -> list[str]:
     for path in paths:
         columns = spark.read.parquet(path).columns
         if first is not None and columns != first:
-            raise ValueError(f"Raw schema differs between Parquet files: {path}")
+            raise ValueError(f"the columns of {path} are not those of the first input")
         first = columns
     return first or []
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import io
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from stringwatch.functions.timegrid import utc_bound
-from stringwatch.schema import META_COLUMNS, POINT_KEYS, key_text, normalise_keys
+from stringwatch.schema import META_COLUMNS, POINT_KEYS, SOURCE_PLANT, key_text, normalise_keys, require_columns
 
 
 def check_bounds(spark: SparkSession, start: str, end: str, timezone: str) -> None:
@@ -23,14 +28,19 @@ def read_partitioned(
     paths: str | Sequence[str],
     columns: Sequence[str] | None = None,
     tolerate_corrupt: bool = False,
+    schema: StructType | str | None = None,
+    merge_schemas: bool = False,
 ) -> DataFrame:
     """Parquet under one or several roots with their partition columns.
 
-    Schemas of files are merged. ``tolerate_corrupt`` skips unreadable files, see
-    :func:`failed_files`.
+    An explicit ``schema`` spares the look into footers; ``merge_schemas`` looks
+    into all of them. ``tolerate_corrupt`` skips what cannot be read; ask
+    :func:`file_status` what that is.
     """
     roots = [paths] if isinstance(paths, str) else list(paths)
-    reader = spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "false")
+    reader = spark.read.option("mergeSchema", str(merge_schemas).lower()).option("recursiveFileLookup", "false")
+    if schema is not None:
+        reader = reader.schema(schema)
     if tolerate_corrupt:
         reader = reader.option("ignoreCorruptFiles", "true")
     frame = reader.parquet(*roots)
@@ -87,40 +97,103 @@ def read_devices(
     start: str,
     end: str,
     timezone: str = "Asia/Shanghai",
-    tolerate_corrupt: bool = True,
+    tolerate_corrupt: bool = False,
+    schema: StructType | str | None = None,
+    merge_schemas: bool = False,
 ) -> DataFrame:
-    """Wide device rows in a local time range, unique per device and time."""
+    """Wide device rows in a local time range, unique per device and time.
+
+    A file that cannot be read fails the job unless ``tolerate_corrupt`` is set.
+    """
     check_bounds(spark, start, end, timezone)
-    frame = within(read_partitioned(spark, paths, None, tolerate_corrupt), start, end, timezone)
+    frame = within(read_partitioned(spark, paths, None, tolerate_corrupt, schema, merge_schemas), start, end, timezone)
     columns = device_columns(frame.columns)
     positioned = with_position(frame).select(*columns, "_file", "_position")
     return keep_last(normalise_keys(positioned))
 
 
-def read_report(spark: SparkSession, paths: str | Sequence[str], start: str, end: str, timezone: str = "Asia/Shanghai") -> DataFrame:
-    """Rows in range, repeated rows, devices and files behind a read."""
-    frame = within(read_partitioned(spark, paths, None, True), start, end, timezone)
-    keyed = normalise_keys(with_position(frame).select(*POINT_KEYS, "_file"))
-    totals = keyed.groupBy(*POINT_KEYS).agg(F.count(F.lit(1)).alias("_copies")).agg(
+def read_report(
+    spark: SparkSession, root: str, start: str, end: str, timezone: str = "Asia/Shanghai", examples: int = 5
+) -> DataFrame:
+    """One row: files selected, read and failed, rows read and in range, repeated rows, devices, examples of errors."""
+    files = file_status(spark, root).agg(
+        F.count(F.lit(1)).alias("files_selected"),
+        F.count_if(F.col("status") != "damaged").alias("files_read"),
+        F.count_if(F.col("status") == "damaged").alias("files_failed"),
+        F.coalesce(F.sum("read_rows"), F.lit(0)).alias("rows_read"),
+        F.slice(
+            F.sort_array(F.collect_set(F.when(F.col("status") == "damaged", F.element_at(F.split("path", "/"), -1)))), 1, examples
+        ).alias("error_examples"),
+    )
+    frame = within(read_partitioned(spark, root, None, True, None, True), start, end, timezone)
+    totals = normalise_keys(frame.select(*POINT_KEYS)).groupBy(*POINT_KEYS).agg(F.count(F.lit(1)).alias("_copies")).agg(
         F.coalesce(F.sum("_copies"), F.lit(0)).alias("rows_in_range"),
         F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicate_rows_removed"),
         F.countDistinct("plant_id", "device_no").alias("devices"),
     )
-    files = keyed.agg(F.countDistinct("_file").alias("files_read"))
-    return totals.withColumn("_k", F.lit(0)).join(files.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    return files.join(totals)  # two single rows
 
 
-def failed_files(spark: SparkSession, root: str) -> DataFrame:
-    """Files below ``root`` that a tolerant read could not use."""
+def file_status(spark: SparkSession, root: str, schema: StructType | str | None = None) -> DataFrame:
+    """Every Parquet file below ``root``: path, length, footer_rows, read_rows and status.
+
+    All data columns are read and the rows counted against the footer's number:
+    a file is ``damaged`` if it has no usable footer or yields fewer rows than
+    that says, ``empty`` if it is sound and has none, ``intact`` otherwise.
+    Without a ``schema`` those of all sound files are merged.
+    """
     listed = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.parquet")
         .load(root)
-        .select("path", "length")
     )
-    usable = read_partitioned(spark, root, None, True).select(F.col("_metadata.file_path").alias("path")).distinct()
-    return listed.join(usable, "path", "left_anti").where("length > 0")
+    read = read_partitioned(spark, root, None, True, schema, schema is None)
+    path = F.col("_metadata.file_path").alias("_read_path")
+    # a count alone comes from the footers, a hash needs every page
+    by_footer = read.select(path).groupBy("_read_path").agg(F.count(F.lit(1)).alias("footer_rows"))
+    by_pages = (
+        read.select(path, F.xxhash64(*[F.col(f"`{c}`") for c in read.columns]).alias("_hash"))
+        .groupBy("_read_path")
+        .agg(F.count(F.lit(1)).alias("_n"), F.max("_hash").alias("_hash"))
+        # the hash must be wanted, or no page would be read
+        .select("_read_path", F.when(F.col("_hash").isNotNull(), F.col("_n")).alias("read_rows"))
+    )
+    counted = listed.select("path", "length").join(by_footer, F.col("path") == F.col("_read_path"), "left").drop("_read_path")
+    counted = counted.join(by_pages, F.col("path") == F.col("_read_path"), "left").drop("_read_path")
+
+    def footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"_silent": batch["path"], "_sound": [_sound(c) for c in batch["content"]]})
+
+    # files that gave no row at all, empty ones and those without a footer; only their names reach the driver
+    silent = [row["path"] for row in counted.where("footer_rows is null").select("path").collect()]
+    judged = spark.createDataFrame([], "_silent string, _sound boolean")
+    if silent:
+        judged = spark.read.format("binaryFile").load(silent).select("path", "content").mapInPandas(footers, judged.schema)
+    status = (
+        F.when(F.col("footer_rows").isNull(), F.when(F.col("_sound"), "empty").otherwise("damaged"))
+        .when(F.coalesce("read_rows", F.lit(0)) < F.col("footer_rows"), "damaged")
+        .otherwise("intact")
+    )
+    return counted.join(judged, F.col("path") == F.col("_silent"), "left").select(
+        "path", "length", F.coalesce("footer_rows", F.lit(0)).alias("footer_rows"), F.coalesce("read_rows", F.lit(0)).alias("read_rows"),
+        status.alias("status"),
+    )
+
+
+def _sound(content: bytes) -> bool:
+    """Whether a file has a readable footer."""
+    try:
+        pq.ParquetFile(io.BytesIO(content))
+    except (pa.ArrowException, OSError):
+        return False
+    return True
+
+
+def failed_files(spark: SparkSession, root: str) -> DataFrame:
+    """Files below ``root`` that a tolerant read does not give whole."""
+    return file_status(spark, root).where("status = 'damaged'").select("path", "length")
 
 
 def plant_rows(frame: DataFrame, plant_id: str, dates: Sequence[str] = ()) -> DataFrame:
@@ -142,12 +215,32 @@ def read_weather(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
     return keep_last(keyed, ("plant_id", "time"))
 
 
-def read_points(spark: SparkSession, path: str, manifest: DataFrame | None = None) -> DataFrame:
-    """Scored points, with station names where a manifest is given."""
+def read_points(
+    spark: SparkSession, path: str, manifest: DataFrame | None = None, stations: DataFrame | None = None
+) -> DataFrame:
+    """Scored points, with station names where a manifest is given.
+
+    Device numbers repeat between plants: with ``stations`` (station_name,
+    plant_id) a point gets the station of its own plant; without, a device that
+    the manifest lists under several stations fails the job.
+    """
     points = normalise_keys(read_partitioned(spark, path))
     if manifest is None:
         return points
-    return points.join(manifest.select("station_name", "device_no"), "device_no")
+    return with_stations(points, manifest, stations)
+
+
+def with_stations(points: DataFrame, manifest: DataFrame, stations: DataFrame | None = None) -> DataFrame:
+    """Points of listed devices with their station, see :func:`read_points`."""
+    listed = manifest.select(F.trim("station_name").alias("station_name"), key_text("device_no").alias("device_no")).distinct()
+    if stations is not None:
+        plants = stations.select(F.trim("station_name").alias("station_name"), key_text("plant_id").alias("plant_id")).distinct()
+        return points.join(listed.join(plants, "station_name"), ["plant_id", "device_no"])
+    several = F.raise_error(F.concat(F.lit("several stations list device "), "device_no")).cast("string")
+    single = listed.groupBy("device_no").agg(F.count(F.lit(1)).alias("_n"), F.min("station_name").alias("station_name"))
+    return points.join(
+        single.select("device_no", F.when(F.col("_n") > 1, several).otherwise(F.col("station_name")).alias("station_name")), "device_no"
+    )
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:
@@ -235,12 +328,13 @@ def plant_mapping_report(mapped: DataFrame) -> DataFrame:
     )
 
 
-def restore_plants(scored: DataFrame, mapped: DataFrame) -> DataFrame:
-    """Put source plants back on scored rows, keeping the model plant."""
-    pairs = mapped.select("plant_id", "device_no", "source_plant_id").distinct()
-    return (
-        scored.drop("source_plant_id")
-        .join(pairs, ["plant_id", "device_no"], "left")
-        .withColumn("model_plant_id", F.col("plant_id"))
-        .withColumn("plant_id", F.coalesce("source_plant_id", "plant_id"))
+def restore_plants(scored: DataFrame) -> DataFrame:
+    """Put source plants back on scored rows or events, keeping the model plant.
+
+    The source plant is carried through scoring as part of the keys, since two
+    plants that share a model plant may own devices of the same number.
+    """
+    require_columns(scored, ("plant_id", SOURCE_PLANT), "scored table")
+    return scored.withColumn("model_plant_id", F.col("plant_id")).withColumn(
+        "plant_id", F.coalesce(SOURCE_PLANT, "plant_id")
     )

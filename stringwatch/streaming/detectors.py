@@ -9,7 +9,7 @@ from stringwatch.config import EwmaSettings, LofSettings, MemorySettings
 from stringwatch.operators.ewma import prepare_residuals
 from stringwatch.operators.strings import score_strings
 from stringwatch.schema import STRING_KEYS
-from stringwatch.streaming.processors import EwmaProcessor, MemoryProcessor
+from stringwatch.streaming.processors import EwmaProcessor, GapProcessor, MemoryProcessor
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -64,21 +64,42 @@ def stream_ewma(frame: DataFrame, settings: EwmaSettings, delay: str = "15 minut
 
 
 def stream_gaps(
-    frame: DataFrame, interval_minutes: int = 5, window_minutes: int = 60, delay: str = "15 minutes"
+    frame: DataFrame,
+    interval_minutes: int = 5,
+    window_minutes: int = 60,
+    delay: str = "15 minutes",
+    silent_windows: int = 1_000,
 ) -> DataFrame:
-    """Points per device and window against the expected number."""
+    """Points per device and window against the expected number, silent windows included.
+
+    A device is watched from its first window on; the watermark of all devices
+    closes its windows, so one that falls silent is reported too.
+    """
     expected = window_minutes // interval_minutes
-    return (
-        frame.withWatermark("event_time", delay)
-        .groupBy(F.window("event_time", f"{window_minutes} minutes"), "plant_id", "device_no")
-        .agg(F.count(F.lit(1)).alias("points"))
-        .select(
-            F.col("window.start").alias("window_start"),
-            "plant_id",
-            "device_no",
-            "points",
-            F.greatest(F.lit(expected) - F.col("points"), F.lit(0)).alias("missing_points"),
-        )
+    watched = frame.select(
+        F.col("plant_id").cast("string").alias("plant_id"), F.col("device_no").cast("string").alias("device_no"), "event_time"
+    ).withWatermark("event_time", delay)
+    counted = watched.groupBy("plant_id", "device_no").transformWithState(
+        GapProcessor(window_minutes, silent_windows), GapProcessor.output_schema, "Append", "EventTime"
+    )
+    return counted.select(
+        F.timestamp_millis("window_ms").alias("window_start"),
+        "plant_id",
+        "device_no",
+        "points",
+        F.greatest(F.lit(expected) - F.col("points"), F.lit(0)).alias("missing_points"),
+    )
+
+
+def end_marker(frame: DataFrame, time: str = "event_time", days_ahead: int = 30) -> DataFrame:
+    """One row without keys, far behind the last one of a bounded replay.
+
+    Streamed last, it moves the watermark past all other rows, so that nothing
+    is left in state; it is itself never released.
+    """
+    last = frame.agg((F.max(time) + F.expr(f"interval {days_ahead} days")).alias(time)).where(F.col(time).isNotNull())
+    return last.select(
+        *[F.col(time).cast(f.dataType).alias(f.name) if f.name == time else F.lit(None).cast(f.dataType).alias(f.name) for f in frame.schema.fields]
     )
 
 

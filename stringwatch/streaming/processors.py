@@ -52,23 +52,20 @@ class OrderedProcessor(StatefulProcessor):
         return iter([])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        # every row has a timer of its own time, and timers expire in their order
         now = expiredTimerInfo.getExpiryTimeInMs()
-        due = sorted(k[0] for k in self.waiting.keys() if k[0] <= now)
         carried = tuple(self.carried.get()) if self.carried.exists() else None
-        named = Row(*[field.split()[0] for field in self.output_schema.split(", ")])
-        out = []
-        for time_ms in due:
-            payload = tuple(self.waiting.getValue((time_ms,)))
-            carried, values = self.step(carried, time_ms, payload)
-            out.append(named(*key, time_ms, *values))
-            self.waiting.removeKey((time_ms,))
-        if due:
+        if self.waiting.containsKey((now,)):
+            carried, values = self.step(carried, now, tuple(self.waiting.getValue((now,))))
+            self.waiting.removeKey((now,))
             self.carried.update(carried)
-            self.handle.registerTimer(due[-1] + self.forget_ms)
-        elif carried is not None and now >= carried[0] + self.forget_ms:
+            self.handle.registerTimer(now + self.forget_ms)
+            named = Row(*[field.split()[0] for field in self.output_schema.split(", ")])
+            return iter([named(*key, now, *values)])
+        if carried is not None and now >= carried[0] + self.forget_ms:
             # nothing came for long: a gap would clear the state anyway
             self.carried.clear()
-        return iter(out)
+        return iter([])
 
     def close(self) -> None:
         pass
@@ -132,3 +129,61 @@ class EwmaProcessor(OrderedProcessor):
             state = self.weight * (residual - self.center) / self.scale + (1.0 - self.weight) * state
             score = state
         return (time_ms, state), (score,)
+
+
+class GapProcessor(StatefulProcessor):
+    """Points of one device in every window, also in those without any.
+
+    Windows are reported once the watermark has passed their end, from the
+    device's first one on. After ``silent_windows`` without a point the device
+    is forgotten until it reports again.
+    """
+
+    output_schema = "plant_id string, device_no string, window_ms long, points long"
+
+    def __init__(self, window_minutes: int, silent_windows: int = 1_000):
+        self.window_ms = window_minutes * MINUTE_MS
+        self.silent_windows = silent_windows
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.counts = handle.getMapState("counts", "window_ms long", "points long")
+        self.progress = handle.getValueState("progress", "next_ms long, silent int")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        first = None
+        for row in rows:
+            time_ms = int(row["event_time"].timestamp() * 1000)
+            window = time_ms // self.window_ms * self.window_ms
+            known = self.counts.getValue((window,))[0] if self.counts.containsKey((window,)) else 0
+            self.counts.updateValue((window,), (known + 1,))
+            if not known:
+                self.handle.registerTimer(window + self.window_ms)
+            first = window if first is None else min(first, window)
+        if first is not None and (not self.progress.exists() or first < self.progress.get()[0]):
+            self.progress.update((first, 0))
+        return iter([])
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        if not self.progress.exists():
+            return iter([])
+        window, silent = self.progress.get()
+        passed, named, out = timerValues.getCurrentWatermarkInMs(), Row("plant_id", "device_no", "window_ms", "points"), []
+        while window + self.window_ms <= passed and silent < self.silent_windows:
+            points = 0
+            if self.counts.containsKey((window,)):
+                points = self.counts.getValue((window,))[0]
+                self.counts.removeKey((window,))
+            silent = 0 if points else silent + 1
+            out.append(named(*key, window, points))
+            window += self.window_ms
+        if out:
+            if silent < self.silent_windows:
+                self.progress.update((window, silent))
+                self.handle.registerTimer(window + self.window_ms)
+            else:
+                self.progress.clear()
+        return iter(out)
+
+    def close(self) -> None:
+        pass

@@ -1,4 +1,4 @@
-"""EWMA chart: facts and equality with the recursion."""
+"""EWMA chart: eligibility, alerts and equality with the recursion."""
 
 import datetime as dt
 import random
@@ -8,35 +8,38 @@ import pytest
 from stringwatch.config import EwmaSettings
 from stringwatch.operators import ewma
 
-START = dt.datetime(2026, 1, 1)
+MIDNIGHT = dt.datetime(2026, 5, 20)
 
 
-def residuals(spark, values, ratio=0.5, minutes=None):
-    minutes = minutes or [5 * i for i in range(len(values))]
+def residuals(spark, values, minutes=None, share=0.6, device="inv-4"):
+    """Forecasts that exceed the output of a 250 kW inverter by ``values`` of its rating."""
+    minutes = minutes or range(0, 5 * len(values), 5)
     rows = [
-        (START + dt.timedelta(minutes=m), "a", 100.0, ratio * 100, ratio * 100 + v * 100, ratio)
+        (MIDNIGHT + dt.timedelta(minutes=m), device, 250.0, 250.0 * share, 250.0 * (share + v), share)
         for m, v in zip(minutes, values)
     ]
-    return spark.createDataFrame(rows, list(ewma.RESIDUAL_COLUMNS[:1]) + list(ewma.RESIDUAL_COLUMNS[1:]))
+    return spark.createDataFrame(rows, list(ewma.RESIDUAL_COLUMNS))
 
 
-def test_residual_sign_and_eligibility(spark):
-    rows = ewma.prepare_residuals(residuals(spark, [0.1, -0.2])).orderBy("target_time").collect()
-    assert [r.underproduction_residual for r in rows] == pytest.approx([0.1, -0.2])
-    assert all(r.ewma_eligible for r in rows)
-    assert not ewma.prepare_residuals(residuals(spark, [0.1], ratio=0.05)).first().ewma_eligible
+def test_only_plausible_output_counts(spark):
+    frames = [residuals(spark, [0.25, -0.04], share=s, device=f"inv-{s}") for s in (0.02, 0.1, 1.1, 1.2)]
+    rows = ewma.prepare_residuals(frames[0].unionByName(frames[1]).unionByName(frames[2]).unionByName(frames[3])).collect()
+    assert {r.device_no: r.ewma_eligible for r in rows} == {"inv-0.02": False, "inv-0.1": True, "inv-1.1": True, "inv-1.2": False}
+    assert sorted(r.underproduction_residual for r in rows) == pytest.approx([-0.04] * 4 + [0.25] * 4)
 
 
-def test_consecutive_exceedances(spark):
-    fitted, _ = ewma.fit_ewma(residuals(spark, [0.0] * 10), EwmaSettings(quantile=0.99))
-    rows = ewma.apply_ewma(residuals(spark, [0.0, 0.0, 1.0, 0.0, 1.0, 1.0]), fitted).orderBy("target_time").collect()
-    assert [r.ewma_raw_alert for r in rows][2] == 1 and [r.ewma_alert for r in rows][2] == 0
-    assert rows[4].ewma_raw_alert == 1 and rows[5].ewma_alert == 1
+def test_alert_needs_neighbouring_exceedances(spark):
+    settings = EwmaSettings(weight=1.0, center=0.0, scale=1.0, threshold=0.5)
+    # one alone, two in a row, two with a hole between them
+    values, minutes = [0.9, 0.1, 0.8, 0.7, 0.2, 0.9, 0.9], [0, 5, 10, 15, 20, 25, 35]
+    rows = ewma.apply_ewma(residuals(spark, values, minutes), settings).orderBy("target_time").collect()
+    assert [r.ewma_raw_alert for r in rows] == [1, 0, 1, 1, 0, 1, 1]
+    assert [r.ewma_alert for r in rows] == [0, 0, 0, 1, 0, 0, 0]
 
 
-def test_empty_fit(spark):
-    with pytest.raises(ValueError, match="No eligible"):
-        ewma.fit_ewma(residuals(spark, [0.0], ratio=0.01))
+def test_nothing_to_fit(spark):
+    with pytest.raises(ValueError, match="no residual"):
+        ewma.fit_ewma(residuals(spark, [0.3, 0.1], share=0.0))
 
 
 @pytest.mark.parametrize("weight", [0.2, 0.9, 1.0])
@@ -48,7 +51,7 @@ def test_closed_form_equals_recursion(spark, weight):
         minutes.append(now)
     values = [rng.gauss(0, 0.1) for _ in minutes]
     settings = EwmaSettings(weight=weight, center=0.01, scale=0.05)
-    frame = ewma.prepare_residuals(residuals(spark, values, minutes=minutes))
+    frame = ewma.prepare_residuals(residuals(spark, values, minutes))
     got = [r.ewma_score for r in ewma.ewma_scores(frame, settings).orderBy("target_time").collect()]
     state, previous, expected = 0.0, None, []
     for m, v in zip(minutes, values):

@@ -51,17 +51,29 @@ def test_quantiles_match_numpy(spark):
     rows += [("normal", None), ("normal", math.nan)]
     frame = spark.createDataFrame(rows, "k string, v double")
     probabilities = [0.0, 0.005, 0.5, 0.9, 0.995, 1.0]
-    for way in (q.quantiles, q.binned_quantiles):
-        got = {r.k: r for r in way(frame, ["k"], "v", probabilities).collect()}
-        for name, values in samples.items():
-            assert got[name].n == len(values)
-            assert got[name].q == pytest.approx(np.quantile(values, probabilities).tolist(), rel=1e-12)
+    got = {r.k: r for r in q.quantiles(frame, ["k"], "v", probabilities).collect()}
+    assert set(got) == set(samples)
+    for name, values in samples.items():
+        assert got[name].n == len(values)
+        assert got[name].q == pytest.approx(np.quantile(values, probabilities).tolist(), rel=1e-12)
     everything = np.concatenate(list(samples.values()))
-    assert q.binned_quantiles(frame, [], "v", [0.25]).first().q == pytest.approx([np.quantile(everything, 0.25)])
     assert q.scalar_quantiles(frame, "v", [0.25]) == pytest.approx([np.quantile(everything, 0.25)])
     assert q.scalar_quantiles(frame.where("false"), "v", [0.25]) is None
 
 
+def test_quantiles_with_infinities_null_keys_and_a_dominant_value(spark):
+    rows = [("edge", math.inf), ("edge", -math.inf), ("edge", 1.0), ("edge", 2.0), ("ups", math.inf), ("ups", math.inf)]
+    rows += [(None, 7.0), (None, 9.0)] + [("hot", 1.5)] * 5000 + [("hot", 0.5)] * 10 + [("hot", 2.5)] * 10
+    frame = spark.createDataFrame(rows, "k string, v double").repartition(6)
+    got = {r.k: (r.n, r.q) for r in q.quantiles(frame, ["k"], "v", [0.0, 0.5, 1.0]).collect()}
+    assert got == {
+        "edge": (4, [-math.inf, 1.5, math.inf]), "ups": (2, [math.inf] * 3), None: (2, [7.0, 8.0, 9.0]), "hot": (5020, [0.5, 1.5, 2.5]),
+    }
+    ranks = {(r.k, r.v): r.rk for r in q.average_ranks(frame, ["k"], "v", "rk").collect()}
+    assert ranks["edge", -math.inf] == 1 and ranks["edge", math.inf] == 4 and ranks["ups", math.inf] == 1.5
+    assert ranks["hot", 1.5] == 10 + 5001 / 2 and ranks[None, 9.0] == 2
+
+
 def test_average_ranks(spark):
     rng = random.Random(5)
     values = [rng.randint(-5, 5) * 0.5 for _ in range(300)]

@@ -61,6 +61,28 @@ def test_corrupt_files_are_reported(spark):
     assert failed == ["broken.parquet"]
 
 
+def test_damaged_pages_are_not_lost_without_a_trace(spark):
+    import glob
+
+    path = folder()
+    frame = spark.range(200_000).select(
+        F.timestamp_seconds(F.lit(1_784_073_600) + F.col("id")).alias("event_time"), F.lit("1").alias("plant_id"),
+        F.lit("a").alias("device_no"), F.rand(1).alias("active_power"),
+    )
+    frame.coalesce(1).write.parquet(path)
+    frame.limit(0).coalesce(1).write.mode("append").parquet(path)
+    content = max((open(f, "rb").read() for f in glob.glob(f"{path}/*.parquet")), key=len)
+    with open(f"{path}/part-zeros.parquet", "wb") as f:
+        f.write(content[:600_000] + bytes(200_000) + content[800_000:])
+    status = {r.status: r for r in telemetry.file_status(spark, path).collect()}
+    assert set(status) == {"intact", "damaged", "empty"}
+    assert status["damaged"].footer_rows == 200_000 > status["damaged"].read_rows
+    report = telemetry.read_report(spark, path, "2026-01-01", "2027-01-01").first()
+    assert (report.files_selected, report.files_failed, report.error_examples) == (3, 1, ["part-zeros.parquet"])
+    with pytest.raises(Exception):
+        telemetry.read_devices(spark, path, "2026-01-01", "2027-01-01").count()
+
+
 def test_export_counts_and_limits(spark):
     frame = devices(spark)
     result = sinks.export_dataset(frame, folder(), dt.date(2026, 7, 15), dt.date(2026, 7, 17), "event_time")
@@ -69,7 +91,8 @@ def test_export_counts_and_limits(spark):
     one = sinks.export_dataset(frame, folder(), dt.date(2026, 7, 15), dt.date(2026, 7, 17), "event_time", plant_id="1")
     assert one["output"].endswith("plant_id=1")
     with pytest.raises(ValueError, match="31 days"):
-        sinks.local_date_range(dt.date(2026, 1, 1), dt.date(2026, 3, 1), "Asia/Shanghai")
+        sinks.local_date_range(dt.date(2026, 1, 1), dt.date(2026, 3, 1))
+    assert sinks.local_date_range(dt.date(2026, 1, 1), dt.date(2026, 3, 1), None)[1] == "2026-03-01T00:00:00"
     with pytest.raises(ValueError, match="plant_id"):
         sinks.export_dataset(frame.drop("plant_id"), folder(), dt.date(2026, 7, 15), dt.date(2026, 7, 16), "event_time", plant_id="1")
 
@@ -83,7 +106,7 @@ def test_csv_export_checks_times(spark):
     first, second = folder(), folder()
     devices(spark, 1).write.parquet(first)
     devices(spark, 1).drop("active_power").write.parquet(second)
-    with pytest.raises(ValueError, match="schema differs"):
+    with pytest.raises(ValueError, match="not those of the first"):
         sinks.check_same_schema(spark, [first, second])
 
 
@@ -107,9 +130,24 @@ def test_plant_mapping(spark):
     frame = spark.createDataFrame([(33, "a"), (33, "b"), (791, "c")], ["plant_id", "device_no"])
     mapped = telemetry.apply_plant_mapping(frame, {"33": "234"})
     assert sorted((r.source_plant_id, r.plant_id) for r in mapped.collect()) == [("33", "234"), ("33", "234"), ("791", "791")]
-    scored = spark.createDataFrame([("234", "a", 1)], ["plant_id", "device_no", "string_no"])
-    row = telemetry.restore_plants(scored, mapped).first()
-    assert (row.plant_id, row.source_plant_id, row.model_plant_id) == ("33", "33", "234")
+    rows = telemetry.restore_plants(mapped).collect()
+    assert sorted((r.plant_id, r.model_plant_id, r.device_no) for r in rows) == [("33", "234", "a"), ("33", "234", "b"), ("791", "791", "c")]
+    with pytest.raises(ValueError):
+        telemetry.restore_plants(mapped.drop("source_plant_id"))
+
+
+def test_stations_of_devices_with_the_same_number(spark):
+    path = folder()
+    rows = [("1", "a", 1), ("2", "a", 2), ("2", "b", 3)]
+    points = spark.createDataFrame(rows, "plant_id string, device_no string, v int")
+    points.withColumn("event_time", F.timestamp_seconds("v")).write.parquet(path)
+    manifest = spark.createDataFrame([("one", "a"), ("two", " a "), ("two", "b")], "station_name string, device_no string")
+    stations = spark.createDataFrame([("one ", "1"), ("two", "2")], "station_name string, plant_id string")
+    got = telemetry.read_points(spark, path, manifest, stations).collect()
+    assert sorted((r.v, r.station_name) for r in got) == [(1, "one"), (2, "two"), (3, "two")]
+    with pytest.raises(Exception, match="several stations list device a"):
+        telemetry.read_points(spark, path, manifest).collect()
+    assert telemetry.read_points(spark, path, manifest.where("station_name = 'two'")).count() == 3
 
 
 def test_json_inputs(spark):
@@ -176,7 +214,7 @@ def test_continuity_counts(spark, chunk):
     frame = spark.createDataFrame([("d", m) for m in minutes], "device_no string, m int").select(
         "device_no", F.timestamp_seconds(F.col("m") * 60).alias("event_time")
     )
-    row = audit.continuity(frame, chunk_minutes=chunk).first()
+    row = audit.continuity(frame, ["device_no"], chunk_minutes=chunk).first()
     assert (row.rows, row.duplicate_rows, row.gap_segments, row.short_or_irregular_intervals) == (7, 1, 2, 1)
     # 15 minutes lose two points; 12 minutes round to 2 steps and lose one
     assert row.estimated_missing_points == 3

@@ -14,8 +14,8 @@ from stringwatch.streaming import detectors
 START = dt.datetime(2026, 6, 1)
 
 
-def as_stream(spark, frame, files=4):
-    """Write time slices one after the other, rows shuffled, and stream them."""
+def as_stream(spark, frame, files=4, time=None):
+    """Write time slices one after the other, rows shuffled, and stream them; ``time`` adds the end marker."""
     path = tempfile.mkdtemp(prefix="stringwatch-stream-")
     rows = sorted(frame.collect(), key=lambda r: r[0])
     size = -(-len(rows) // files)
@@ -23,6 +23,8 @@ def as_stream(spark, frame, files=4):
         part = rows[i : i + size]
         random.Random(i).shuffle(part)
         spark.createDataFrame(part, frame.schema).coalesce(1).write.mode("append").parquet(path)
+    if time is not None:
+        detectors.end_marker(frame, time).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -62,13 +64,11 @@ def test_stateless_scores(spark):
 
 def test_memory_equals_batch(spark, points):
     detectors.use_state_store(spark)
-    stream = detectors.stream_memory(as_stream(spark, points), F.col("raw"), F.col("ok"), delay="10 minutes")
+    stream = detectors.stream_memory(as_stream(spark, points, time="event_time"), F.col("raw"), F.col("ok"), delay="10 minutes")
     got = {(r.string_no, r.event_time): (r.memory_active, r.memory_alert) for r in drain(stream, "memory", spark).collect()}
     batch = memory.add_memory(points, F.col("raw"), F.col("ok")).collect()
     expected = {(r.string_no, r.event_time): (r.memory_active, r.memory_alert) for r in batch}
-    # rows the watermark has not reached stay in state
-    assert 80 <= len(got) <= 120
-    assert all(expected[k] == v for k, v in got.items())
+    assert got == expected and len(got) == 120
 
 
 def test_ewma_equals_batch(spark):
@@ -80,18 +80,31 @@ def test_ewma_equals_batch(spark):
     ]
     frame = spark.createDataFrame(rows, list(ewma.RESIDUAL_COLUMNS))
     settings = EwmaSettings(center=0.0, scale=0.05)
-    got = drain(detectors.stream_ewma(as_stream(spark, frame), settings), "ewma", spark).collect()
+    got = drain(detectors.stream_ewma(as_stream(spark, frame, time="target_time"), settings), "ewma", spark).collect()
     expected = {r.target_time: r.ewma_score for r in ewma.ewma_scores(ewma.prepare_residuals(frame, settings), settings).collect()}
-    assert len(got) >= 50
+    assert {r.target_time for r in got} == set(expected) and len(got) == 60
     for r in got:
         assert r.ewma_score == (None if expected[r.target_time] is None else pytest.approx(expected[r.target_time]))
 
 
-def test_gaps_and_events(spark, points):
-    gaps = drain(detectors.stream_gaps(as_stream(spark, points.where("string_no = 1"))), "gaps", spark).collect()
-    assert gaps and all(r.missing_points == max(12 - r.points, 0) for r in gaps)
+def test_events_equal_batch(spark, points):
     alerts = points.where("raw")
-    closed = drain(detectors.stream_events(as_stream(spark, alerts)), "events", spark).collect()
+    closed = drain(detectors.stream_events(as_stream(spark, alerts, time="event_time")), "events", spark).collect()
     batch = runs.collapse(points, runs.Timeline(("plant_id", "device_no", "string_no")), F.col("raw")).collect()
     every = {(r.string_no, r.start_time, r.end_time, r.points) for r in batch}
-    assert closed and {(r.string_no, r.start_time, r.end_time, r.points) for r in closed} <= every
+    assert {(r.string_no, r.start_time, r.end_time, r.points) for r in closed} == every
+
+
+def test_silent_windows_are_reported(spark):
+    detectors.use_state_store(spark)
+    hours = {"a": [0, 1, 2, 3, 4, 5, 6], "b": [1, 4], "c": [3]}
+    rows = [(START + dt.timedelta(hours=h, minutes=5 * i), "p", d) for d, hs in hours.items() for h in hs for i in range(12 - h)]
+    frame = spark.createDataFrame(rows, "event_time timestamp, plant_id string, device_no string")
+    got = drain(detectors.stream_gaps(as_stream(spark, frame, time="event_time")), "gaps", spark).collect()
+    seen = {(r.device_no, int((r.window_start - START).total_seconds() // 3600)): (r.points, r.missing_points) for r in got}
+    assert len(seen) == len(got)
+    for device, hs in hours.items():
+        for hour in range(min(hs), 7):
+            points = 12 - hour if hour in hs else 0
+            assert seen[device, hour] == (points, 12 - points)
+        assert (device, min(hs) - 1) not in seen
