@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: exp(-mean) stays far from underflow below it; larger means are sums of several draws
 LARGEST_MEAN = 500.0
+#: parts that a source's rows are dealt to where they meet its rate
+SALTS = 256
 
 
 def _hash(*parts: Column) -> Column:
@@ -89,11 +91,12 @@ def mix_alarm_sources(
     """
     rates = repetition_rates(alarms, weights, epochs, default_weight)
     draws = F.greatest(F.ceil(F.col("rate") / LARGEST_MEAN), F.lit(1)).cast("int")
+    # a source may hold a third of all rows: each is met by SALTS copies of its rate
     tables = rates.select(
         F.col("station_name").alias("_mix_source"),
         draws.alias("_mix_draws"),
         _distribution(F.col("rate") / draws).alias("_mix_table"),
-    )
+    ).withColumn("_mix_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     identity = F.coalesce(F.col("alarm_event_id").cast("string"), F.md5("alarm_name"), F.lit(""))
     uniforms = F.transform(
         F.sequence(F.lit(1), F.col("_mix_draws")),
@@ -107,8 +110,9 @@ def mix_alarm_sources(
     kept = [c for c in alarms.columns if c not in ("copy_no", "shuffle_key")]
     drawn = (
         alarms.select(*kept)
-        .join(tables, F.col("station_name").eqNullSafe(F.col("_mix_source")))
         .withColumn("_mix_identity", identity)
+        .withColumn("_mix_salt", F.pmod(F.xxhash64("_mix_identity"), F.lit(SALTS)).cast("int"))
+        .join(tables, F.col("station_name").eqNullSafe(F.col("_mix_source")) & (F.col("_mix_salt") == F.col("_mix_part")))
         .withColumn("_mix_uniforms", uniforms)
         .withColumn("_mix_number", number)
         .where("_mix_number > 0")
