@@ -61,8 +61,6 @@ def main() -> None:
     names = sys.argv[1:] or list(HEADLINES)
     spark = local_session(cpus)
     spark.sparkContext.setLogLevel("ERROR")
-    # scores cost far more than their bytes suggest: keep all cores busy
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     run(spark, "string_events", sf_dir)
     seconds = {name: round(statistics.median(run(spark, name, sf_dir) for _ in range(runs)), 3) for name in names}
     print(

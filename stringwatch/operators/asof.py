@@ -37,7 +37,10 @@ def asof_join(
     rows = left.select(
         *keys,
         F.unix_micros(left_time).alias("_at"),
-        F.floor(F.unix_micros(left_time) / bucket).alias("_bucket"),
+        # rows without a time match nothing; they are spread over buckets that no time has
+        F.coalesce(
+            F.floor(F.unix_micros(left_time) / bucket), F.pmod(F.xxhash64(*left.columns), F.lit(4_096)) - (1 << 40)
+        ).alias("_bucket"),
         F.lit(1).alias("_side"),
         F.struct(*[F.col(c) for c in left.columns]).alias("_row"),
     )

@@ -92,6 +92,8 @@ def channel_inventory(
     day = local_date("event_time", timezone)
     has_status = F.coalesce(F.col("string_status") != 0, F.lit(False))
     has_current = F.coalesce(F.col("string_current") > 0, F.lit(False))
+    # channels without evidence in a row count nowhere, unless none is asked for
+    evident = (lambda s: F.coalesce((s["status"] != 0) | (s["current"] > 0), F.lit(False))) if minimum_samples > 0 else None
     # per day first: partial counts are merged before days are counted
     daily = (
         unpivot_strings(
@@ -99,7 +101,8 @@ def channel_inventory(
                 *DEVICE_KEYS,
                 "_day",
                 *[c for c in frame.columns if c.startswith(("string_current_", "string_status_"))],
-            )
+            ),
+            evident,
         )
         .groupBy(*DEVICE_KEYS, "string_no", "_day")
         .agg(F.count_if(has_status).alias("_status"), F.count_if(has_current).alias("_current"))
