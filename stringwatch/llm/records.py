@@ -16,7 +16,14 @@ def as_documents(alarms: DataFrame) -> DataFrame:
     return alarms.withColumnsRenamed({new: old for old, new in NAMES.items()})
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches of texts sent to Python are bounded by their bytes, and by few rows where texts are short."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
