@@ -23,8 +23,9 @@ from stringwatch.storage import Scratch
 
 WORD = re.compile(r"\w+")
 WORDS_AT_ONCE = 1 << 20
-#: bits of the filter that keeps hopeless positions out of the join; its 4 MB do not grow with any table
-FILTER_BITS = 25
+#: bits of the filter that keeps hopeless positions out of the join, and where a seed's bins are cut from it;
+#: its 4 MB do not grow with any table, a filter that fills up only lets more through
+FILTER_BITS, FILTER_SHIFTS = 25, (39, 17, 0)
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -151,8 +152,9 @@ def contaminated_alarms(
     seeds = scratch.stage(
         items.select("text_no", "words", "size").mapInArrow(item_seeds, "seed bigint, text_no bigint, item_place int"), "seeds"
     )
-    # one bit per bin of the filter: a fixed number of bins, whatever the evaluation holds
-    bins = seeds.select(F.shiftrightunsigned("seed", 64 - FILTER_BITS).alias("bin"))
+    # three bits per seed, of a fixed number of bits, whatever the evaluation holds
+    cuts = [F.shiftrightunsigned("seed", s).bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) for s in FILTER_SHIFTS]
+    bins = seeds.select(F.explode(F.array(*cuts)).alias("bin")).distinct()
     words_of_filter = (
         bins.groupBy(F.shiftright("bin", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bin & 63 as int))")).alias("bits"))
     ).toPandas()
@@ -170,8 +172,10 @@ def contaminated_alarms(
             seeds_found, places, rows = [], [], []
             for size, number, mask in plans:
                 own = seed_hashes(words, size, number, mask)
-                at = own >> np.uint64(64 - FILTER_BITS)
-                hit = np.flatnonzero(kept[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1))
+                hit = np.arange(len(own))
+                for shift in FILTER_SHIFTS:
+                    at = own[hit] >> np.uint64(shift) & np.uint64((1 << FILTER_BITS) - 1)
+                    hit = hit[(kept[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)]
                 row = np.searchsorted(ends, hit, side="right")
                 inside = hit + size <= ends[row]
                 seeds_found.append(own[hit[inside]])
