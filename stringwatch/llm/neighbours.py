@@ -169,11 +169,13 @@ def nearest_profiles(
         levels = buckets.select("tree", "n", F.inline(F.array(*above))).groupBy("tree", "depth", "prefix").agg(F.sum("n").alias("n"))
         climbing = asked.select("query_id", "tree", F.inline(F.array(*above)))
         counted = in_bucket.unionByName(climbing.join(levels, ["tree", "depth", "prefix"]).select("query_id", "depth", "n"))
+    # one part of one tree must have enough strings by itself, so that no query is left with too few
+    enough = (F.col("n") >= quota) & (F.col("most") > neighbours)
     reached = (
         counted.groupBy("query_id", "depth")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.sum("n").alias("n"), F.max("n").alias("most"))
         .groupBy("query_id")
-        .agg(F.coalesce(F.max(F.when(F.col("n") >= quota, F.col("depth"))), F.lit(0)).alias("depth"))
+        .agg(F.coalesce(F.max(F.when(enough, F.col("depth"))), F.lit(0)).alias("depth"))
     )
     reached = scratch.stage(reached, "reached")
     up = F.greatest(F.lit(depth) - F.col("depth"), F.lit(0))
