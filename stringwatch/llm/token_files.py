@@ -29,6 +29,7 @@ from stringwatch.storage import stage, staging_path
 CODE_BITS = 18
 STRETCH = 256
 BLOCK_IDS = 1 << 16
+JOINED_PIECES = 2_000
 
 
 def limited_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
@@ -133,28 +134,46 @@ def encoded(alarms: DataFrame, tokenizer_path: str, end_id: int, kind: str) -> D
         code = np.dtype(kind).char  # tasks run on little-endian machines
         end, width = np.array([end_id], kind).tobytes(), np.dtype(kind).itemsize
 
+        special = vocabulary.specials(tokenizer)
+        mark = special[0] if special else None
+
         def ids_of(pieces: list[str]) -> list[bytes]:
-            return [array(code, e.ids).tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+            """Many pieces in one text: a special string between them keeps them apart, its id tells where."""
+            alone = [mark is None or any(s in p for s in special) for p in pieces]
+            out: list[bytes] = [b""] * len(pieces)
+            at = [i for i, own in enumerate(alone) if own]
+            for i, e in zip(at, tokenizer.encode_batch_fast([pieces[i] for i in at], add_special_tokens=False)):
+                out[i] = array(code, e.ids).tobytes()
+            at = [i for i, own in enumerate(alone) if not own]
+            for begin in range(0, len(at), JOINED_PIECES):
+                some = at[begin : begin + JOINED_PIECES]
+                text = mark.join(pieces[i] for i in some)
+                ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, kind)
+                ends = np.append(np.flatnonzero(ids == tokenizer.token_to_id(mark)), len(ids))
+                raw, first = ids.tobytes(), 0
+                for i, last in zip(some, ends.tolist()):
+                    out[i] = raw[first * width : last * width]
+                    first = last + 1
+            return out
 
         table = vocabulary.PieceTable(ids_of)
         for batch in batches:
             keys, done = batch.column("alarm_event_id"), 0
             for chunk in vocabulary.chunks(batch.column("alarm_name")):
-                rows_ids: list[bytes] = [b""] * len(chunk)
-                for rows, pieces, index, starts in vocabulary.pieces_of(chunk):
-                    values = table.values(pieces)
-                    flat = np.frombuffer(b"".join(values), kind)
-                    sizes = np.fromiter(map(len, values), np.int64, len(values)) // width
-                    begins = np.cumsum(sizes) - sizes
-                    lengths = sizes[index]
-                    ends = np.cumsum(lengths)
-                    small = np.int32 if max(ends[-1], len(flat)) < 1 << 31 else np.int64
-                    at = np.repeat((begins[index] - ends + lengths).astype(small), lengths)
-                    at += np.arange(ends[-1], dtype=small)
-                    ids = flat[at]
-                    del at
-                    for row, a, b in zip(rows, ends[starts] - lengths[starts], np.append(ends[starts[1:] - 1], ends[-1])):
-                        rows_ids[row] = ids[a:b].tobytes() + end
+                parts, index, starts = vocabulary.parts_of(chunk, special)
+                values = table.values(parts)
+                flat = np.frombuffer(b"".join(values), kind)
+                sizes = np.fromiter(map(len, values), np.int64, len(values)) // width
+                begins = np.cumsum(sizes) - sizes
+                lengths = sizes[index]
+                ends = np.cumsum(lengths)
+                small = np.int32 if max(ends[-1], len(flat)) < 1 << 31 else np.int64
+                at = np.repeat((begins[index] - ends + lengths).astype(small), lengths)
+                at += np.arange(ends[-1], dtype=small)
+                ids = flat[at]
+                del at
+                stops = np.append(ends[starts[1:] - 1], ends[-1]).tolist()
+                rows_ids = [ids[a:b].tobytes() + end for a, b in zip((ends[starts] - lengths[starts]).tolist(), stops)]
                 yield pa.RecordBatch.from_arrays(
                     [keys.slice(done, len(chunk)), pa.array(rows_ids, pa.binary())], ["alarm_event_id", "ids"]
                 )

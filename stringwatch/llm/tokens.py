@@ -7,6 +7,7 @@ counts one, and only the others go through the merges.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,10 +18,13 @@ from pyspark.sql import DataFrame
 from stringwatch.llm import vocabulary
 
 
+PLAIN_WORD = re.compile(r" ?[A-Za-z]+\Z")
+
+
 def whole_tokens(tokenizer_path: str) -> frozenset[str]:
     """Vocabulary strings that the merges leave as one token: at most the vocabulary."""
     tokenizer = vocabulary.load(tokenizer_path)
-    special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+    special = set(vocabulary.specials(tokenizer))
     return frozenset(
         s for s in tokenizer.get_vocab(with_added_tokens=False) if s not in special and len(tokenizer.model.tokenize(s)) == 1
     )
@@ -31,7 +35,7 @@ class TokenCounter:
 
     def __init__(self, tokenizer_path: str, whole: frozenset[str]):
         self.tokenizer = vocabulary.load(tokenizer_path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = vocabulary.specials(self.tokenizer)
         self.whole = whole
         self.table = vocabulary.PieceTable(self._count)
 
@@ -39,7 +43,10 @@ class TokenCounter:
         split, merge, whole = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize, self.whole
         counts = []
         for piece in pieces:
-            if any(s in piece for s in self.special):
+            if PLAIN_WORD.match(piece):  # a pre-token, as the vocabulary writes it
+                token = "Ġ" + piece[1:] if piece[0] == " " else piece
+                counts.append(1 if token in whole else len(merge(token)))
+            elif any(s in piece for s in self.special):
                 counts.append(len(self.tokenizer.encode(piece, add_special_tokens=False).ids))
             else:
                 counts.append(sum(1 if p in whole else len(merge(p)) for p, _ in split(piece)) if piece else 0)
@@ -49,11 +56,9 @@ class TokenCounter:
         """Tokens of each text; null is empty."""
         totals = []
         for chunk in vocabulary.chunks(texts):
-            total = np.zeros(len(chunk), np.int64)
-            for rows, pieces, index, starts in vocabulary.pieces_of(chunk):
-                numbers = np.array(self.table.values(pieces), np.int64)
-                total[rows] = np.add.reduceat(numbers[index], starts)
-            totals.append(total)
+            parts, index, starts = vocabulary.parts_of(chunk, self.special)
+            numbers = np.array(self.table.values(parts), np.int64)
+            totals.append(np.add.reduceat(numbers[index], starts))
         return np.concatenate(totals) if totals else np.zeros(0, np.int64)
 
 

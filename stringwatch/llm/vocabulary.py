@@ -1,25 +1,27 @@
-"""Tokenizers inside tasks: each distinct piece of a batch is looked at once.
+"""Tokenizers inside tasks: each distinct part of a batch is looked at once.
 
-A single space between two characters that are not white space always begins a
-pre-token of a byte-level vocabulary, so a text may be cut there and its pieces
-treated one by one. Pieces repeat; Arrow finds the distinct ones of a batch.
+In a byte-level vocabulary a run of letters always ends a pre-token, so a text
+may be cut after each and its parts treated one by one. Parts, mostly words with
+the space before them, repeat; Arrow finds the distinct ones of a batch.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: a run of letters ends a pre-token whatever follows; here it is followed by an ASCII sign that is no letter
+WORD_END = r"([A-Za-zÀ-ÖØ-öø-ž])([\x00-@\[-`{-\x7f])"
+#: marks the cuts while a batch is split
+CUT = "\x01"
 #: bytes of text looked at together
 CHUNK_BYTES = 16 << 20
 #: results kept for later batches by one worker in each of two generations, and the longest piece kept
-KEPT_PIECES, KEPT_LENGTH = 400_000, 16
+KEPT_PIECES, KEPT_LENGTH = 500_000, 16
 
 
 def load(path: str):
@@ -40,62 +42,65 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[pa.Array]:
         begin, done = end, int(ends[end - 1])
 
 
-def _open(piece: str) -> bool:
-    return not piece or piece[0].isspace() or piece[-1].isspace()
+def specials(tokenizer) -> list[str]:
+    """Strings that the tokenizer takes out of a text before anything else."""
+    return [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
 
-class PieceTable:
-    """Values of pieces, kept across batches up to a bound; what was not used lately goes first."""
+class Kept:
+    """Values kept up to a bound; what was not used lately goes first."""
 
-    def __init__(self, compute: Callable[[list[str]], list]):
-        self.compute = compute
+    def __init__(self):
         self.young: dict[str, object] = {}
         self.old: dict[str, object] = {}
 
-    def values(self, pieces: list[str]) -> list:
-        young, old = self.young, self.old
-        if len(young) > KEPT_PIECES:
-            self.old, self.young = young, {}
-            young, old = self.young, self.old
-        found = [young[p] if p in young else old.get(p) for p in pieces]
+    def find(self, keys: list[str]) -> list:
+        if len(self.young) > KEPT_PIECES:
+            self.old, self.young = self.young, {}
+        found = list(map(self.young.get, keys))
+        if self.old:
+            again = self.old.get
+            for i, value in enumerate(found):
+                if value is None and (value := again(keys[i])) is not None:
+                    found[i] = self.young[keys[i]] = value
+        return found
+
+    def keep(self, keys: list[str], values: list) -> None:
+        self.young.update({k: value for k, value in zip(keys, values) if len(k) <= KEPT_LENGTH})
+
+
+class PieceTable:
+    """Values of the parts that texts are cut into, by ``compute`` where they are not kept."""
+
+    def __init__(self, compute: Callable[[list[str]], list]):
+        self.compute, self.kept = compute, Kept()
+
+    def values(self, parts: list[str]) -> list:
+        found = self.kept.find(parts)
         missing = [i for i, value in enumerate(found) if value is None]
-        for i, value in zip(missing, self.compute([pieces[i] for i in missing]) if missing else ()):
-            found[i] = value
-        young.update((p, value) for p, value in zip(pieces, found) if len(p) <= KEPT_LENGTH)
+        if missing:
+            new = [parts[i] for i in missing]
+            values = self.compute(new)
+            for i, value in zip(missing, values):
+                found[i] = value
+            self.kept.keep(new, values)
         return found
 
 
-def pieces_of(texts: pa.Array) -> Iterator[tuple[np.ndarray, list[str], np.ndarray, np.ndarray]]:
-    """Rows, distinct pieces, index of the piece at each place, first place of each row.
+def parts_of(texts: pa.Array, special: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct parts, index of the part at each place, first place of each text.
 
-    Pieces other than the first of a row begin with the space before them.
+    Texts with a special string, or with the sign that marks cuts, are one part.
     """
-    split = pc.split_pattern(texts, " ")
+    whole = pc.match_substring(texts, CUT)
+    for s in special:
+        whole = pc.or_(whole, pc.match_substring(texts, s))
+    cut = pc.replace_substring_regex(texts, WORD_END, "\\1" + CUT + "\\2")
+    split = pc.split_pattern(pc.if_else(whole, "", cut), CUT)
     starts = np.asarray(split.offsets, dtype=np.int64)[:-1] - split.offsets[0].as_py()
     coded = split.flatten().dictionary_encode()
-    del split
-    index, distinct = np.asarray(coded.indices), coded.dictionary.to_pylist()
-    is_open = np.fromiter(map(_open, distinct), bool, len(distinct))
-    if not is_open.any():
-        yield _spaced(np.arange(len(texts)), distinct, index, starts)
-        return
-    open_rows = np.logical_or.reduceat(is_open[index], starts)
-    rows = np.flatnonzero(~open_rows)
-    if len(rows):
-        keep = np.repeat(~open_rows, np.diff(np.append(starts, len(index))))
-        lengths = np.diff(np.append(starts, len(index)))[rows]
-        used, again = np.unique(index[keep], return_inverse=True)
-        yield _spaced(rows, [distinct[i] for i in used], again, np.cumsum(lengths) - lengths)
-    rows = np.flatnonzero(open_rows)
-    parts = [SAFE_SPACE.split(texts[int(r)].as_py()) for r in rows]
-    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-    coded = pa.array([p for some in parts for p in some], pa.large_string()).dictionary_encode()
-    yield _spaced(rows, coded.dictionary.to_pylist(), np.asarray(coded.indices), np.cumsum(lengths) - lengths)
-
-
-def _spaced(rows, distinct, index, starts):
-    """Number the first pieces of the rows apart from the others, which get their space."""
-    firsts, again = np.unique(index[starts], return_inverse=True)
-    index = index + np.int32(len(firsts))
-    index[starts] = again
-    return rows, [distinct[i] for i in firsts] + [" " + p for p in distinct], index, starts
+    index, distinct = np.array(coded.indices), coded.dictionary.to_pylist()
+    for i in pc.indices_nonzero(whole).to_pylist():
+        index[starts[i]] = len(distinct)
+        distinct.append(texts[i].as_py())
+    return distinct, index, starts
