@@ -135,8 +135,9 @@ class GapProcessor(StatefulProcessor):
     """Points of one device in every window, also in those without any.
 
     Windows are reported once the watermark has passed their end, from the
-    device's first one on. After ``silent_windows`` without a point the device
-    is forgotten until it reports again.
+    device's first one on. After ``silent_windows`` without a point reports stop
+    until the device has points again; then the silent span up to them is
+    reported first. Of such a device only its next window is kept.
     """
 
     output_schema = "plant_id string, device_no string, window_ms long, points long"
@@ -169,7 +170,12 @@ class GapProcessor(StatefulProcessor):
             return iter([])
         window, silent = self.progress.get()
         passed, named, out = timerValues.getCurrentWatermarkInMs(), Row("plant_id", "device_no", "window_ms", "points"), []
-        while window + self.window_ms <= passed and silent < self.silent_windows:
+        later = window  # up to here windows are reported however long the silence is
+        while window + self.window_ms <= passed:
+            if silent >= self.silent_windows and later <= window:
+                later = min((found[0] for found in self.counts.keys()), default=None)
+                if later is None:
+                    break
             points = 0
             if self.counts.containsKey((window,)):
                 points = self.counts.getValue((window,))[0]
@@ -177,12 +183,11 @@ class GapProcessor(StatefulProcessor):
             silent = 0 if points else silent + 1
             out.append(named(*key, window, points))
             window += self.window_ms
-        if out:
-            if silent < self.silent_windows:
-                self.progress.update((window, silent))
+        else:
+            if out:
                 self.handle.registerTimer(window + self.window_ms)
-            else:
-                self.progress.clear()
+        if out:
+            self.progress.update((window, silent))
         return iter(out)
 
     def close(self) -> None:

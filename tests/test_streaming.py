@@ -108,3 +108,16 @@ def test_silent_windows_are_reported(spark):
             points = 12 - hour if hour in hs else 0
             assert seen[device, hour] == (points, 12 - points)
         assert (device, min(hs) - 1) not in seen
+
+
+@pytest.mark.parametrize("files", [1, 6])
+def test_silence_longer_than_the_limit_is_reported(spark, files):
+    detectors.use_state_store(spark)
+    hours = {"a": [0, 1, 10, 11, 20], "b": range(21)}
+    rows = [(START + dt.timedelta(hours=h), "p", d) for d, hs in hours.items() for h in hs]
+    frame = spark.createDataFrame(rows, "event_time timestamp, plant_id string, device_no string")
+    stream = detectors.stream_gaps(as_stream(spark, frame, files, "event_time"), silent_windows=3)
+    got = drain(stream, f"long_gaps_{files}", spark).collect()
+    seen = sorted((r.device_no, int((r.window_start - START).total_seconds() // 3600), r.points) for r in got)
+    # three silent windows after the last point, then the device is no longer watched
+    assert seen == [(d, h, int(h in hs)) for d, hs in hours.items() for h in range(24)]
