@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stringwatch.llm import decontamination, mixing, neighbours, quality, resharding, secret_scan, simhash, token_files, tokens, toxicity
+from stringwatch.llm import (
+    bpe_transducer,
+    decontamination,
+    mixing,
+    neighbours,
+    quality,
+    resharding,
+    secret_scan,
+    simhash,
+    token_files,
+    tokens,
+    toxicity,
+)
 from stringwatch.llm.records import alarms, as_alarms, as_documents, table
 from stringwatch.llm.sql import MIXING
 
@@ -16,6 +28,7 @@ LLM_CHECKS: dict[str, str] = {}
 
 
 TOKENIZER = "byte_bpe_50k.json"
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def tokenizer_file(name: str = TOKENIZER) -> str:
@@ -110,3 +123,16 @@ def resharded(spark: SparkSession, sf_dir: str) -> DataFrame:
 @llm_query("op5_toxicity")
 def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_documents(toxicity.alarm_toxicity(alarms(spark, sf_dir), as_alarms(table(spark, sf_dir, "labels"))))
+
+
+@llm_query("op11_bpe_transducer")
+def bpe_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ids = bpe_transducer.alarm_token_ids(alarms(spark, sf_dir), tokenizer_file(RANKS), public_tokenizers.PATTERN)
+    return as_documents(bpe_transducer.decoded_alarms(ids, tokenizer_file(RANKS))).select(
+        "doc_id",
+        F.size("token_ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )

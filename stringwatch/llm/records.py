@@ -7,13 +7,29 @@ from pyspark.sql import DataFrame, SparkSession
 NAMES = {"doc_id": "alarm_event_id", "text": "alarm_name", "source": "station_name", "lang": "alarm_code"}
 
 
+#: put before the name of a column that has a record's name but not its meaning
+ASIDE = "own_"
+
+
 def as_alarms(documents: DataFrame) -> DataFrame:
-    """Documents are alarms whose message is the text and whose station is the source."""
-    return documents.withColumnsRenamed(NAMES)
+    """Documents are alarms whose message is the text and whose station is the source.
+
+    Further columns that already have such a name (in any case of letters) are
+    set aside under another one until :func:`as_documents`.
+    """
+    return documents.toDF(*[NAMES.get(c) or (ASIDE + c if _clashes(c) else c) for c in documents.columns])
 
 
 def as_documents(alarms: DataFrame) -> DataFrame:
-    return alarms.withColumnsRenamed({new: old for old, new in NAMES.items()})
+    back = {new: old for old, new in NAMES.items()}
+    return alarms.toDF(*[back.get(c) or (c.removeprefix(ASIDE) if _clashes(c) else c) for c in alarms.columns])
+
+
+def _clashes(name: str) -> bool:
+    name = name.lower()
+    while name.startswith(ASIDE):
+        name = name.removeprefix(ASIDE)
+    return name in NAMES.values()
 
 
 def bounded_batches(spark: SparkSession) -> None:

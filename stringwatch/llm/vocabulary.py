@@ -104,3 +104,16 @@ def parts_of(texts: pa.Array, special: list[str]) -> tuple[list[str], np.ndarray
         index[starts[i]] = len(distinct)
         distinct.append(texts[i].as_py())
     return distinct, index, starts
+
+
+def gathered(values: list[bytes], index: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The integers of the part at each place, one after the other, and where each place ends among them."""
+    flat = np.frombuffer(b"".join(values), kind)
+    sizes = np.fromiter(map(len, values), np.int64, len(values)) // np.dtype(kind).itemsize
+    begins, lengths = np.cumsum(sizes) - sizes, sizes[index]
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    small = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    at = np.repeat((begins[index] - ends + lengths).astype(small), lengths)
+    at += np.arange(total, dtype=small)
+    return flat[at], ends
