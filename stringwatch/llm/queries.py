@@ -19,6 +19,7 @@ from stringwatch.llm import (
     token_files,
     tokens,
     toxicity,
+    word_runs,
 )
 from stringwatch.llm.records import alarms, as_alarms, as_documents, table
 from stringwatch.llm.sql import MIXING
@@ -136,3 +137,48 @@ def bpe_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("text", 256).alias("decoded_sha256"),
     )
+
+
+def with_planted_runs(records: DataFrame) -> DataFrame:
+    """In a tenth of all messages the words from some place on repeat, as the contract of op12 says."""
+    words, n = F.array_remove(F.split("alarm_name", "[ \t-\r]+"), ""), F.size("_words")
+    tail = n - F.col("_a")
+    return (
+        records.withColumn("_h", F.crc32(F.col("alarm_event_id").cast("string")))
+        .withColumn("_g", F.expr("_h div 10"))
+        .withColumn("_words", F.when(F.col("_h") % 10 == 0, words))
+        .withColumn("_a", F.when(n > 0, F.col("_g") % n).cast("int"))
+        .withColumn("_p", (F.lit(1) + F.floor(tail / (F.lit(3) + F.col("_g") % 8))).cast("int"))
+        .withColumn("_copies", F.ceil(tail / F.col("_p")).cast("int"))
+        .withColumn(
+            "alarm_name",
+            F.when(
+                F.col("_a").isNotNull(),
+                F.array_join(
+                    F.concat(
+                        F.slice("_words", F.lit(1), F.col("_a")),
+                        F.slice(F.flatten(F.array_repeat(F.slice("_words", F.col("_a") + 1, F.col("_p")), F.col("_copies"))), F.lit(1), tail),
+                    ),
+                    " ",
+                ),
+            ).otherwise(F.col("alarm_name")),
+        )
+        .drop("_h", "_g", "_words", "_a", "_p", "_copies")
+    )
+
+
+@llm_query("op12_word_runs")
+def word_run_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = as_documents(word_runs.alarm_word_runs(with_planted_runs(alarms(spark, sf_dir))))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string")), F.lit("\n")))
+    return found.select("doc_id", "runs", "collapsed_name", best.alias("best")).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed_name", 256).alias("collapsed_sha256"),
+    )
