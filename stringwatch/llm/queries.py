@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stringwatch.llm import (
     bpe_transducer,
+    collocations,
     decontamination,
     mixing,
     neighbours,
@@ -182,3 +183,12 @@ def word_run_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
         F.sha2("collapsed_name", 256).alias("collapsed_sha256"),
     )
+
+
+@llm_query("op13_collocations")
+def phrase_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = alarms(spark, sf_dir).withColumn("alarm_code", F.coalesce("alarm_code", F.lit("und")))
+    found = collocations.alarm_phrases(records).withColumnsRenamed(
+        {"occurrences": "a", "first_occurrences": "l", "rest_occurrences": "r", "words": "n"}
+    )
+    return as_documents(found).withColumn("rank", F.col("rank").cast("bigint"))
