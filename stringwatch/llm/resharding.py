@@ -136,6 +136,7 @@ def reshard_alarms(
     costs: np.ndarray | None = None,
     path: str | None = None,
     scratch: Scratch | None = None,
+    order: Column | None = None,
 ) -> tuple[DataFrame, Moves]:
     """Move alarms from their old shards into ``shards`` new ones.
 
@@ -148,16 +149,20 @@ def reshard_alarms(
 
     Returns all alarms with their columns, ``shard`` and ``slot`` (gapless from
     0 in every shard), read from the written files and from the untouched
-    shards, and the moves. Null and empty texts have ``ROW_BYTES`` bytes; equal
-    ids are kept in one block. Input columns named shard or slot are replaced.
-    An empty table moves nothing.
+    shards, and the moves. Null and empty texts have ``ROW_BYTES`` bytes. Blocks
+    and slots go by a hash of the id (of the text without one), then by size and
+    text, so equal ids stay in one block; with ``order``, a column of keys that a
+    second reading gives again, they go by a hash of that, and rows of one id
+    come apart. Input columns named shard or slot are replaced. An empty table
+    moves nothing.
     """
     scratch = scratch or Scratch(alarms.sparkSession)
     spark = alarms.sparkSession
     kept = [c for c in alarms.columns if c.lower() not in ("shard", "slot")]
     identity = F.coalesce(F.col("alarm_event_id").cast("string"), F.concat(F.lit("#"), F.coalesce("alarm_name", F.lit(""))))
+    key = identity if order is None else order
     placed = alarms.select(
-        *kept, F.coalesce(old_shard, F.lit(0)).cast("int").alias("_old"), row_size().alias("_size"), F.xxhash64(identity).alias("_hash")
+        *kept, F.coalesce(old_shard, F.lit(0)).cast("int").alias("_old"), row_size().alias("_size"), F.xxhash64(key).alias("_hash")
     )
     number = LEAST_BLOCKS
     while True:
@@ -189,7 +194,7 @@ def reshard_alarms(
     found = placed.withColumn("_block", in_block).join(
         plan, (F.col("_old") == F.col("_plan_old")) & (F.col("_block") == F.col("_plan_block"))
     )
-    inside = Window.partitionBy("shard", "_old", "_block").orderBy("_hash", "_size")
+    inside = Window.partitionBy("shard", "_old", "_block").orderBy("_hash", "_size", "alarm_name")
     ordered = found.repartitionByRange("shard", "_old", "_block").select(
         *kept, "shard", (F.col("_base") + F.row_number().over(inside) - 1).alias("slot")
     )

@@ -255,26 +255,3 @@ def alarm_near_copies(alarms: DataFrame, distance: int = 3, words: int = 3, scra
     return rows.join(named, "fingerprint", "left").select(
         "alarm_event_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def distinct_alarms(alarms: DataFrame, distance: int = 3, words: int = 3, scratch: Scratch | None = None) -> DataFrame:
-    """One alarm of every group stays, the one that names it; columns are as before.
-
-    Of repeated rows of that id one stays. Groups without any id keep one row.
-    """
-    scratch = scratch or Scratch(alarms.sparkSession)
-    groups = alarm_near_copies(alarms, distance, words, scratch).withColumnRenamed("alarm_event_id", "_near_id")
-    named = groups.where("component_id is not null and _near_id = component_id").select("_near_id").distinct()
-    kept = alarms.join(named, alarms.alarm_event_id == named._near_id, "left_semi").dropDuplicates(["alarm_event_id"])
-    nameless = groups.where("component_id is null").select("fingerprint").distinct()
-    if nameless.isEmpty():
-        return kept
-    unnamed = alarms.where("alarm_event_id is null")
-    hashed = fingerprints(unnamed.select(F.col("alarm_name").alias("alarm_event_id"), "alarm_name"), words).distinct()
-    texts = hashed.select(
-        F.col("alarm_event_id").alias("_near_text"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint")
-    ).join(nameless, "fingerprint")
-    chosen = texts.groupBy("fingerprint").agg(F.min("_near_text").alias("_near_text"))
-    return kept.unionByName(
-        unnamed.join(chosen, unnamed.alarm_name.eqNullSafe(chosen._near_text), "left_semi").dropDuplicates(["alarm_name"])
-    )

@@ -59,17 +59,11 @@ def test_groups_with_odd_rows(spark):
     prints = [plain_fingerprint(r[1]) for r in rows]
     want = sorted(((r[0], f"{p:016x}", c) for r, p, c in zip(rows, prints, brute_groups([r[0] for r in rows], prints))), key=str)
     assert sorted(map(tuple, got), key=str) == want
-    kept = simhash.distinct_alarms(alarms)
-    assert kept.columns == alarms.columns
-    ids = [r.alarm_event_id for r in kept.collect()]
-    assert len(ids) == len(set(ids)) and ids.count(None) == 1
-    assert set(ids) - {None} == {c for _, _, c in want if c is not None}
 
 
 def test_empty_table(spark):
     none = spark.createDataFrame([], "alarm_event_id long, alarm_name string")
     assert simhash.alarm_near_copies(none).count() == 0
-    assert simhash.distinct_alarms(none).count() == 0
 
 
 @pytest.mark.parametrize("parts", [2, 3, 4])
