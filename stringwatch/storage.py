@@ -16,6 +16,9 @@ from pyspark.sql.types import StructType
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+#: temporary folders of local sessions without the setting, by application
+_temporary: dict[str, str] = {}
+
 
 def staging_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables.
@@ -28,8 +31,10 @@ def staging_root(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not (master == "local" or master.startswith("local[")):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="stringwatch-stage-")
-        spark.conf.set(CHECKPOINT_DIR, root)
+        application = spark.sparkContext.applicationId
+        if application not in _temporary:
+            _temporary[application] = tempfile.mkdtemp(prefix="stringwatch-stage-")
+        root = _temporary[application]
     return root.rstrip("/")
 
 
