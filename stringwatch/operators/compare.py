@@ -7,13 +7,18 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stringwatch.functions.arrays import number_list, parse_number_list
+from stringwatch.config import ResidualSettings
+from stringwatch.functions.arrays import number_list
+from stringwatch.functions.gates import absolute_drop
 from stringwatch.functions.timegrid import local_text
 from stringwatch.operators import runs
 from stringwatch.operators.quantiles import quantiles
+from stringwatch.operators.residuals import add_raw_alerts
 from stringwatch.schema import DEVICE_KEYS, POINT_KEYS
 
 EMPTY = "array<int>"
+#: ends of the comparison cases; those of one version begin with its name
+CASES = ("both_same", "both_different", "_only")
 
 
 def alerted_strings(points: DataFrame, alert: Column, name: str) -> DataFrame:
@@ -92,10 +97,6 @@ def as_text(frame: DataFrame, names: Sequence[str]) -> DataFrame:
     return frame.withColumns({n: number_list(F.col(n)) for n in names})
 
 
-def from_text(frame: DataFrame, names: Sequence[str]) -> DataFrame:
-    return frame.withColumns({n: parse_number_list(F.col(n)) for n in names})
-
-
 def review_columns(events: DataFrame, timezone: str = "Asia/Shanghai") -> DataFrame:
     """Local times and the blank columns a reviewer fills in."""
     return events.withColumns(
@@ -110,8 +111,15 @@ def review_columns(events: DataFrame, timezone: str = "Asia/Shanghai") -> DataFr
 
 
 def filtered_strings(left: DataFrame, right: DataFrame, alert: str, diagnostics: Sequence[str]) -> DataFrame:
-    """Strings the first version alerts and the second does not, with diagnostics."""
+    """Strings the first version alerts and the second does not, with diagnostics.
+
+    ``isolated_absolute_drop`` is derived where the first version lacks it but
+    has the expected and the measured current. Both sides are unique per string
+    and time; a repeated key of the second would repeat rows.
+    """
     keys = [*POINT_KEYS, "string_no"]
+    if "isolated_absolute_drop" not in left.columns and {"expected_current", "string_current"} <= set(left.columns):
+        left = left.withColumn("isolated_absolute_drop", absolute_drop(F.col("expected_current"), F.col("string_current")))
     second = right.select(*keys, F.col(alert).cast("boolean").alias("_second"))
     return (
         left.where(F.coalesce(F.col(alert).cast("boolean"), F.lit(False)))
@@ -121,6 +129,41 @@ def filtered_strings(left: DataFrame, right: DataFrame, alert: str, diagnostics:
     )
 
 
+def gate_versions(scored: DataFrame, first: ResidualSettings, second: ResidualSettings) -> tuple[DataFrame, DataFrame]:
+    """The same scores under two effect gates: each with ``gated_alert``, an isolated or group candidate.
+
+    ``scored`` is read by both, so pass a staged table.
+    """
+    either = (F.col("isolated_raw_alert") == 1) | (F.col("collective_raw_alert") == 1)
+    one, two = (add_raw_alerts(scored, settings).withColumn("gated_alert", either.cast("int")) for settings in (first, second))
+    return one, two
+
+
+def plant_report(events: DataFrame, points: DataFrame, filtered: DataFrame) -> DataFrame:
+    """Per plant and overall (plant_id null): events, points and filtered strings, and events and points of every case.
+
+    A plant appears if it has events or points.
+    """
+
+    def counted(frame: DataFrame, name: str) -> DataFrame:
+        cases = CASES if "comparison_case" in frame.columns else ()
+        return frame.groupingSets([["plant_id"], []], "plant_id").agg(
+            F.grouping("plant_id").cast("int").alias("overall"),
+            F.count(F.lit(1)).alias(name),
+            *[F.count_if(F.col("comparison_case").endswith(c)).alias(f"{name}_{c.strip('_')}") for c in cases],
+        )
+
+    keys = ["plant_id", "overall"]
+    parts = [counted(events, "events"), counted(points, "points"), counted(filtered, "filtered_strings")]
+    names = [[c for c in part.columns if c not in keys] for part in parts]
+    rows = None
+    for part in parts:
+        padded = part.select(*keys, *[F.col(c) if c in part.columns else F.lit(None).cast("long").alias(c) for own in names for c in own])
+        rows = padded if rows is None else rows.unionByName(padded)
+    report = rows.groupBy(*keys).agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for own in names for c in own])
+    return report.where("overall = 1 or events + points > 0").drop("overall")
+
+
 def case_counts(frame: DataFrame, keys: Sequence[str] = ("plant_id",)) -> DataFrame:
     """Comparison cases per plant and overall (plant_id null)."""
     sets = [[*keys, "comparison_case"], ["comparison_case"]]

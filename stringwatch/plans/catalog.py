@@ -6,6 +6,7 @@ from stringwatch.plans import (  # noqa: F401
     detection_queries,
     device_queries,
     ewma_queries,
+    gate_queries,
     residual_queries,
     stream_queries,
     string_queries,

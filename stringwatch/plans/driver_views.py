@@ -161,13 +161,12 @@ def raw_alarm_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def station_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stations of the suppliers' plants; every seventh plant is not mapped."""
+    """Stations of the suppliers' plants; alarms also name stations of plants that no supplier has."""
     plant = F.floor(F.col("s_suppkey") / 10)
     return (
         table(spark, sf_dir, "supplier")
         .select(plant.alias("plant"))
         .distinct()
-        .where(F.col("plant") % 7 != 3)
         .select(
             F.concat(F.lit("station-"), F.col("plant").cast("string")).alias("station_name"),
             F.col("plant").cast("string").alias("plant_id"),
@@ -189,7 +188,7 @@ al as (
          {DAY_OF_SLOT} + o_orderkey % 5 * 60 + case when o_orderkey % 16 = 7 then o_orderkey % 40 else o_orderkey % 4 end * 60 as et
   from od where o_orderkey % 97 <> 0 and o_orderkey % 89 <> 0),
 alc as (
-  select *, case when st_plant % 7 <> 3 and st_plant in (select distinct s_suppkey // 10 from supplier) then st_plant end as plant
+  select *, case when st_plant in (select distinct s_suppkey // 10 from supplier) then st_plant end as plant
   from al where code in ('101001', '101002'))
 """
 
