@@ -40,12 +40,13 @@ def read_plant_tables(spark: SparkSession, root: str, schema: StructType | str,
     """
     declared = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     fields = [f for f in declared.fields if f.name != "plant_id"]
-    reader = spark.read.option("pathGlobFilter", pattern)
-    # only the folder names are looked at here, no file is opened
-    if "plant_id" not in reader.format("text").load(root).columns:
+    # only names are listed here, no file is opened
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(root)
+    if "plant_id" not in listed.columns or listed.select("path").isEmpty():
         raise FileNotFoundError(f"no plant_id folders with {pattern} below {root}")
     return (
-        reader.schema(StructType([*fields, StructField("plant_id", StringType())]))
+        spark.read.option("pathGlobFilter", pattern)
+        .schema(StructType([*fields, StructField("plant_id", StringType())]))
         .option("header", "true")
         .option("enforceSchema", "false")
         .option("mode", "FAILFAST")
