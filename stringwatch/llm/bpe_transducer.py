@@ -3,8 +3,8 @@
 The merges are compiled into a transducer that reads bytes and writes tokens.
 Its hypotheses are places where the token being read may have begun; a token may
 follow another only if no merge would cross the seam, which makes the tokens of
-every prefix unique. States are the sets of hypotheses that occur (made when
-first needed, kept up to a bound); a step writes the tokens all hypotheses agree
+every prefix unique. States are the sets of hypotheses that occur, made when
+first needed up to a bound; a step writes the tokens all hypotheses agree
 on, so what is pending is never longer than the longest token.
 
 Ids are decoded as a stream: a state machine of UTF-8 holds back the bytes of a
@@ -15,6 +15,9 @@ from __future__ import annotations
 
 import base64
 import functools
+import gc
+import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,13 +27,20 @@ from pyspark.sql import DataFrame
 
 from stringwatch.llm import vocabulary
 
-#: states kept before the transducer starts anew
-STATE_LIMIT = 400_000
+#: states made at most, and answers kept about tokens that follow others
+STATE_LIMIT, KNOWN_LIMIT = 100_000, 700_000
+#: parts of texts whose ids are kept, and bytes of text looked at together
+KEPT_PARTS, CHUNK_BYTES = 200_000, 8 << 20
 #: a begun token is given up early if none of its ends fits, looked at where it has so few
 FEW_ENDS = 24
+#: bits for a place in the tree of tokens
+NODE_BITS = 24
+NODES = (1 << NODE_BITS) - 1
 #: ids that the stream decoder is given at once
 DECODED_IDS = 1 << 16
 NEVER = 1 << 62
+#: a space and a run of ASCII letters, which every pattern meant here matches as one
+PLAIN_PART = re.compile(r" ?[A-Za-z]+\Z")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -107,85 +117,119 @@ class Seams:
 
 
 class State:
-    """A set of hypotheses: (bytes of the token being read, token before, tokens not yet written)."""
+    """A set of hypotheses, each a token before and the bytes of the token being read, with tokens not yet written."""
 
-    __slots__ = ("hypotheses", "edges", "final")
+    __slots__ = ("hypotheses", "pending", "edges", "final")
 
-    def __init__(self, hypotheses: tuple):
-        self.hypotheses = hypotheses
-        self.edges: dict[int, tuple[State, tuple]] = {}
-        self.final = next(pending for begun, _, pending in hypotheses if not begun)
+    def __init__(self, hypotheses: tuple[int, ...], pending: tuple[tuple[int, ...], ...]):
+        self.hypotheses, self.pending = hypotheses, pending
+        self.edges: dict[int, tuple[State, tuple[int, ...]]] = {}
+        self.final = pending[next(i for i, h in enumerate(hypotheses) if not h & NODES)]
 
 
 class Transducer:
-    """Tokens of pieces by the ranks, as the merges would give them."""
+    """Tokens of pieces by the ranks, as the merges would give them.
+
+    A hypothesis is a number: the rank of the token before (plus one, none is 0)
+    above, the place in the tree of all tokens' bytes below.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"the ranks have no token for the bytes {missing}")
-        self.ranks = ranks
-        self.begun: dict[bytes, list[bytes]] = {}
-        for token in ranks:
-            for i in range(1, len(token)):
-                ends = self.begun.setdefault(token[:i], [])
-                if len(ends) <= FEW_ENDS:
-                    ends.append(token)
-        self.seams = Seams(ranks)
-        self.known: dict[tuple[bytes | None, bytes], tuple[bool, int | None]] = {}
-        self._forget()
-
-    def _forget(self) -> None:
+        self.ranks, self.seams = ranks, Seams(ranks)
+        self.token = {rank: token for token, rank in ranks.items()}
+        self.child: dict[int, int] = {}
+        self.rank, self.ends = [-1], [[]]  # by place in the tree: id of a token, tokens that go on (a few)
+        for token, rank in ranks.items():
+            node = 0
+            for byte in token:
+                if len(self.ends[node]) <= FEW_ENDS:
+                    self.ends[node].append(token)
+                after = self.child.get(node << 8 | byte)
+                if after is None:
+                    after = self.child[node << 8 | byte] = len(self.rank)
+                    self.rank.append(-1)
+                    self.ends.append([])
+                node = after
+            self.rank[node] = rank
+        self.known: dict[int, int] = {}
         self.states: dict[tuple, State] = {}
-        self.start = self._state(((b"", None, ()),))
+        self.start = self._state((0,), ((),))
 
-    def _state(self, hypotheses: tuple) -> State:
-        state = self.states.get(hypotheses)
+    def _state(self, hypotheses: tuple, pending: tuple) -> State:
+        state = self.states.get((hypotheses, pending))
         if state is None:
-            state = self.states[hypotheses] = State(hypotheses)
+            state = State(hypotheses, pending)
+            if len(self.states) < STATE_LIMIT:
+                self.states[hypotheses, pending] = state
         return state
 
-    def _follow(self, before: bytes | None, token: bytes) -> tuple[bool, int | None]:
-        """Whether a token that begins so may follow, and the id if these bytes are one that does."""
-        may = functools.partial(self.seams.fits, before)
-        ends, rank = self.begun.get(token), self.ranks.get(token)
-        begins = ends is not None
-        if begins and before is not None and len(ends) <= FEW_ENDS:
-            begins = any(self.seams.is_proper(end) and may(end) for end in ends)
-        if rank is not None and not (self.seams.is_proper(token) and (before is None or may(token))):
-            rank = None
-        if len(self.known) > 4 * STATE_LIMIT:
-            self.known.clear()
-        found = self.known[before, token] = begins, rank
+    def _follow(self, hypothesis: int) -> int:
+        """Odd if a token that begins so may follow the one before; above, the id (plus one) if it may end here."""
+        node, before = hypothesis & NODES, self.token.get((hypothesis >> NODE_BITS) - 1)
+        ends, rank = self.ends[node], self.rank[node]
+        begins = bool(ends)
+        if before is not None and 0 < len(ends) <= FEW_ENDS:
+            begins = any(self.seams.is_proper(end) and self.seams.fits(before, end) for end in ends)
+        if rank >= 0:
+            token = self.token[rank]
+            if not (self.seams.is_proper(token) and (before is None or self.seams.fits(before, token))):
+                rank = -1
+        found = (rank + 1) << 1 | begins
+        if len(self.known) < KNOWN_LIMIT:
+            self.known[hypothesis] = found
         return found
 
-    def _grow(self, state: State, byte: int) -> tuple[State, tuple]:
-        """Make the step of a state over a byte."""
-        found, sign, known = [], bytes((byte,)), self.known
-        for begun, before, pending in state.hypotheses:
-            token = begun + sign
-            begins, rank = known.get((before, token)) or self._follow(before, token)
-            if begins:
-                found.append((token, before, pending))
-            if rank is not None:
-                found.append((b"", token, (*pending, rank)))
-        agreed, first = 0, found[0][2]
-        while len(first) > agreed and all(len(p) > agreed and p[agreed] == first[agreed] for _, _, p in found):
+    def _step(self, hypotheses: tuple, pending: tuple, byte: int) -> tuple[tuple, tuple, tuple]:
+        """Hypotheses and what is pending after a byte, and the tokens all agree on."""
+        child, known, after, waiting = self.child.get, self.known.get, [], []
+        for hypothesis, tokens in zip(hypotheses, pending):
+            node = child((hypothesis & NODES) << 8 | byte)
+            if node is None:
+                continue
+            moved = hypothesis & ~NODES | node
+            found = known(moved)
+            if found is None:
+                found = self._follow(moved)
+            if found & 1:
+                after.append(moved)
+                waiting.append(tokens)
+            if found > 1:
+                after.append((found >> 1) << NODE_BITS)
+                waiting.append((*tokens, (found >> 1) - 1))
+        first, agreed = waiting[0], 0
+        for token in first:
+            if not all(len(w) > agreed and w[agreed] == token for w in waiting):
+                break
             agreed += 1
-        if len(self.states) >= STATE_LIMIT:
-            self._forget()
-        after = self._state(tuple((b, t, p[agreed:]) for b, t, p in found) if agreed else tuple(found))
-        edge = state.edges[byte] = after, first[:agreed]
-        return edge
+        if agreed:
+            waiting = [w[agreed:] for w in waiting]
+        return tuple(after), tuple(waiting), first[:agreed]
 
     def encode(self, piece: bytes) -> list[int]:
-        """Ids of one match of the pattern; a piece that is a token itself is that token."""
+        """Ids of one match of the pattern; a piece that is a token itself is that token.
+
+        States are made while there is room; beyond it steps are made without them.
+        """
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        state, ids = self.start, []
-        for byte in piece:
-            state, written = state.edges.get(byte) or self._grow(state, byte)
+        state, ids, room = self.start, [], len(self.states) < STATE_LIMIT
+        for at, byte in enumerate(piece):
+            edge = state.edges.get(byte)
+            if edge is None:
+                if not room:
+                    hypotheses, pending = state.hypotheses, state.pending
+                    for byte in piece[at:]:
+                        hypotheses, pending, written = self._step(hypotheses, pending, byte)
+                        ids += written
+                    ids += pending[next(i for i, h in enumerate(hypotheses) if not h & NODES)]
+                    return ids
+                *after, written = self._step(state.hypotheses, state.pending, byte)
+                edge = state.edges[byte] = self._state(*after), written
+            state, written = edge
             if written:
                 ids += written
         ids += state.final
@@ -283,12 +327,20 @@ class StreamDecoder:
 @functools.lru_cache(2)
 def piece_table(ranks_path: str, pattern: str) -> vocabulary.PieceTable:
     """Ids of parts of texts as little-endian 32-bit integers; one for all tasks of a worker."""
+    gc.set_threshold(200_000)  # steps make many short-lived tuples and no cycles
     encode, split = Transducer(read_ranks(ranks_path)).encode, regex.compile(pattern).finditer
 
     def ids_of(parts: list[str]) -> list[bytes]:
-        return [np.array([i for m in split(part) for i in encode(m.group().encode())], "<i4").tobytes() for part in parts]
+        out = []
+        for part in parts:
+            if PLAIN_PART.match(part):  # one match of the pattern
+                ids = encode(part.encode())
+            else:
+                ids = [i for match in split(part) for i in encode(match.group().encode())]
+            out.append(array("i", ids).tobytes())  # tasks run on little-endian machines
+        return out
 
-    return vocabulary.PieceTable(ids_of)
+    return vocabulary.PieceTable(ids_of, KEPT_PARTS)
 
 
 @functools.lru_cache(2)
@@ -300,12 +352,22 @@ def decoding_table(ranks_path: str) -> tuple[list[bytes], np.ndarray]:
     return tokens, StreamDecoder.completeness(tokens)
 
 
-def alarm_token_ids(alarms: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def decoded_texts(rows: Iterable[np.ndarray], ranks_path: str) -> Iterator[str]:
+    """The text of each row of ids, fed to the stream decoder in stretches."""
+    decoder = StreamDecoder(*decoding_table(ranks_path))
+    for ids in rows:
+        parts = [decoder.feed(ids[i : i + DECODED_IDS]) for i in range(0, len(ids), DECODED_IDS)]
+        yield "".join(parts) + decoder.finish()
+
+
+def alarm_token_ids(alarms: DataFrame, ranks_path: str, pattern: str, decoded: bool = False) -> DataFrame:
     """Token ids of every alarm message: alarm_event_id, token_ids (array of int).
 
     ``ranks_path`` is a file of base64 tokens and ranks, ``pattern`` splits a
     message into the pieces that are merged; it must end a match wherever a run
-    of letters ends. No special tokens. Null and empty messages have no ids;
+    of letters ends, and take letters with a space before them as one. No special
+    tokens. With ``decoded`` the column decoded_name follows, the message
+    decoded from its ids in the same pass. Null and empty messages have no ids;
     very long ones are encoded whole. Null ids and repeated rows give a row
     each, empty tables none; other columns are left out.
     """
@@ -314,16 +376,21 @@ def alarm_token_ids(alarms: DataFrame, ranks_path: str, pattern: str) -> DataFra
         table = piece_table(ranks_path, pattern)
         for batch in batches:
             keys, done = batch.column("alarm_event_id"), 0
-            for chunk in vocabulary.chunks(batch.column("alarm_name")):
+            for chunk in vocabulary.chunks(batch.column("alarm_name"), CHUNK_BYTES):
                 parts, index, starts = vocabulary.parts_of(chunk, [])
                 flat, ends = vocabulary.gathered(table.values(parts), index, "<i4")
                 offsets = np.append(np.append(0, ends)[starts], ends[-1])
-                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([keys.slice(done, len(chunk)), ids], ["alarm_event_id", "token_ids"])
+                columns = [keys.slice(done, len(chunk)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))]
+                if decoded:
+                    texts = decoded_texts((flat[a:b] for a, b in zip(offsets.tolist(), offsets[1:].tolist())), ranks_path)
+                    columns.append(pa.array(texts, pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names)
                 done += len(chunk)
 
     key = alarms.schema["alarm_event_id"].dataType.simpleString()
-    return alarms.select("alarm_event_id", "alarm_name").mapInArrow(encode, f"alarm_event_id {key}, token_ids array<int>")
+    names = ["alarm_event_id", "token_ids", "decoded_name"][: 3 if decoded else 2]
+    schema = f"alarm_event_id {key}, token_ids array<int>" + ", decoded_name string" * decoded
+    return alarms.select("alarm_event_id", "alarm_name").mapInArrow(encode, schema)
 
 
 def decoded_alarms(tokens: DataFrame, ranks_path: str) -> DataFrame:
@@ -332,17 +399,11 @@ def decoded_alarms(tokens: DataFrame, ranks_path: str) -> DataFrame:
     An id that the ranks do not have is an error.
     """
 
-    def texts(rows: Iterable[np.ndarray]) -> Iterator[str]:
-        decoder = StreamDecoder(*decoding_table(ranks_path))
-        for ids in rows:
-            parts = [decoder.feed(ids[i : i + DECODED_IDS]) for i in range(0, len(ids), DECODED_IDS)]
-            yield "".join(parts) + decoder.finish()
-
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("token_ids").fill_null([])
             flat, offsets = np.asarray(lists.values), np.asarray(lists.offsets)
-            found = texts(flat[a:b] for a, b in zip(offsets, offsets[1:]))
+            found = decoded_texts((flat[a:b] for a, b in zip(offsets, offsets[1:])), ranks_path)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("alarm_event_id"), batch.column("token_ids"), pa.array(found, pa.string())],
                 ["alarm_event_id", "token_ids", "alarm_name"],

@@ -131,12 +131,12 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bpe_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    ids = bpe_transducer.alarm_token_ids(alarms(spark, sf_dir), tokenizer_file(RANKS), public_tokenizers.PATTERN)
-    return as_documents(bpe_transducer.decoded_alarms(ids, tokenizer_file(RANKS))).select(
+    ids = bpe_transducer.alarm_token_ids(alarms(spark, sf_dir), tokenizer_file(RANKS), public_tokenizers.PATTERN, decoded=True)
+    return as_documents(ids).select(
         "doc_id",
         F.size("token_ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("text", 256).alias("decoded_sha256"),
+        F.sha2("decoded_name", 256).alias("decoded_sha256"),
     )
 
 

@@ -50,12 +50,13 @@ def specials(tokenizer) -> list[str]:
 class Kept:
     """Values kept up to a bound; what was not used lately goes first."""
 
-    def __init__(self):
+    def __init__(self, limit: int = KEPT_PIECES):
+        self.limit = limit
         self.young: dict[str, object] = {}
         self.old: dict[str, object] = {}
 
     def find(self, keys: list[str]) -> list:
-        if len(self.young) > KEPT_PIECES:
+        if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
         found = list(map(self.young.get, keys))
         if self.old:
@@ -72,8 +73,8 @@ class Kept:
 class PieceTable:
     """Values of the parts that texts are cut into, by ``compute`` where they are not kept."""
 
-    def __init__(self, compute: Callable[[list[str]], list]):
-        self.compute, self.kept = compute, Kept()
+    def __init__(self, compute: Callable[[list[str]], list], limit: int = KEPT_PIECES):
+        self.compute, self.kept = compute, Kept(limit)
 
     def values(self, parts: list[str]) -> list:
         found = self.kept.find(parts)

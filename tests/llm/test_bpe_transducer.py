@@ -23,7 +23,7 @@ def library():
 
 
 def test_pieces_equal_the_library(library, monkeypatch):
-    monkeypatch.setattr(bpe_transducer, "STATE_LIMIT", 500)  # states are forgotten again and again
+    monkeypatch.setattr(bpe_transducer, "STATE_LIMIT", 500)  # most steps are made without states
     ranks = bpe_transducer.read_ranks(PATH)
     machine, rng, tokens = bpe_transducer.Transducer(ranks), random.Random(3), list(ranks)
     for n in range(4000):
@@ -53,7 +53,7 @@ def test_pending_tokens_are_bounded():
     machine = bpe_transducer.Transducer(bpe_transducer.read_ranks(PATH))
     machine.encode(" antidisestablishmentarianism".encode() * 200)
     longest = max(map(len, machine.ranks))
-    assert max(len(pending) for key in machine.states for _, _, pending in key) <= longest
+    assert max(len(tokens) for _, pending in machine.states for tokens in pending) <= longest
     assert len(machine.states) < 500
 
 
@@ -79,6 +79,8 @@ def test_alarm_messages(spark, library):
     found = bpe_transducer.alarm_token_ids(alarms, PATH, public_tokenizers.PATTERN)
     want = sorted((str(i), library.encode_ordinary(t or ""), t or "") for i, t in rows)
     assert sorted((str(r.alarm_event_id), list(r.token_ids), r.alarm_name) for r in bpe_transducer.decoded_alarms(found, PATH).collect()) == want
+    both = bpe_transducer.alarm_token_ids(alarms, PATH, public_tokenizers.PATTERN, decoded=True)
+    assert sorted((str(r.alarm_event_id), list(r.token_ids), r.decoded_name) for r in both.collect()) == want
     assert bpe_transducer.alarm_token_ids(alarms.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
     gone = spark.createDataFrame([(1, None)], "alarm_event_id bigint, token_ids array<int>")
     assert bpe_transducer.decoded_alarms(gone, PATH).first().alarm_name == ""
