@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stringwatch.config import EwmaSettings, LofSettings, MemorySettings
 from stringwatch.operators.ewma import prepare_residuals
 from stringwatch.operators.strings import score_strings
-from stringwatch.schema import STRING_KEYS
-from stringwatch.streaming.processors import EwmaProcessor, GapProcessor, MemoryProcessor
+from stringwatch.schema import DEVICE_KEYS, SOURCE_PLANT, STRING_KEYS
+from stringwatch.streaming.processors import EventProcessor, EwmaProcessor, GapProcessor, MemoryProcessor, OrderedProcessor
+from stringwatch.streaming.watch import QUALITY, WITHOUT_TIME
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -24,6 +27,27 @@ def stream_scores(wide: DataFrame, settings: LofSettings) -> DataFrame:
     return score_strings(wide, settings)
 
 
+def _keyed(frame: DataFrame, keys: Sequence[str], time: str, delay: str, *payload: Column) -> tuple[DataFrame, str]:
+    """Keys, time and payload behind a watermark, and the schema of the keys.
+
+    A source plant is one of the keys where there is one, since two plants that
+    share a model plant may own devices of the same number. Rows without time
+    belong nowhere: they are counted in the metrics of the stream and left out.
+    """
+    named = [*keys, SOURCE_PLANT] if SOURCE_PLANT in frame.columns else list(keys)
+    kinds = {name: "int" if name == "string_no" else "string" for name in named}
+    counted = frame.observe(QUALITY, F.count_if(F.col(time).isNull()).alias(WITHOUT_TIME))
+    prepared = counted.where(F.col(time).isNotNull()).select(
+        *[F.col(n).cast(k).alias(n) for n, k in kinds.items()], time, F.unix_micros(F.col(time).cast("timestamp")).alias("time_us"), *payload
+    )
+    return prepared.withWatermark(time, delay), ", ".join(f"{n} {k}" for n, k in kinds.items())
+
+
+def _transformed(prepared: DataFrame, key_schema: str, processor: OrderedProcessor | GapProcessor) -> DataFrame:
+    keys = [field.split()[0] for field in key_schema.split(", ")]
+    return prepared.groupBy(*keys).transformWithState(processor, processor.output_schema(key_schema), "Append", "EventTime")
+
+
 def stream_memory(
     points: DataFrame,
     raw: Column,
@@ -32,35 +56,24 @@ def stream_memory(
     delay: str = "15 minutes",
 ) -> DataFrame:
     """Streaks and remembered alerts per string, emitted behind the watermark."""
-    prepared = points.select(
-        F.col("plant_id").cast("string").alias("plant_id"),
-        F.col("device_no").cast("string").alias("device_no"),
-        F.col("string_no").cast("int").alias("string_no"),
-        "event_time",
+    prepared, schema = _keyed(
+        points, STRING_KEYS, "event_time", delay,
         F.coalesce(raw.cast("boolean"), F.lit(False)).alias("raw"),
         F.coalesce(evaluable.cast("boolean"), F.lit(False)).alias("evaluable"),
-    ).withWatermark("event_time", delay)
+    )
     processor = MemoryProcessor(settings.interval_minutes, settings.entry_consecutive, settings.clear_consecutive)
-    result = prepared.groupBy(*STRING_KEYS).transformWithState(
-        processor, MemoryProcessor.output_schema, "Append", "EventTime"
-    )
-    return result.withColumn("event_time", F.timestamp_millis("time_ms")).drop("time_ms")
+    return _transformed(prepared, schema, processor).withColumn("event_time", F.timestamp_micros("time_us")).drop("time_us")
 
 
 def stream_ewma(frame: DataFrame, settings: EwmaSettings, delay: str = "15 minutes") -> DataFrame:
     """EWMA scores per device, emitted behind the watermark."""
-    prepared = prepare_residuals(frame, settings).select(
-        F.col("plant_id").cast("string").alias("plant_id"),
-        F.col("device_no").cast("string").alias("device_no"),
-        "target_time",
-        "underproduction_residual",
-        "ewma_eligible",
-    ).withWatermark("target_time", delay)
+    prepared, schema = _keyed(
+        prepare_residuals(frame, settings), DEVICE_KEYS, "target_time", delay,
+        F.col("underproduction_residual"),
+        F.coalesce("ewma_eligible", F.lit(False)).alias("ewma_eligible"),
+    )
     processor = EwmaProcessor(settings.weight, settings.center, settings.scale, settings.interval_minutes)
-    result = prepared.groupBy("plant_id", "device_no").transformWithState(
-        processor, EwmaProcessor.output_schema, "Append", "EventTime"
-    )
-    return result.withColumn("target_time", F.timestamp_millis("time_ms")).drop("time_ms")
+    return _transformed(prepared, schema, processor).withColumn("target_time", F.timestamp_micros("time_us")).drop("time_us")
 
 
 def stream_gaps(
@@ -76,16 +89,11 @@ def stream_gaps(
     closes its windows, so one that falls silent is reported too.
     """
     expected = window_minutes // interval_minutes
-    watched = frame.select(
-        F.col("plant_id").cast("string").alias("plant_id"), F.col("device_no").cast("string").alias("device_no"), "event_time"
-    ).withWatermark("event_time", delay)
-    counted = watched.groupBy("plant_id", "device_no").transformWithState(
-        GapProcessor(window_minutes, silent_windows), GapProcessor.output_schema, "Append", "EventTime"
-    )
+    prepared, schema = _keyed(frame, DEVICE_KEYS, "event_time", delay)
+    counted = _transformed(prepared, schema, GapProcessor(window_minutes, silent_windows))
     return counted.select(
         F.timestamp_millis("window_ms").alias("window_start"),
-        "plant_id",
-        "device_no",
+        *[c for c in counted.columns if c not in ("window_ms", "points")],
         "points",
         F.greatest(F.lit(expected) - F.col("points"), F.lit(0)).alias("missing_points"),
     )
@@ -103,21 +111,12 @@ def end_marker(frame: DataFrame, time: str = "event_time", days_ahead: int = 30)
     )
 
 
-def stream_events(
-    alerts: DataFrame, interval_minutes: int = 5, delay: str = "15 minutes"
-) -> DataFrame:
-    """Events closed once the watermark passes the end of a run of alerts.
+def stream_events(alerts: DataFrame, interval_minutes: int = 5, delay: str = "15 minutes") -> DataFrame:
+    """Events of alerts in exact intervals, closed once the watermark passes the place of the next point.
 
-    Alerts must lie on the grid: a session joins points closer than the interval.
+    Points may lie off the grid and repeat; the runs are those of
+    :func:`stringwatch.operators.runs.collapse`.
     """
-    session = F.session_window("event_time", f"{interval_minutes * 60 + 1} seconds")
-    return (
-        alerts.withWatermark("event_time", delay)
-        .groupBy(session, *STRING_KEYS)
-        .agg(
-            F.min("event_time").alias("start_time"),
-            F.max("event_time").alias("end_time"),
-            F.count(F.lit(1)).alias("points"),
-        )
-        .drop("session_window")
-    )
+    prepared, schema = _keyed(alerts, STRING_KEYS, "event_time", delay, F.lit(True).alias("alert"))
+    found = _transformed(prepared, schema, EventProcessor(interval_minutes))
+    return found.withColumns({"start_time": F.timestamp_micros("start_us"), "end_time": F.timestamp_micros("end_us")}).drop("start_us", "end_us")

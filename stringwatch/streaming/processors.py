@@ -1,8 +1,10 @@
 """Per-key state machines that see their rows in time order.
 
 Rows wait in state until the watermark has passed them, so the exact-interval
-rule is applied in time order although input is not. Rows behind the watermark
-are dropped by the engine.
+rule is applied in time order although input is not. Rows of one time are all
+kept, in the order of their values; as in a batch, the second one lies no
+interval after the first. Rows behind the watermark are dropped by the engine
+and counted by :class:`stringwatch.streaming.watch.StreamWatch`.
 """
 
 from __future__ import annotations
@@ -13,59 +15,90 @@ from typing import Any
 from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-MINUTE_MS = 60_000
+MINUTE_US = 60_000_000
 
 
 class OrderedProcessor(StatefulProcessor):
     """Buffers rows by time and releases them behind the watermark.
 
-    Subclasses name the payload, the state carried from row to row and the step
-    that consumes one row.
+    Input has ``time_us``, microseconds since 1970 and never null, and the fields
+    of ``payload_schema``. Subclasses name the state carried from row to row, the
+    fields of a result and the step that consumes one row.
     """
 
     payload_schema: str
     carried_schema: str
-    output_schema: str
-    time_field = "event_time"
+    result_schema: str
+    #: whether only a row at exactly :meth:`next_look` could change what :meth:`passed` gives
+    ends_there = False
 
     def __init__(self, interval_minutes: int = 5, forget_minutes: int = 1_440):
-        self.interval_ms = interval_minutes * MINUTE_MS
-        self.forget_ms = forget_minutes * MINUTE_MS
+        self.interval_us = interval_minutes * MINUTE_US
+        self.forget_us = forget_minutes * MINUTE_US
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "time_ms long", self.payload_schema)
+        self.numbers = handle.getMapState("numbers", "slot_ms long", "number int")
+        self.waiting = handle.getMapState("waiting", "slot_ms long, number int", f"time_us long, {self.payload_schema}")
         self.carried = handle.getValueState("carried", self.carried_schema)
+        self.fields = [field.split()[0] for field in self.payload_schema.split(", ")]
 
-    def payload(self, row: Row) -> tuple:
-        raise NotImplementedError
+    def output_schema(self, key_schema: str) -> str:
+        """Schema of the output; the processor keeps the names for its rows."""
+        schema = f"{key_schema}, {self.result_schema}"
+        self.columns = [field.split()[0] for field in schema.split(", ")]
+        return schema
 
-    def step(self, carried: tuple | None, time_ms: int, payload: tuple) -> tuple[tuple, tuple]:
-        """Return the new carried state and the output values of a row."""
+    def step(self, carried: tuple | None, time_us: int, payload: tuple) -> tuple[tuple, list[tuple]]:
+        """Return the new carried state and the results that a row gives."""
         raise NotImplementedError
 
+    def passed(self, carried: tuple, time_us: int) -> tuple[tuple | None, list[tuple]]:
+        """What a time without a row gives: by default the state is forgotten, since a gap would clear it anyway."""
+        return (None if time_us >= carried[0] + self.forget_us else carried), []
+
+    def next_look(self, carried: tuple) -> int:
+        """Time at which :meth:`passed` is asked if no row comes."""
+        return carried[0] + self.forget_us
+
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         for row in rows:
-            time_ms = int(row[self.time_field].timestamp() * 1000)
-            self.waiting.updateValue((time_ms,), self.payload(row))
-            self.handle.registerTimer(time_ms)
+            slot = row["time_us"] // 1000
+            number = self.numbers.getValue((slot,))[0] if self.numbers.containsKey((slot,)) else 0
+            self.numbers.updateValue((slot,), (number + 1,))
+            self.waiting.updateValue((slot, number), (row["time_us"], *[row[f] for f in self.fields]))
+            if not number:
+                self.handle.registerTimer(slot + 1)
         return iter([])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        # every row has a timer of its own time, and timers expire in their order
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        carried = tuple(self.carried.get()) if self.carried.exists() else None
-        if self.waiting.containsKey((now,)):
-            carried, values = self.step(carried, now, tuple(self.waiting.getValue((now,))))
-            self.waiting.removeKey((now,))
-            self.carried.update(carried)
-            self.handle.registerTimer(now + self.forget_ms)
-            named = Row(*[field.split()[0] for field in self.output_schema.split(", ")])
-            return iter([named(*key, now, *values)])
-        if carried is not None and now >= carried[0] + self.forget_ms:
-            # nothing came for long: a gap would clear the state anyway
+        # every slot has a timer just behind it, and timers expire in their order
+        slot = expiredTimerInfo.getExpiryTimeInMs() - 1
+        carried, found = tuple(self.carried.get()) if self.carried.exists() else None, []
+        if self.numbers.containsKey((slot,)):
+            keys = [(slot, i) for i in range(self.numbers.getValue((slot,))[0])]
+            due = sorted((tuple(self.waiting.getValue(k)) for k in keys), key=lambda r: (r[0], [(v is not None, v) for v in r[1:]]))
+            for k in keys:
+                self.waiting.removeKey(k)
+            self.numbers.removeKey((slot,))
+            for time_us, *payload in due:
+                carried, results = self.step(carried, time_us, tuple(payload))
+                found += results
+            look = self.next_look(carried) // 1000
+            if self.ends_there and look + 2 <= timerValues.getCurrentWatermarkInMs() and not self.numbers.containsKey((look,)):
+                # the watermark is already there, and a timer set now would wait for the next batch
+                carried, results = self.passed(carried, self.next_look(carried))
+                found += results
+            else:
+                self.handle.registerTimer(look + 2)
+        elif carried is not None:
+            carried, found = self.passed(carried, slot * 1000)
+        if carried is None:
             self.carried.clear()
-        return iter([])
+        else:
+            self.carried.update(carried)
+        named = Row(*self.columns)
+        return (named(*key, *values) for values in found)
 
     def close(self) -> None:
         pass
@@ -75,23 +108,17 @@ class MemoryProcessor(OrderedProcessor):
     """Streaks and confirmed-anomaly memory of one string."""
 
     payload_schema = "raw boolean, evaluable boolean"
-    carried_schema = "last_ms long, streak int, normals int, active boolean"
-    output_schema = (
-        "plant_id string, device_no string, string_no int, time_ms long, "
-        "streak int, normals int, memory_active int, memory_alert int"
-    )
+    carried_schema = "last_us long, streak int, normals int, active boolean"
+    result_schema = "time_us long, streak int, normals int, memory_active int, memory_alert int"
 
     def __init__(self, interval_minutes: int = 5, enter: int = 3, clear: int = 3, forget_minutes: int = 1_440):
         super().__init__(interval_minutes, forget_minutes)
         self.enter, self.clear = enter, clear
 
-    def payload(self, row: Row) -> tuple:
-        return (bool(row["raw"]), bool(row["evaluable"]))
-
-    def step(self, carried, time_ms, payload):
+    def step(self, carried, time_us, payload):
         raw, evaluable = payload
-        last_ms, streak, normals, active = carried or (None, 0, 0, False)
-        if not evaluable or last_ms is None or time_ms - last_ms != self.interval_ms:
+        last_us, streak, normals, active = carried or (None, 0, 0, False)
+        if not evaluable or last_us is None or time_us - last_us != self.interval_us:
             streak, normals, active = 0, 0, False
         alert = False
         if evaluable and raw:
@@ -101,34 +128,57 @@ class MemoryProcessor(OrderedProcessor):
         elif evaluable:
             streak, normals = 0, normals + 1
             active = active and normals < self.clear
-        return (time_ms, streak, normals, active), (streak, normals, int(active), int(alert))
+        return (time_us, streak, normals, active), [(time_us, streak, normals, int(active), int(alert))]
 
 
 class EwmaProcessor(OrderedProcessor):
     """Smoothed standardised residual of one device."""
 
-    payload_schema = "residual double, eligible boolean"
-    carried_schema = "last_ms long, state double"
-    output_schema = "plant_id string, device_no string, time_ms long, ewma_score double"
-    time_field = "target_time"
+    payload_schema = "underproduction_residual double, ewma_eligible boolean"
+    carried_schema = "last_us long, state double"
+    result_schema = "time_us long, ewma_score double"
 
     def __init__(self, weight: float, center: float, scale: float, interval_minutes: int = 5, forget_minutes: int = 1_440):
         super().__init__(interval_minutes, forget_minutes)
         self.weight, self.center, self.scale = weight, center, scale
 
-    def payload(self, row: Row) -> tuple:
-        return (row["underproduction_residual"], bool(row["ewma_eligible"]))
-
-    def step(self, carried, time_ms, payload):
+    def step(self, carried, time_us, payload):
         residual, eligible = payload
-        last_ms, state = carried or (None, 0.0)
-        if not eligible or last_ms is None or time_ms - last_ms != self.interval_ms:
+        last_us, state = carried or (None, 0.0)
+        if not eligible or last_us is None or time_us - last_us != self.interval_us:
             state = 0.0
         score = None
         if eligible:
             state = self.weight * (residual - self.center) / self.scale + (1.0 - self.weight) * state
             score = state
-        return (time_ms, state), (score,)
+        return (time_us, state), [(time_us, score)]
+
+
+class EventProcessor(OrderedProcessor):
+    """Runs of exact intervals of one string, each given out once it cannot go on.
+
+    The open run is state. It ends at a row that is not one interval later, or
+    when the watermark passes the place where the next one would have been.
+    """
+
+    payload_schema = "alert boolean"
+    carried_schema = "last_us long, start_us long, points long"
+    result_schema = "start_us long, end_us long, points long"
+    ends_there = True
+
+    def step(self, carried, time_us, payload):
+        if carried is not None and time_us - carried[0] == self.interval_us:
+            return (time_us, carried[1], carried[2] + 1), []
+        ended = [] if carried is None else [(carried[1], carried[0], carried[2])]
+        return (time_us, time_us, 1), ended
+
+    def next_look(self, carried):
+        return carried[0] + self.interval_us
+
+    def passed(self, carried, time_us):
+        if time_us < carried[0] + self.interval_us:
+            return carried, []
+        return None, [(carried[1], carried[0], carried[2])]
 
 
 class GapProcessor(StatefulProcessor):
@@ -140,12 +190,18 @@ class GapProcessor(StatefulProcessor):
     reported first. Of such a device only its next window is kept.
     """
 
-    output_schema = "plant_id string, device_no string, window_ms long, points long"
+    result_schema = "window_ms long, points long"
 
     def __init__(self, window_minutes: int, silent_windows: int = 1_000):
-        self.window_ms = window_minutes * MINUTE_MS
+        self.window_ms = window_minutes * MINUTE_US // 1000
         self.silent_windows = silent_windows
 
+    def output_schema(self, key_schema: str) -> str:
+        """Schema of the output; the processor keeps the names for its rows."""
+        schema = f"{key_schema}, {self.result_schema}"
+        self.columns = [field.split()[0] for field in schema.split(", ")]
+        return schema
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.counts = handle.getMapState("counts", "window_ms long", "points long")
@@ -154,8 +210,7 @@ class GapProcessor(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         first = None
         for row in rows:
-            time_ms = int(row["event_time"].timestamp() * 1000)
-            window = time_ms // self.window_ms * self.window_ms
+            window = row["time_us"] // 1000 // self.window_ms * self.window_ms
             known = self.counts.getValue((window,))[0] if self.counts.containsKey((window,)) else 0
             self.counts.updateValue((window,), (known + 1,))
             if not known:
@@ -169,7 +224,7 @@ class GapProcessor(StatefulProcessor):
         if not self.progress.exists():
             return iter([])
         window, silent = self.progress.get()
-        passed, named, out = timerValues.getCurrentWatermarkInMs(), Row("plant_id", "device_no", "window_ms", "points"), []
+        passed, named, out = timerValues.getCurrentWatermarkInMs(), Row(*self.columns), []
         later = window  # up to here windows are reported however long the silence is
         while window + self.window_ms <= passed:
             if silent >= self.silent_windows and later <= window:

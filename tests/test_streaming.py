@@ -1,6 +1,8 @@
 """Streaming detectors against their batch versions, with shuffled input files."""
 
 import datetime as dt
+import glob
+import os
 import random
 import tempfile
 
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from stringwatch.config import EwmaSettings, LofSettings
 from stringwatch.operators import ewma, memory, runs, strings
 from stringwatch.streaming import detectors
+from stringwatch.streaming.watch import StreamWatch
 
 START = dt.datetime(2026, 6, 1)
 
@@ -121,3 +124,83 @@ def test_silence_longer_than_the_limit_is_reported(spark, files):
     seen = sorted((r.device_no, int((r.window_start - START).total_seconds() // 3600), r.points) for r in got)
     # three silent windows after the last point, then the device is no longer watched
     assert seen == [(d, h, int(h in hs)) for d, hs in hours.items() for h in range(24)]
+
+
+def test_events_off_the_grid_and_repeated_equal_batch(spark):
+    detectors.use_state_store(spark)
+    rng, rows = random.Random(9), []
+    for s in (1, 2, 3):
+        at = START
+        for _ in range(80):
+            at += dt.timedelta(minutes=rng.choice([5, 5, 5, 4, 10]), microseconds=rng.choice([0, 0, 0, 0, 1, 999]))
+            rows += [(at, "p", "d", s)] * rng.choice([1, 1, 1, 1, 2])
+    alerts = spark.createDataFrame(rows, "event_time timestamp, plant_id string, device_no string, string_no int")
+    closed = drain(detectors.stream_events(as_stream(spark, alerts, 5, "event_time")), "off_grid", spark).collect()
+    batch = runs.collapse(alerts, runs.Timeline(("plant_id", "device_no", "string_no")), F.lit(True)).collect()
+    # a run of one repeated point has the same start as the run before it, and a batch names both by it
+    merged = {}
+    for r in closed:
+        end, points = merged.get((r.string_no, r.start_time), (r.end_time, 0))
+        merged[r.string_no, r.start_time] = (max(end, r.end_time), points + r.points)
+    assert merged == {(r.string_no, r.start_time): (r.end_time, r.points) for r in batch}
+    assert len(closed) > 60
+
+
+def test_repeated_and_missing_times_follow_the_rule(spark):
+    """The second row of a time lies no interval after the first: it ends streaks and memory, and is one of its own."""
+    detectors.use_state_store(spark)
+    times = [0, 5, 5, 10, 15, 20, 20, 20, 25, None, None]
+    rows = [(None if m is None else START + dt.timedelta(minutes=m), "p", "d", 1, True, True) for m in times]
+    points = spark.createDataFrame(rows, "event_time timestamp, plant_id string, device_no string, string_no int, raw boolean, ok boolean")
+    path = tempfile.mkdtemp(prefix="stringwatch-stream-")
+    points.coalesce(1).write.mode("append").parquet(path)
+    detectors.end_marker(points, "event_time").coalesce(1).write.mode("append").parquet(path)
+    source = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    stream = detectors.stream_memory(source, F.col("raw"), F.col("ok"))
+    with StreamWatch(spark) as watch:
+        query = stream.writeStream.format("memory").queryName("repeated").option(
+            "checkpointLocation", tempfile.mkdtemp(prefix="stringwatch-check-")
+        ).trigger(availableNow=True).start()
+        query.awaitTermination(240)
+        numbers = watch.of(query)
+    got = sorted((r.event_time, r.memory_active, r.memory_alert) for r in spark.table("repeated").collect())
+    want, last, streak, active = [], None, 0, False
+    for minute in sorted(m for m in times if m is not None):
+        if last is None or minute - last != 5:
+            streak, active = 0, False
+        streak, last = streak + 1, minute
+        active = active or streak >= 3
+        want.append((START + dt.timedelta(minutes=minute), int(active), int(active)))
+    assert got == sorted(want)
+    assert (numbers.input_rows, numbers.without_time, numbers.late) == (12, 2, 0)
+
+
+def test_late_rows_are_counted(spark):
+    """Rows inside the delay are used, rows behind the watermark of the batch before are dropped; each is accounted for."""
+    detectors.use_state_store(spark)
+    path, schema = tempfile.mkdtemp(prefix="stringwatch-stream-"), "event_time timestamp, plant_id string, device_no string, string_no int"
+    batches = [[0, 5, 60], [50, 10, 15], [65, 5, 120], [70, 5, 10, 200]]  # delay 15: in the last two 5 and 10 come too late
+    for number, minutes in enumerate(batches):
+        rows = [(START + dt.timedelta(minutes=m), "p", "d", 1) for m in minutes]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{path}/{number}")
+        os.utime(next(iter(glob.glob(f"{path}/{number}/*.parquet"))), (1_000 + number, 1_000 + number))
+    whole = spark.read.schema(schema).parquet(f"{path}/*")
+    detectors.end_marker(whole, "event_time").coalesce(1).write.mode("append").parquet(f"{path}/9")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+    with StreamWatch(spark) as watch:
+        query = detectors.stream_events(source, delay="15 minutes").writeStream.format("memory").queryName("late").option(
+            "checkpointLocation", tempfile.mkdtemp(prefix="stringwatch-check-")
+        ).trigger(availableNow=True).start()
+        query.awaitTermination(240)
+        numbers = watch.of(query)
+    used = sum(r.points for r in spark.table("late").collect())
+    assert numbers.late == 3 and used == 10
+    assert numbers.input_rows == used + numbers.late + 1  # and the marker
+
+
+def test_plants_that_share_a_model_plant_keep_apart(spark):
+    detectors.use_state_store(spark)
+    rows = [(START + dt.timedelta(minutes=5 * i), "m", p, "d", 1) for i in range(4) for p in ("a", "b")]
+    alerts = spark.createDataFrame(rows, "event_time timestamp, plant_id string, source_plant_id string, device_no string, string_no int")
+    closed = drain(detectors.stream_events(as_stream(spark, alerts, 2, "event_time")), "sources", spark).collect()
+    assert sorted((r.source_plant_id, r.points) for r in closed) == [("a", 4), ("b", 4)]
