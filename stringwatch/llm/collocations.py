@@ -6,11 +6,12 @@ window. Distinct chunks with their numbers form a dictionary, and everything is
 counted there: a phrase in a chunk counts as often as the chunk, and belongs to
 the chunk in which it begins before the overlap, so that none counts twice.
 
-Counting goes up by length. Words are counted as such; pairs of frequent words
-by hashes; longer phrases of frequent pairs by hashes; what then reaches the
-limit is counted again word for word, so hashes that collide cost time only.
-Which hashes are frequent is told to tasks by a bit sieve of fixed size: more
-data let more rare phrases through to the next count, and change no result.
+Counting goes up by length. Words are counted as such; pairs of frequent words,
+then longer phrases of frequent pairs, by hashes of 96 bits together with
+one chunk that holds them, from which the words of those that reach the limit
+are read in the end. Which hashes are frequent is told to tasks by a bit sieve
+of fixed size: more data let more rare phrases through to the next count, and
+change no result.
 """
 
 from __future__ import annotations
@@ -95,8 +96,8 @@ def _mixed(values: np.ndarray, more: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(29))
 
 
-def _hash(text: str | None) -> int:
-    return 0 if text is None else xxhash.xxh64_intdigest(text.encode(), 5)
+def _hash(text: str | None, seed: int = 5) -> int:
+    return 0 if text is None else xxhash.xxh64_intdigest(text.encode(), seed)
 
 
 class Positions:
@@ -119,11 +120,18 @@ class Positions:
         groups = pc.fill_null(column("alarm_code").cast(pa.string()), pa.scalar("\0")).dictionary_encode()
         self.groups = [None if g == "\0" else g for g in groups.dictionary.to_pylist()]
         self.group = np.asarray(groups.indices, np.int64)[rows]
-        hashes = np.fromiter(map(_hash, self.words), np.uint64, len(self.words))[self.codes]
-        base = np.fromiter((_hash(g) for g in self.groups), np.uint64, len(self.groups))[self.group]
-        self.keys = {1: _mixed(base, hashes)}
+        self.chunk = np.asarray(column("chunk_no"), np.int64)[rows]
+        self.keys = self._hashes(longest, 5)
+        # 96 bits tell phrases apart, half of the second hash is enough
+        self.checks = {m: (h >> np.uint64(32)).astype(np.uint32).view(np.int32) for m, h in self._hashes(longest, 6).items()}
+
+    def _hashes(self, longest: int, seed: int) -> dict[int, np.ndarray]:
+        words = np.fromiter((_hash(w, seed) for w in self.words), np.uint64, len(self.words))[self.codes]
+        base = np.fromiter((_hash(g, seed) for g in self.groups), np.uint64, len(self.groups))[self.group]
+        out = {1: _mixed(base, words)}
         for m in range(2, longest + 1):
-            self.keys[m] = _mixed(self.keys[m - 1][: len(rows) - m + 1] if m <= len(rows) else base[:0], hashes[m - 1 :])
+            out[m] = _mixed(out[m - 1][:-1], words[m - 1 :])
+        return out
 
     def begins(self, m: int) -> np.ndarray:
         """Whether a phrase of m words begins at each place and lies within its chunk."""
@@ -163,54 +171,64 @@ def _frequent(positions: Positions, sieve: np.ndarray, m: int) -> np.ndarray:
 
 
 def counted_keys(chunks: DataFrame, sieve: np.ndarray, lengths: list[int], least: int) -> DataFrame:
-    """Hashes of the phrases of these lengths that may be frequent and reach the limit."""
+    """key and check of the phrases of these lengths that reach the limit, occurrences, and the chunk_no of one chunk with them."""
     sent = chunks.sparkSession.sparkContext.broadcast(sieve)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _together(batches):
             positions = Positions(table, max(lengths))
-            keys, weights = [], []
+            parts = []
             for m in lengths:
                 at = np.flatnonzero(_frequent(positions, sent.value, m) & positions.counted[: len(positions.keys[m])])
-                keys.append(positions.keys[m][at])
-                weights.append(positions.weight[at])
-            found, index = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.zeros(len(found), np.int64)
-            np.add.at(total, index, np.concatenate(weights))
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(total)], ["key", "number"])
+                parts.append((positions.keys[m][at], positions.checks[m][at], positions.weight[at], positions.chunk[at]))
+            keys, checks, weights, places = map(np.concatenate, zip(*parts))
+            order = np.lexsort((checks, keys))
+            keys, checks, weights = keys[order], checks[order], weights[order]
+            begins = np.flatnonzero(np.append(len(keys) > 0, (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1])))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(keys[begins].view(np.int64)),
+                    pa.array(checks[begins]),
+                    pa.array(np.add.reduceat(weights, begins) if len(begins) else weights),
+                    pa.array(places[order][begins].astype(np.int32)),
+                ],
+                ["key", "check", "occurrences", "chunk_no"],
+            )
 
-    counted = chunks.mapInArrow(count, "key bigint, number bigint")
-    return counted.groupBy("key").agg(F.sum("number").alias("number")).where(F.col("number") >= least).select("key")
+    counted = chunks.mapInArrow(count, "key bigint, check int, occurrences bigint, chunk_no int")
+    found = counted.groupBy("key", "check").agg(F.sum("occurrences").alias("occurrences"), F.min("chunk_no").alias("chunk_no"))
+    return found.where(F.col("occurrences") >= least)
 
 
-def exact_phrases(chunks: DataFrame, sieve: np.ndarray, longest: int, least: int) -> DataFrame:
-    """alarm_code, phrase and occurrences of all phrases of 2 to ``longest`` words that reach the limit."""
-    sent = chunks.sparkSession.sparkContext.broadcast(sieve)
+def named_phrases(chunks: DataFrame, frequent: DataFrame, longest: int) -> DataFrame:
+    """alarm_code, phrase and occurrences: the words of the frequent phrases, read from the chunks named with them."""
+    pairs = frequent.select(F.col("key").bitwiseXOR(F.col("chunk_no").cast("bigint")).alias("key"))
+    sent = chunks.sparkSession.sparkContext.broadcast(_sieve(pairs))
     kind = chunks.schema["alarm_code"].dataType.simpleString()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _together(batches):
             positions = Positions(table, longest)
             codes, names = positions.codes, positions.words
             for m in range(2, longest + 1):
-                passed = _in_sieve(sent.value, positions.keys[m])
-                at = np.flatnonzero(passed & positions.begins(m) & positions.counted[: len(passed)])
-                same = positions.group[at]
-                for i in range(m):  # numbers that tell phrases apart word by word
-                    same = np.unique(same * len(names) + codes[at + i], return_inverse=True)[1]
-                first = np.unique(same, return_index=True)[1]
-                total = np.zeros(len(first), np.int64)
-                np.add.at(total, same, positions.weight[at])
-                begins = at[first]
-                phrases = [" ".join(names[c] for c in codes[b : b + m].tolist()) for b in begins.tolist()]
-                groups = pa.array([positions.groups[g] for g in positions.group[begins].tolist()], pa.string())
+                keys, checks = positions.keys[m].view(np.int64), positions.checks[m]
+                wanted = _in_sieve(sent.value, (keys ^ positions.chunk[: len(keys)]).view(np.uint64))
+                at = np.flatnonzero(wanted & positions.begins(m) & positions.counted[: len(keys)])
+                phrases = [" ".join(names[c] for c in codes[b : b + m].tolist()) for b in at.tolist()]
+                groups = pa.array([positions.groups[g] for g in positions.group[at].tolist()], pa.string())
                 yield pa.RecordBatch.from_arrays(
-                    [groups.cast(table.schema.field("alarm_code").type), pa.array(phrases, pa.string()), pa.array(total)],
-                    ["alarm_code", "phrase", "occurrences"],
-                )
+                    [
+                        pa.array(keys[at]), pa.array(checks[at]), pa.array(positions.chunk[at].astype(np.int32)),
+                        groups.cast(table.schema.field("alarm_code").type), pa.array(phrases, pa.string()),
+                    ],
+                    ["key", "check", "chunk_no", "alarm_code", "phrase"],
+                )
 
-    counted = chunks.mapInArrow(count, f"alarm_code {kind}, phrase string, occurrences bigint")
-    return counted.groupBy("alarm_code", "phrase").agg(F.sum("occurrences").alias("occurrences")).where(F.col("occurrences") >= least)
+    found = chunks.mapInArrow(read, f"key bigint, check int, chunk_no int, alarm_code {kind}, phrase string")
+    joined = found.join(frequent, ["key", "check", "chunk_no"])
+    return joined.groupBy("key", "check").agg(
+        F.first(F.struct("alarm_code", "phrase", "occurrences")).alias("one")  # all alike
+    ).select("one.*")
 
 
 def _word_keys(words: DataFrame) -> DataFrame:
@@ -301,6 +319,7 @@ def alarm_phrases(
     """
     scratch = scratch or Scratch(alarms.sparkSession)
     chunks = scratch.stage(parsed_chunks(alarms, longest - 1), "chunks", codec="zstd")
+    chunks = chunks.withColumn("chunk_no", F.hash("alarm_code", "own", "chunk"))
     totals = scratch.stage(chunks.groupBy("alarm_code").agg(F.sum(F.col("own") * F.col("number")).alias("words")), "totals")
     words = (
         chunks.select("alarm_code", "number", F.explode(F.slice(F.split("chunk", " "), F.lit(1), F.col("own"))).alias("phrase"))
@@ -310,11 +329,10 @@ def alarm_phrases(
     )
     words = scratch.stage(words, "words")
     pairs = scratch.stage(counted_keys(chunks, _sieve(_word_keys(words)), [2], least), "pairs")
-    pair_sieve = _sieve(pairs)
-    keys = pairs
+    frequent = pairs
     if longest > 2:
-        keys = keys.unionAll(scratch.stage(counted_keys(chunks, pair_sieve, list(range(3, longest + 1)), least), "longer"))
-    phrases = scratch.stage(exact_phrases(chunks, _sieve(keys), longest, least), "phrases")
+        frequent = pairs.unionAll(scratch.stage(counted_keys(chunks, _sieve(pairs), list(range(3, longest + 1)), least), "longer"))
+    phrases = scratch.stage(named_phrases(chunks, frequent, longest), "phrases")
     scored = scratch.stage(weakest_cuts(phrases, words.unionByName(phrases), totals), "scored")
     order = Window.partitionBy("alarm_code").orderBy(F.desc("score"), F.desc("occurrences"), "phrase")
     return (
