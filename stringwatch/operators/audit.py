@@ -15,6 +15,10 @@ from stringwatch.schema import DEVICE_KEYS, number
 DAY_MINUTES = 1_440
 
 
+#: size of a device sketch: 2 ** 13 registers, 4 KB
+SKETCH_BITS = 13
+
+
 def percent(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.bround(part / whole * 100, 4)).otherwise(0.0)
 
@@ -202,16 +206,40 @@ def daily_device_counts(
     )
 
 
-def plant_overview(frame: DataFrame, time: str = "event_time", device: str = "device_no") -> DataFrame:
-    """Rows, range and approximate number of devices per plant."""
-    return frame.groupBy("plant_id").agg(
-        F.count(F.lit(1)).alias("document_count"),
+def plant_days(
+    frame: DataFrame, time: str = "event_time", device: str = "device_no", timezone: str = "Asia/Shanghai"
+) -> DataFrame:
+    """Rows, range and a sketch of the devices of every plant and local day.
+
+    Days are independent of each other: stored, a new day adds its own rows only.
+    """
+    return frame.groupBy("plant_id", local_date(time, timezone).alias("local_date")).agg(
+        F.count(F.lit(1)).alias("rows"),
         F.min(time).alias("minimum"),
         F.max(time).alias("maximum"),
-        F.approx_count_distinct(device).alias("unique_devices_estimate"),
+        F.hll_sketch_agg(F.col(device).cast("string"), SKETCH_BITS).alias("devices"),
     )
 
 
+def overview_of_days(days: DataFrame) -> DataFrame:
+    """Rows, range and estimated number of devices per plant, from :func:`plant_days`.
+
+    The sketches are united, so a device counts once however many days it has.
+    Numbers of some dozens are exact; large ones have a relative standard error of 1.3 %.
+    """
+    return days.groupBy("plant_id").agg(
+        F.sum("rows").alias("document_count"),
+        F.min("minimum").alias("minimum"),
+        F.max("maximum").alias("maximum"),
+        F.hll_sketch_estimate(F.hll_union_agg("devices")).alias("unique_devices_estimate"),
+    )
+
+
+def plant_overview(frame: DataFrame, time: str = "event_time", device: str = "device_no") -> DataFrame:
+    """Rows, range and estimated number of devices per plant."""
+    return overview_of_days(plant_days(frame, time, device))
+
+
 def export_summary(frame: DataFrame, time: str, date: str, devices: str | None = None, timezone: str = "Asia/Shanghai") -> DataFrame:
     """Rows, range, invalid times, misplaced rows, plants and devices of an export."""
     values = [

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stringwatch.functions.timegrid import shift_minutes
-from stringwatch.schema import POINT_KEYS
+from stringwatch.functions.timegrid import local_date, shift_minutes
+from stringwatch.schema import POINT_KEYS, key_text
+from stringwatch.storage import stage
 
 
 def latest_rows(frame: DataFrame, order: str, keys: tuple[str, ...] = POINT_KEYS) -> DataFrame:
@@ -28,6 +29,23 @@ def labelled_rows(production: DataFrame, labels: DataFrame) -> DataFrame:
     return production.join(labels.select(*POINT_KEYS).distinct(), list(POINT_KEYS), "left_semi")
 
 
+def rows_of_label_days(
+    partitioned: DataFrame, labels: DataFrame, start: str, end: str, timezone: str = "Asia/Shanghai"
+) -> DataFrame:
+    """Rows of a ``plant_id=/date=`` table in the plant-days that hold a label.
+
+    Labels carry their local date; their distinct plant-days, in the range of
+    local dates from ``start`` to ``end`` (both included), are written once, so
+    that their size is known. While it is below the session's broadcast limit
+    the scan reads only those partitions; beyond it the join is a shuffle, and
+    the scan is bounded by the range. The date column is dropped.
+    """
+    days = labels.select(key_text("plant_id").alias("plant_id"), local_date("event_time", timezone).alias("date")).distinct()
+    days = stage(days, "label-days").where(F.col("date").between(F.to_date(F.lit(start)), F.to_date(F.lit(end))))
+    dated = partitioned.where(F.col("date").between(F.to_date(F.lit(start)), F.to_date(F.lit(end))))
+    return dated.join(days, ["plant_id", "date"], "left_semi").drop("date")
+
+
 def label_currents(production: DataFrame, labels: DataFrame) -> DataFrame:
     """Labels with the device row at their time (inner join)."""
     distinct = labels.select("alarm_event_id", *POINT_KEYS).distinct()

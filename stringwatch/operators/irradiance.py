@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from stringwatch.config import ResidualSettings, WeatherSettings
 from stringwatch.functions.arrays import median
+from stringwatch.functions.isotonic import isotonic
 from stringwatch.functions.timegrid import shift_minutes
 from stringwatch.operators.asof import asof_join
 from stringwatch.operators.channels import inventory_by_device, readings
-from stringwatch.operators.quantiles import average_ranks, quantile, quantiles
+from stringwatch.operators.quantiles import average_ranks, bounded_quantile, quantiles, quantiles_of_columns
 from stringwatch.schema import DEVICE_KEYS, key_text, require_columns
 from stringwatch.storage import stage
 
@@ -50,7 +51,7 @@ def peer_source(frame: DataFrame, settings: ResidualSettings, inventory: DataFra
 
 def fit_device_scale(source: DataFrame) -> DataFrame:
     """95 % quantile of each device's representative current."""
-    return quantile(source, DEVICE_KEYS, "representative", SCALE_QUANTILE, "device_scale").drop("n")
+    return bounded_quantile(source, DEVICE_KEYS, "representative", SCALE_QUANTILE, "device_scale").drop("n")
 
 
 def leave_one_out_median(
@@ -150,13 +151,8 @@ def _correlation_value() -> Column:
     return F.when(spread > 0, covariance / F.sqrt(spread))
 
 
-def fit_weather_map(context: DataFrame, weather: DataFrame, settings: WeatherSettings) -> DataFrame:
-    """Per plant: time offset and monotone forecast-to-irradiance anchors.
-
-    The offset with the higher rank correlation to peer irradiance wins, the
-    smaller one on a tie. Anchors are medians in forecast-quantile bins, made
-    non-decreasing. Plants below the sample minimum are left out.
-    """
+def weather_pairs(context: DataFrame, weather: DataFrame, settings: WeatherSettings) -> DataFrame:
+    """Forecast and peer irradiance of every device time, for each candidate offset."""
     candidates = [
         attach_forecast(context, weather, settings, offset)
         .where(F.col("raw_virtual_irradiance").isNotNull() & F.col("forecast_ghi").isNotNull())
@@ -166,10 +162,26 @@ def fit_weather_map(context: DataFrame, weather: DataFrame, settings: WeatherSet
     pairs = candidates[0]
     for more in candidates[1:]:
         pairs = pairs.unionByName(more)
-    pairs = stage(pairs, "weather-pairs")
-    scores = spearman(pairs, ["plant_id", "source_offset_minutes"], "forecast_ghi", "raw_virtual_irradiance")
+    return stage(pairs, "weather-pairs")
+
+
+def offset_correlations(pairs: DataFrame) -> DataFrame:
+    """Samples and rank correlation of every plant and offset."""
+    return spearman(pairs, ["plant_id", "source_offset_minutes"], "forecast_ghi", "raw_virtual_irradiance")
+
+
+def fit_weather_map(context: DataFrame, weather: DataFrame, settings: WeatherSettings) -> DataFrame:
+    """Per plant: time offset and monotone forecast-to-irradiance anchors.
+
+    The offset with the higher rank correlation to peer irradiance wins, the
+    smaller one on a tie. Anchors are medians in forecast-quantile bins, with an
+    isotonic fit weighted by the rows of the bins. Plants below the sample
+    minimum are left out.
+    """
+    pairs = weather_pairs(context, weather, settings)
     best = (
-        scores.where(F.col("samples") >= settings.minimum_mapping_samples)
+        offset_correlations(pairs)
+        .where(F.col("samples") >= settings.minimum_mapping_samples)
         .groupBy("plant_id")
         .agg(
             F.max_by(
@@ -180,7 +192,7 @@ def fit_weather_map(context: DataFrame, weather: DataFrame, settings: WeatherSet
         .select("plant_id", "best.*")
     )
     best = stage(best, "weather-offsets")
-    chosen = pairs.join(best.select("plant_id", "source_offset_minutes"), ["plant_id", "source_offset_minutes"])
+    chosen = stage(pairs.join(best.select("plant_id", "source_offset_minutes"), ["plant_id", "source_offset_minutes"]), "weather-chosen")
     edges = quantiles(
         chosen, ["plant_id"], "forecast_ghi", [i / settings.mapping_bins for i in range(1, settings.mapping_bins)]
     ).select("plant_id", F.array_distinct("q").alias("_edges"))
@@ -193,17 +205,22 @@ def fit_weather_map(context: DataFrame, weather: DataFrame, settings: WeatherSet
         ),
         "weather-bins",
     )
-    level = quantile(binned, ["plant_id", "bin"], "raw_virtual_irradiance", 0.5, "_g").drop("n")
-    centre = quantile(binned, ["plant_id", "bin"], "forecast_ghi", 0.5, "anchor_ghi").drop("n")
-    rising = (
-        Window.partitionBy("plant_id").orderBy("anchor_ghi").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    medians = (
+        quantiles_of_columns(binned, ["plant_id", "bin"], ["forecast_ghi", "raw_virtual_irradiance"], [0.5])
+        .groupBy("plant_id", "bin")
+        .agg(
+            F.max(F.when(F.col("column") == "forecast_ghi", F.get("q", 0))).alias("anchor_ghi"),
+            F.max(F.when(F.col("column") != "forecast_ghi", F.get("q", 0))).alias("value"),
+            F.max(F.when(F.col("column") != "forecast_ghi", F.col("n"))).alias("weight"),
+        )
     )
-    anchors = level.join(centre, ["plant_id", "bin"]).withColumn("anchor_g", F.max("_g").over(rising))
     # one entry per bin, so the list is as long as the number of bins
-    listed = anchors.groupBy("plant_id").agg(
-        F.sort_array(F.collect_list(F.struct("anchor_ghi", "anchor_g"))).alias("anchors")
+    listed = medians.groupBy("plant_id").agg(F.sort_array(F.collect_list(F.struct("anchor_ghi", "value", "weight"))).alias("_bins"))
+    anchors = F.transform(
+        F.arrays_zip("_bins", isotonic(F.col("_bins")).alias("_fit")),
+        lambda z: F.struct(z["_bins"]["anchor_ghi"].alias("anchor_ghi"), z["_fit"].alias("anchor_g")),
     )
-    return best.join(listed, "plant_id")
+    return best.join(listed.select("plant_id", anchors.alias("anchors")), "plant_id")
 
 
 def interpolate(value: Column, anchors: Column) -> Column:

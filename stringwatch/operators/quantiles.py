@@ -92,11 +92,34 @@ def quantiles(frame: DataFrame, keys: Sequence[str], value: str, probabilities:
         low = F.col("_at")[F.floor(position).cast("long")]
         high = F.col("_at")[F.ceil(position).cast("long")]
         # equal neighbours need no difference, which infinite ones do not have
-        return F.when(low == high, low).otherwise(low + (high - low) * (position - F.floor(position)))
+        below = F.lit(float("-inf"))
+        return F.when((low == high) | ((low == below) & (high < -below)), low).otherwise(low + (high - low) * (position - F.floor(position)))
 
     return picked.where("n > 0").withColumn("q", F.transform(asked, interpolate)).select(*keys, "n", "q")
 
 
+def quantiles_of_columns(
+    frame: DataFrame, keys: Sequence[str], values: Sequence[str], probabilities: Sequence[float]
+) -> DataFrame:
+    """Exact quantiles of several columns in one pass: keys, ``column`` (its name), ``n`` and ``q``."""
+    stacked = frame.select(
+        *keys, F.inline(F.array(*[F.struct(F.lit(v).alias("column"), F.col(v).cast("double").alias("_value")) for v in values]))
+    )
+    return quantiles(stacked, [*keys, "column"], "_value", probabilities)
+
+
+def bounded_quantile(frame: DataFrame, keys: Sequence[str], value: str, probability: float, name: str) -> DataFrame:
+    """One exact quantile of groups that are small by design, such as a string or a device over time.
+
+    The caller vouches for that: the distinct values of a group meet in one
+    task. One exchange, with equal values counted before it. The rules for null,
+    NaN, -0.0 and infinite values are those of :func:`quantiles`.
+    """
+    values = frame.select(*keys, (F.col(value).cast("double") + F.lit(0.0)).alias("_v"))
+    known = values.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    return known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile("_v", F.lit(float(probability))).alias(name))
+
+
 def quantile(frame: DataFrame, keys: Sequence[str], value: str, probability: float, name: str) -> DataFrame:
     """One exact quantile per group, with the number of values as ``n``."""
     table = quantiles(frame, keys, value, [probability])

@@ -12,7 +12,7 @@ from stringwatch.functions.gates import absolute_drop, effect_gate, relative_dro
 from stringwatch.functions.lof import lof_scores
 from stringwatch.operators import runs
 from stringwatch.operators.irradiance import fit_device_scale, peer_irradiance, peer_source
-from stringwatch.operators.quantiles import quantile, quantiles
+from stringwatch.operators.quantiles import bounded_quantile, quantiles, quantiles_of_columns
 from stringwatch.schema import DEVICE_KEYS, POINT_KEYS, STRING_KEYS
 from stringwatch.storage import stage
 
@@ -28,7 +28,7 @@ def fit_responses(context: DataFrame, settings: ResidualSettings) -> DataFrame:
         F.col(IRRADIANCE).alias("_g"),
         F.inline(F.filter("strings", lambda s: s["current"] > zero)),
     ).select(*STRING_KEYS, (F.col("current") / F.col("_g")).alias("_ratio"))
-    return quantile(long, STRING_KEYS, "_ratio", 0.5, "response").drop("n")
+    return bounded_quantile(long, STRING_KEYS, "_ratio", 0.5, "response").drop("n")
 
 
 def responses_by_device(responses: DataFrame) -> DataFrame:
@@ -254,18 +254,18 @@ def fit_thresholds(scored: DataFrame, settings: ResidualSettings) -> ResidualSet
         .where("lof_eligible and response_known")
         .where(F.col("string_current") > float(settings.zero_current_threshold))
     )
-    lof = quantiles(low, [], "lof_score", [settings.lof_quantile]).first()
-    residual = quantiles(low, [], "residual_ratio", [settings.residual_quantile]).first()
+    asked = [settings.lof_quantile, settings.residual_quantile]
+    found = {r["column"]: r["q"] for r in quantiles_of_columns(low, [], ["lof_score", "residual_ratio"], asked).collect()}  # two rows
     gaps = scored.where(F.col("collective_gap").isNotNull()).groupBy(*POINT_KEYS).agg(
         F.first("collective_gap").alias("collective_gap")
     )
     gap = quantiles(gaps, [], "collective_gap", [settings.collective_gap_quantile]).first()
-    if lof is None or residual is None:
+    if len(found) < 2:
         raise ValueError("No eligible residual scores remain for calibration")
     widest = gap["q"][0] if gap else 0.0
     return settings.derive(
-        lof_threshold=lof["q"][0],
-        residual_threshold=residual["q"][0],
+        lof_threshold=found["lof_score"][0],
+        residual_threshold=found["residual_ratio"][1],
         gap_threshold=max(widest, settings.minimum_collective_gap),
     )
 

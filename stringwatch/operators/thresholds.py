@@ -158,19 +158,20 @@ def with_context_threshold(
 ) -> DataFrame:
     """Look up the threshold of a row: the most specific level that has one.
 
-    The tables hold one row per context; whether they are small enough to
-    broadcast is left to their measured size.
+    A device has at most 99 strings, so the thresholds by string count are one
+    short map for all plants and one for each plant; only devices and plants are
+    joined. Whether those are small enough to broadcast is left to their size.
     """
     devices = thresholds.devices.select("plant_id", "device_no", F.col("threshold").alias("_device"))
-    plants = thresholds.plant_counts.select(
-        "plant_id", F.col("string_count").alias(count), F.col("threshold").alias("_plant_count")
-    )
-    counts = thresholds.counts.select(F.col("string_count").alias(count), F.col("threshold").alias("_count"))
-    joined = (
-        frame.join(devices, ["plant_id", "device_no"], "left")
-        .join(plants, ["plant_id", count], "left")
-        .join(counts, [count], "left")
+    plants = thresholds.plant_counts.groupBy("plant_id").agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("string_count").cast("int"), "threshold"))).alias("_ladder")
     )
+    counts = F.lit(None).cast("map<int, double>")
+    if known := [(int(r["string_count"]), r["threshold"]) for r in thresholds.counts.collect()]:  # at most 99 rows
+        counts = F.create_map(*[F.lit(x) for pair in known for x in pair])
+    number = F.col(count).cast("int")
+    joined = frame.join(devices, ["plant_id", "device_no"], "left").join(plants, ["plant_id"], "left")
+    joined = joined.withColumns({"_plant_count": F.try_element_at("_ladder", number), "_count": F.try_element_at(counts, number)})
     return joined.withColumns(
         {
             threshold: F.coalesce("_device", "_plant_count", "_count", F.lit(thresholds.global_threshold)),
@@ -179,7 +180,7 @@ def with_context_threshold(
             .when(F.col("_count").isNotNull(), "count")
             .otherwise("global"),
         }
-    ).drop("_device", "_plant_count", "_count")
+    ).drop("_device", "_plant_count", "_count", "_ladder")
 
 
 def hierarchy_samples(scored: DataFrame, settings: ResidualSettings, timezone: str) -> DataFrame:

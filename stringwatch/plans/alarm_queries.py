@@ -17,7 +17,8 @@ from stringwatch.plans.driver_views import (
 )
 from stringwatch.plans.registry import query
 from stringwatch.plans.string_queries import SETTINGS, SQL_SCORES
-from stringwatch.storage import stage
+from stringwatch.sources import sinks
+from stringwatch.storage import stage, staging_path
 
 TZ = "Asia/Shanghai"
 KEYS_SQL = "cast(plant as varchar) as plant_id, cast(dev as varchar) as device_no, epoch as event_epoch"
@@ -279,6 +280,27 @@ def alarm_currents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def written_production(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Device rows written by plant and local date, as a scan that knows the types of its partitions."""
+    path, rows = staging_path(spark, "production"), production(spark, sf_dir)
+    sinks.write_partitioned(rows, path, timezone=TZ)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join(f"{n} {k}" for n, k in kinds.items() if n != "plant_id") + ", plant_id string, date date"
+    return spark.read.schema(schema).parquet(path)
+
+
+@query(
+    "alarm_currents_by_day",
+    f"""with {SQL_EXTRACT} select cast(id as varchar) as alarm_event_id, cast(lp.plant as varchar) as plant_id, cast(lp.dev as varchar) as device_no,
+ lp.epoch as event_epoch, round(active_power, 6) as active_power from lp join pr using (plant, dev, epoch)""",
+)
+def alarm_currents_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a partitioned table: only plant-days with a label are read."""
+    labels = stage(label_points(spark, sf_dir), "labels")
+    rows = extract.rows_of_label_days(written_production(spark, sf_dir), labels, "2026-01-01", "2030-12-31", TZ)
+    return extract.label_currents(rows, labels).select("alarm_event_id", *keys(), *r6("active_power"))
+
+
 @query(
     "missing_alarm_points",
     f"""with {SQL_EXTRACT} select cast(id as varchar) as alarm_event_id, {KEYS_SQL} from lp

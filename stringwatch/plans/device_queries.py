@@ -134,6 +134,22 @@ def partitioned_read_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("rows_in_range", "duplicate_rows_removed", "devices")
 
 
+@query(
+    "observed_read_report",
+    f"""with {SQL_VIEWS} select cast((select 2 * count(*) from meta) as bigint) as rows_read, cast(2 * count(*) as bigint) as rows_in_range,
+ count(*) as duplicate_rows_removed, count(distinct dev) as devices, sum(valid_strings) as kept_strings from meta where epoch >= {1_780_272_000 + 86_400}""",
+)
+def observed_read_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a read that also gives the rows; they are summed up beside it."""
+    path = staging_path(spark, "devices")
+    rows = device_table(spark, sf_dir).withColumn("main_string_count", F.col("valid_current_string_count"))
+    sinks.write_partitioned(rows.unionByName(rows), path)
+    read, report = telemetry.read_with_report(spark, path, "2026-06-02 08:00:00", "2026-12-31", TZ)
+    return report.select("rows_read", "rows_in_range", "duplicate_rows_removed", "devices").join(
+        read.agg(F.sum("main_string_count").alias("kept_strings"))  # two single rows
+    )
+
+
 @query(
     "damaged_files_report",
     f"""with {SQL_VIEWS} select count(*) as rows_read, count(*) as rows_in_range, cast(0 as bigint) as duplicate_rows_removed,
@@ -223,6 +239,29 @@ def exported_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "export_manifest",
+    f"""with {SQL_VIEWS}, {SQL_WEATHER.strip()},
+mf as (
+  select 'devices' as dataset, epoch from meta where epoch + 28800 >= {1_780_272_000 + 86_400} and epoch + 28800 < {1_780_272_000 + 5 * 86_400}
+  union all select 'weather', wt from wx where wt + 28800 >= {1_780_272_000 + 86_400} and wt + 28800 < {1_780_272_000 + 3 * 86_400})
+select dataset, strftime(to_timestamp(epoch + 28800)::timestamp, '%Y-%m-%d') as date, count(*) as rows,
+ case when dataset = 'devices' and (epoch + 28800) // 86400 < {(1_780_272_000 + 4 * 86_400) // 86_400} then 2 else 1 end as exports, 1 as writes
+from mf group by all""",
+)
+def export_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three exports into one manifest: devices, weather, and devices again with a day more; known days are not written again."""
+    root, day = staging_path(spark, "exports"), dt.date(2026, 6, 2)
+    devices = stage(device_table(spark, sf_dir), "devices")
+    for frame, name, time, days in (
+        (devices, "devices", "event_time", 3),
+        (weather_table(spark, sf_dir), "weather", "time", 2),
+        (devices, "devices", "event_time", 4),
+    ):
+        sinks.export_days(frame, f"{root}/{name}", f"{root}/manifest", name, day, day + dt.timedelta(days), time, TZ)
+    return sinks.current_manifest(sinks.manifest_log(spark, f"{root}/manifest")).select("dataset", "date", "rows", "exports", "writes")
+
+
 @query(
     "station_plants",
     "select distinct 'station-' || cast(s_suppkey // 10 as varchar) as station_name, cast(s_suppkey // 10 as varchar) as plant_id from supplier",

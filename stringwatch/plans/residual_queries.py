@@ -597,8 +597,12 @@ wc as (select wp.* from wp join wb using (plant, off)),
 we as (select plant, unnest([quantile_cont(ghi, 0.2), quantile_cont(ghi, 0.4), quantile_cont(ghi, 0.6), quantile_cont(ghi, 0.8)]) as e from wc group by plant),
 wd as (select distinct plant, e from we),
 wn as (select c.plant, c.dev, c.slot, c.ghi, c.g, count(d.e) as bin from wc c left join wd d on c.plant = d.plant and d.e < c.ghi group by all),
-wa as (select plant, bin, median(ghi) as ax, median(g) as ay0 from wn group by plant, bin),
-wanc as (select plant, bin, ax, max(ay0) over (partition by plant order by ax rows unbounded preceding) as ay from wa)
+wa as (select plant, bin, median(ghi) as ax, median(g) as ay0, count(*) as w from wn group by plant, bin),
+wq as (select *, sum(w * ay0) over o as sy, sum(w) over o as sw from wa window o as (partition by plant order by ax rows unbounded preceding)),
+wmin as (
+  select i.plant, i.bin, i.ax, j.ax as jx, min((k.sy - j.sy + j.w * j.ay0) / (k.sw - j.sw + j.w)) as m
+  from wq i join wq j on i.plant = j.plant and j.ax <= i.ax join wq k on i.plant = k.plant and k.ax >= i.ax group by all),
+wanc as (select plant, bin, ax, max(m) as ay from wmin group by all)
 """
 )
 
@@ -613,6 +617,17 @@ def weather_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(*keys(), *r6("forecast_ghi"))
 
 
+@query(
+    "weather_offsets",
+    f"""with {SQL_ASOF} select cast(plant as varchar) as plant_id, cast(off as integer) as source_offset_minutes, samples, round(rho, 6) as spearman from ws""",
+)
+def weather_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well each offset of the forecast fits, for every plant."""
+    _, context = model(spark, sf_dir)
+    pairs = irradiance.weather_pairs(context, weather_table(spark, sf_dir), WEATHER)
+    return irradiance.offset_correlations(pairs).select("plant_id", "source_offset_minutes", "samples", *r6("spearman"))
+
+
 @query(
     "weather_map",
     f"""with {SQL_ASOF} select cast(plant as varchar) as plant_id, cast(w.off as integer) as source_offset_minutes, w.samples as samples,

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from stringwatch.config import Settings
 from stringwatch.functions.timegrid import local_date, utc_bound
 from stringwatch.schema import require_columns
+from stringwatch.storage import remove
 
 # the default length of an export, a parameter of it
 MAXIMUM_EXPORT_DAYS = 31
@@ -148,3 +149,78 @@ def load_table(spark: SparkSession, path: str, name: str) -> DataFrame:
 def as_json(metrics: DataFrame) -> str:
     """A small metrics table as JSON text."""
     return json.dumps([row.asDict(recursive=True) for row in metrics.collect()], default=str, indent=2)
+
+
+# --- exports that are kept up to date ----------------------------------------
+
+MANIFEST = "dataset string, date string, rows bigint, digest string, export_no int, written boolean"
+
+
+def _digests(dated: DataFrame) -> DataFrame:
+    """Rows and an order-free digest of every date."""
+    columns = [F.col(f"`{c}`") for c in sorted(dated.columns) if c != "date"]
+    total = F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).cast("string")
+    return dated.groupBy(F.col("date").cast("string").alias("date")).agg(F.count(F.lit(1)).alias("rows"), total.alias("digest"))
+
+
+def manifest_log(spark: SparkSession, manifest: str) -> DataFrame:
+    """Every export's entries, or none if there is no manifest yet."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(manifest)
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        return spark.createDataFrame([], MANIFEST)
+    return spark.read.schema(MANIFEST).parquet(manifest)
+
+
+def export_days(
+    frame: DataFrame,
+    path: str,
+    manifest: str,
+    dataset: str,
+    start: dt.date,
+    end: dt.date,
+    time: str,
+    timezone: str = "Asia/Shanghai",
+    maximum_days: int | None = MAXIMUM_EXPORT_DAYS,
+) -> DataFrame:
+    """Bring the date partitions of a dataset up to date; returns this export's manifest entries.
+
+    Dates whose rows and digest are those of the last export are left as they
+    are, so a repeated export writes nothing; others are replaced one by one,
+    and dates that no longer have rows are removed. What was written is read
+    back and has to give the same digests. The manifest is only ever added to:
+    one file set may hold the exports of many datasets.
+    """
+    spark = frame.sparkSession
+    first, last = local_date_range(start, end, maximum_days)
+    chosen = frame.where((F.col(time) >= utc_bound(first, timezone)) & (F.col(time) < utc_bound(last, timezone)))
+    dated = chosen.withColumn("date", local_date(time, timezone))
+    log = manifest_log(spark, manifest)
+    number = (log.agg(F.max("export_no")).first()[0] or 0) + 1
+    known = current_manifest(log).where((F.col("dataset") == dataset) & F.col("date").between(str(start), str(end - dt.timedelta(1))))
+    before = {r["date"]: (r["rows"], r["digest"]) for r in known.collect()}  # one row per date of the range
+    now = {r["date"]: (r["rows"], r["digest"]) for r in _digests(dated).collect()}
+    changed = sorted(d for d in now if before.get(d) != now[d])
+    if changed:
+        days = dated.where(F.col("date").isin(*[dt.date.fromisoformat(d) for d in changed]))
+        days.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+        written = spark.read.schema(dated.schema).parquet(path).where(F.col("date").isin(*[dt.date.fromisoformat(d) for d in changed]))
+        found = {r["date"]: (r["rows"], r["digest"]) for r in _digests(written).collect()}
+        if found != {d: now[d] for d in changed}:
+            raise RuntimeError(f"the partitions of {path} do not hold what was exported")
+    gone = sorted(d for d, (rows, _) in before.items() if rows and d not in now)
+    for day in gone:
+        remove(spark, f"{path}/date={day}")
+    entries = [(dataset, d, *now[d], number, d in changed) for d in sorted(now)] + [(dataset, d, 0, "0", number, True) for d in gone]
+    result = spark.createDataFrame(entries, MANIFEST)
+    result.coalesce(1).write.mode("append").parquet(manifest)
+    return result
+
+
+def current_manifest(log: DataFrame) -> DataFrame:
+    """The last entry of every dataset and date, how often it was exported and how often written."""
+    last = F.max_by(F.struct("rows", "digest"), "export_no").alias("_last")
+    return (
+        log.groupBy("dataset", "date")
+        .agg(last, F.count(F.lit(1)).alias("exports"), F.count_if("written").alias("writes"))
+        .select("dataset", "date", "_last.*", "exports", "writes")
+    )

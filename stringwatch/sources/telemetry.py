@@ -8,12 +8,13 @@ from collections.abc import Iterator, Mapping, Sequence
 import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from stringwatch.functions.timegrid import utc_bound
 from stringwatch.schema import META_COLUMNS, POINT_KEYS, SOURCE_PLANT, key_text, normalise_keys, require_columns
+from stringwatch.storage import stage
 
 
 def check_bounds(spark: SparkSession, start: str, end: str, timezone: str) -> None:
@@ -134,6 +135,40 @@ def read_report(
     return files.join(totals)  # two single rows
 
 
+def read_with_report(
+    spark: SparkSession, root: str, start: str, end: str, timezone: str = "Asia/Shanghai", schema: StructType | str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Device rows as by :func:`read_devices`, and their report, from one read of the files.
+
+    The rows are written once; while they pass, the read counts files with rows,
+    rows, rows in range and unique rows. The report has one row: files_selected,
+    files_with_rows, rows_read, rows_in_range, duplicate_rows_removed, devices.
+    Only names are listed besides, and keys of the written rows counted. A file
+    that cannot be read fails the job; :func:`file_status` finds it.
+    """
+    check_bounds(spark, start, end, timezone)
+    read, unique = Observation("read"), Observation("unique")
+    inside = (F.col("event_time") >= utc_bound(start, timezone)) & (F.col("event_time") < utc_bound(end, timezone))
+    positioned = with_position(read_partitioned(spark, root, None, False, schema, schema is None))
+    seen = positioned.observe(
+        read,
+        F.count(F.lit(1)).alias("rows_read"),
+        F.count_if(F.col("_position") == 0).alias("files_with_rows"),
+        F.count_if(inside).alias("rows_in_range"),
+    )
+    columns = device_columns(seen.columns)
+    kept = keep_last(normalise_keys(within(seen, start, end, timezone).select(*columns, "_file", "_position")))
+    rows = stage(kept.observe(unique, F.count(F.lit(1)).alias("rows")), "device-rows")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(root)
+    numbers = read.get | {"unique": unique.get["rows"]}
+    report = listed.agg(F.count(F.lit(1)).alias("files_selected")).select(
+        "files_selected",
+        *[F.lit(numbers[n]).cast("long").alias(n) for n in ("files_with_rows", "rows_read", "rows_in_range")],
+        F.lit(numbers["rows_in_range"] - numbers["unique"]).cast("long").alias("duplicate_rows_removed"),
+    )
+    return rows, report.join(rows.agg(F.countDistinct("plant_id", "device_no").alias("devices")))  # two single rows
+
+
 def file_status(spark: SparkSession, root: str, schema: StructType | str | None = None) -> DataFrame:
     """Every Parquet file below ``root``: path, length, footer_rows, read_rows and status.
 

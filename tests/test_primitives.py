@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from stringwatch.functions.isotonic import isotonic
 from stringwatch.functions.lof import lof_scores
 from stringwatch.operators import quantiles as q
 from stringwatch.operators import runs
@@ -139,3 +140,44 @@ def test_collapse(spark, sequences, chunk):
             expected.append([key, minute, minute, 1, 5])
         last[key] = minute
     assert got == sorted(tuple(e) for e in expected)
+
+
+def test_isotonic_fit_equals_the_min_max_formula(spark):
+    rng, rows = random.Random(8), [(0, []), (1, None), (2, [(1.0, 1.0)])]
+    rows += [(i, [(rng.choice([rng.random(), round(rng.random(), 1)]), float(rng.randint(1, 9))) for _ in range(rng.randint(1, 20))]) for i in range(3, 120)]
+    frame = spark.createDataFrame(rows, "i int, points array<struct<value: double, weight: double>>")
+    got = {r.i: r.fit for r in frame.select("i", isotonic(F.col("points")).alias("fit")).collect()}
+    assert got[0] == [] and got[1] is None
+    higher = 0
+    for i, points in rows[2:]:
+        n = len(points)
+
+        def mean(j, k):
+            part = points[j : k + 1]
+            return sum(v * w for v, w in part) / sum(w for _, w in part)
+
+        want = [max(min(mean(j, k) for k in range(at, n)) for j in range(at + 1)) for at in range(n)]
+        assert got[i] == pytest.approx(want)
+        running = [max(v for v, _ in points[: at + 1]) for at in range(n)]
+        higher += running != pytest.approx(want)
+    assert higher > 50  # a running maximum is another thing
+
+
+def test_bounded_quantiles_equal_the_general_ones(spark):
+    rng = random.Random(12)
+    pool = [0.0, -0.0, 1.5, 1.5, 2.25, float("inf"), float("-inf"), float("nan"), None]
+    rows = [(g, rng.choice(pool) if rng.random() < 0.7 else round(rng.uniform(-5, 5), 2)) for g in ("a", "b", "c", None) for _ in range(60)]
+    rows += [("only null", None), ("one", 3.0)]
+    frame = spark.createDataFrame(rows, "g string, v double")
+    for p in (0.0, 0.05, 0.5, 0.9, 1.0):
+        general = {r.g: (r.n, r.q) for r in q.quantile(frame, ["g"], "v", p, "q").collect()}
+        bounded = {r.g: (r.n, r.q) for r in q.bounded_quantile(frame, ["g"], "v", p, "q").collect()}
+        assert set(general) == set(bounded) == {"a", "b", "c", None, "one"}
+        for key, (n, value) in general.items():
+            assert bounded[key][0] == n and (bounded[key][1] == pytest.approx(value) or (value != value and bounded[key][1] != bounded[key][1]))
+
+
+def test_quantiles_of_several_columns(spark):
+    frame = spark.createDataFrame([(1, 1.0, 5), (1, 2.0, None), (2, None, 7)], "g int, x double, y int")
+    got = {(r.g, r.column): (r.n, r.q) for r in q.quantiles_of_columns(frame, ["g"], ["x", "y"], [0.5]).collect()}
+    assert got == {(1, "x"): (2, [1.5]), (1, "y"): (1, [5.0]), (2, "y"): (1, [7.0])}

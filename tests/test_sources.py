@@ -12,7 +12,7 @@ from stringwatch.config import (
     ResidualSettings,
     derive_persistence,
 )
-from stringwatch.operators import audit, channels
+from stringwatch.operators import audit, channels, extract
 from stringwatch.operators.numbering import with_event_ids
 from stringwatch.sources import sinks, telemetry
 from stringwatch.storage import stage
@@ -224,3 +224,60 @@ def test_continuity_counts(spark, chunk):
 
 def test_stage_reads_back(spark):
     assert stage(spark.range(5)).count() == 5
+
+
+def test_exports_keep_a_manifest(spark, tmp_path):
+    """A repeated export writes nothing; a changed day is replaced, one without rows goes."""
+    start, folder, log = dt.date(2026, 6, 1), f"{tmp_path}/out", f"{tmp_path}/manifest"
+    times = [dt.datetime(2026, 6, d, h) for d in (1, 2, 3) for h in (1, 2)]
+    frame = spark.createDataFrame([(t, "p", float(t.day)) for t in times], "event_time timestamp, plant_id string, v double")
+
+    def export(rows):
+        return {r.date: r.written for r in sinks.export_days(rows, folder, log, "devices", start, dt.date(2026, 6, 4), "event_time", "UTC").collect()}
+
+    assert export(frame) == {"2026-06-01": True, "2026-06-02": True, "2026-06-03": True}
+    files = sorted(p.name for p in tmp_path.glob("out/*/*.parquet"))
+    assert export(frame.repartition(3)) == {"2026-06-01": False, "2026-06-02": False, "2026-06-03": False}
+    assert sorted(p.name for p in tmp_path.glob("out/*/*.parquet")) == files
+    other = frame.where("day(event_time) < 3").withColumn("v", F.when(F.dayofmonth("event_time") == 2, -1.0).otherwise(F.col("v")))
+    assert export(other) == {"2026-06-01": False, "2026-06-02": True, "2026-06-03": True}
+    assert sorted(r.v for r in spark.read.parquet(folder).collect()) == [-1.0, -1.0, 1.0, 1.0]
+    current = {r.date: (r.rows, r.exports, r.writes) for r in sinks.current_manifest(sinks.manifest_log(spark, log)).collect()}
+    assert current == {"2026-06-01": (2, 3, 1), "2026-06-02": (2, 3, 2), "2026-06-03": (0, 3, 2)}
+
+
+def test_only_labelled_days_are_read(spark, tmp_path):
+    times = [dt.datetime(2026, 6, d, 4) for d in range(1, 21)]
+    rows = spark.createDataFrame([(t, p, "d", 1.0) for t in times for p in ("1", "2")], "event_time timestamp, plant_id string, device_no string, v double")
+    sinks.write_partitioned(rows, f"{tmp_path}/rows", timezone="UTC")
+    scan = spark.read.schema("event_time timestamp, device_no string, v double, plant_id string, date date").parquet(f"{tmp_path}/rows")
+    labels = spark.createDataFrame([(times[4], "1", "d", 7), (times[6], "2", "x", 8)], "event_time timestamp, plant_id string, device_no string, alarm_event_id int")
+    found = extract.rows_of_label_days(scan, labels, "2026-06-01", "2026-06-30", "UTC")
+    assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.plant_id, r.event_time.day) for r in found.collect()) == [("1", 5), ("2", 7)]
+    assert [r.alarm_event_id for r in extract.label_currents(found, labels).collect()] == [7]
+
+
+def test_rows_and_report_of_one_read(spark, tmp_path):
+    times = [dt.datetime(2026, 6, d, 4) for d in range(1, 5)]
+    rows = spark.createDataFrame([(t, "1", "d", float(t.day)) for t in times], "event_time timestamp, plant_id string, device_no string, active_power double")
+    sinks.write_partitioned(rows.unionByName(rows), f"{tmp_path}/rows", timezone="UTC")
+    read, report = telemetry.read_with_report(spark, f"{tmp_path}/rows", "2026-06-02", "2026-06-04", "UTC")
+    old = telemetry.read_report(spark, f"{tmp_path}/rows", "2026-06-02", "2026-06-04", "UTC").first()
+    new = report.first()
+    assert sorted(r.active_power for r in read.collect()) == [2.0, 3.0]
+    assert (new.rows_in_range, new.duplicate_rows_removed, new.devices) == (old.rows_in_range, old.duplicate_rows_removed, old.devices) == (4, 2, 1)
+    assert new.files_selected == new.files_with_rows == old.files_read and new.rows_read == old.rows_read == 8
+
+
+def test_device_sketches_of_days_unite(spark):
+    rows = spark.range(60_000).selectExpr(
+        "if(id < 59000, 'a', 'b') as plant_id", "cast(id % 20000 as string) as device_no", "timestamp_seconds(1780272000 + id % 5 * 86400) as event_time"
+    )
+    days = stage(audit.plant_days(rows), "days")
+    found = {r.plant_id: r for r in audit.overview_of_days(days).collect()}
+    assert (found["a"].document_count, found["b"].document_count) == (59_000, 1_000)
+    assert abs(found["a"].unique_devices_estimate - 20_000) < 0.04 * 20_000 and abs(found["b"].unique_devices_estimate - 1_000) < 40
+    one, rest = days.where("local_date <= '2026-06-02'"), days.where("local_date > '2026-06-02'")
+    again = {r.plant_id: r.unique_devices_estimate for r in audit.overview_of_days(one.unionByName(rest)).collect()}
+    assert again == {p: r.unique_devices_estimate for p, r in found.items()}
