@@ -12,6 +12,7 @@ lengths, checkpoints, payload); payloads are big-endian 32-bit words.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -126,54 +127,56 @@ def id_type(tokenizer_path: str, end_id: int) -> str:
     return "<u2" if largest < 1 << 16 else "<u4"
 
 
+@functools.lru_cache(2)
+def piece_table(tokenizer_path: str, kind: str) -> tuple[vocabulary.PieceTable, list[str]]:
+    """Ids of parts of texts, one table for all tasks of a worker, and the special strings.
+
+    A run of letters is merged at once, as the library's own model does it; other
+    new parts go through the library many at a time, in one text: a special
+    string between them keeps them apart, and its id tells where.
+    """
+    tokenizer = vocabulary.load(tokenizer_path)
+    code, width = np.dtype(kind).char, np.dtype(kind).itemsize  # tasks run on little-endian machines
+    special = vocabulary.specials(tokenizer)
+    mark = special[0] if special else None
+    merge, written = tokenizer.model.tokenize, vocabulary.letters_as_bytes(tokenizer) if tokenizer.normalizer is None else {}
+
+    def ids_of(pieces: list[str]) -> list[bytes]:
+        out, alone, joined = [b""] * len(pieces), [], []
+        for i, piece in enumerate(pieces):
+            if written and vocabulary.PLAIN_PART.match(piece):
+                out[i] = array(code, [token.id for token in merge(piece.translate(written))]).tobytes()
+            else:
+                (alone if mark is None or any(s in piece for s in special) else joined).append(i)
+        for i, e in zip(alone, tokenizer.encode_batch_fast([pieces[i] for i in alone], add_special_tokens=False)):
+            out[i] = array(code, e.ids).tobytes()
+        for begin in range(0, len(joined), JOINED_PIECES):
+            some = joined[begin : begin + JOINED_PIECES]
+            text = mark.join(pieces[i] for i in some)
+            ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, kind)
+            ends = np.append(np.flatnonzero(ids == tokenizer.token_to_id(mark)), len(ids))
+            raw, first = ids.tobytes(), 0
+            for i, last in zip(some, ends.tolist()):
+                out[i] = raw[first * width : last * width]
+                first = last + 1
+        return out
+
+    return vocabulary.PieceTable(ids_of), special
+
+
 def encoded(alarms: DataFrame, tokenizer_path: str, end_id: int, kind: str) -> DataFrame:
     """alarm_event_id and ids (little-endian integers of type ``kind``), the end id last."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = vocabulary.load(tokenizer_path)
-        code = np.dtype(kind).char  # tasks run on little-endian machines
-        end, width = np.array([end_id], kind).tobytes(), np.dtype(kind).itemsize
-
-        special = vocabulary.specials(tokenizer)
-        mark = special[0] if special else None
-
-        def ids_of(pieces: list[str]) -> list[bytes]:
-            """Many pieces in one text: a special string between them keeps them apart, its id tells where."""
-            alone = [mark is None or any(s in p for s in special) for p in pieces]
-            out: list[bytes] = [b""] * len(pieces)
-            at = [i for i, own in enumerate(alone) if own]
-            for i, e in zip(at, tokenizer.encode_batch_fast([pieces[i] for i in at], add_special_tokens=False)):
-                out[i] = array(code, e.ids).tobytes()
-            at = [i for i, own in enumerate(alone) if not own]
-            for begin in range(0, len(at), JOINED_PIECES):
-                some = at[begin : begin + JOINED_PIECES]
-                text = mark.join(pieces[i] for i in some)
-                ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, kind)
-                ends = np.append(np.flatnonzero(ids == tokenizer.token_to_id(mark)), len(ids))
-                raw, first = ids.tobytes(), 0
-                for i, last in zip(some, ends.tolist()):
-                    out[i] = raw[first * width : last * width]
-                    first = last + 1
-            return out
-
-        table = vocabulary.PieceTable(ids_of)
+        end = np.array([end_id], kind).tobytes()
+        table, special = piece_table(tokenizer_path, kind)
         for batch in batches:
             keys, done = batch.column("alarm_event_id"), 0
             for chunk in vocabulary.chunks(batch.column("alarm_name")):
                 parts, index, starts = vocabulary.parts_of(chunk, special)
-                values = table.values(parts)
-                flat = np.frombuffer(b"".join(values), kind)
-                sizes = np.fromiter(map(len, values), np.int64, len(values)) // width
-                begins = np.cumsum(sizes) - sizes
-                lengths = sizes[index]
-                ends = np.cumsum(lengths)
-                small = np.int32 if max(ends[-1], len(flat)) < 1 << 31 else np.int64
-                at = np.repeat((begins[index] - ends + lengths).astype(small), lengths)
-                at += np.arange(ends[-1], dtype=small)
-                ids = flat[at]
-                del at
-                stops = np.append(ends[starts[1:] - 1], ends[-1]).tolist()
-                rows_ids = [ids[a:b].tobytes() + end for a, b in zip((ends[starts] - lengths[starts]).tolist(), stops)]
+                ids, ends = vocabulary.gathered(table.values(parts), index, kind)
+                stops = np.append(np.append(0, ends)[starts], ends[-1]).tolist()
+                rows_ids = [ids[a:b].tobytes() + end for a, b in zip(stops, stops[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [keys.slice(done, len(chunk)), pa.array(rows_ids, pa.binary())], ["alarm_event_id", "ids"]
                 )
