@@ -21,7 +21,10 @@ from pyspark.sql import functions as F
 
 from stringwatch.storage import Scratch
 
-WORD = re.compile(r"\w+")
+# fixed values: ranges of kana, Han, Thai, Lao, Burmese and Khmer, which write no spaces between words
+UNSPACED = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff"
+#: a run of word characters; a character of a script without spaces is a word of its own
+WORD = re.compile(f"[{UNSPACED}]|[^\\W{UNSPACED}]+")
 WORDS_AT_ONCE = 1 << 20
 #: bits of the filter that keeps hopeless positions out of the join, and where a seed's bins are cut from it;
 #: its 4 MB do not grow with any table, a filter that fills up only lets more through
@@ -87,16 +90,20 @@ def contaminated_alarms(
     evaluation: DataFrame,
     window: int = 13,
     substitutions: int = 2,
-    least_words: int = 8,
+    exact_below: int = 8,
+    alone_below: int = 3,
     scratch: Scratch | None = None,
 ) -> DataFrame:
     """Which evaluation messages each alarm contains.
 
     ``evaluation`` has item_id and alarm_name. An alarm contains an item if
     ``window`` consecutive words of both agree but for ``substitutions`` places
-    at most. Items of ``least_words`` words up to a window are their own window,
-    with substitutions in proportion; shorter ones are too common to count.
-    Words are runs of word characters, lower-cased.
+    at most. Shorter items are their own window, with substitutions in
+    proportion; of fewer than ``exact_below`` words none is allowed, and of fewer
+    than ``alone_below`` words the item has to be the whole message, since such
+    words stand in many. Words are runs of word characters, lower-cased; in
+    scripts without spaces every character is one. Items without words are
+    nowhere.
 
     Returns alarm_event_id, item_id, first_word (of the alarm's first such
     window), overlap_words (item words inside such windows, at the best
@@ -108,11 +115,14 @@ def contaminated_alarms(
     scratch = scratch or Scratch(alarms.sparkSession)
     spark = alarms.sparkSession
 
+    def allowed(size: int) -> int:
+        return tolerated(size, window, substitutions) if size >= exact_below else 0
+
     def item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = WordHashes()
         for batch in batches:
             lists = [hashed.of(t.as_py()) for t in batch.column("alarm_name")]
-            keep = [i for i, w in enumerate(lists) if len(w) >= least_words]
+            keep = [i for i, w in enumerate(lists) if len(w)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("item_id").take(pa.array(keep, pa.int64())),
@@ -134,7 +144,7 @@ def contaminated_alarms(
     plans = [
         (size, number, mask)
         for size in sizes
-        for number, mask in enumerate(masks(size, tolerated(size, window, substitutions)))
+        for number, mask in enumerate(masks(size, allowed(size)))
     ]
 
     def item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,8 +177,8 @@ def contaminated_alarms(
 
         def found_in(keys: list, lists: list[np.ndarray]) -> pa.RecordBatch:
             """Windows of many alarms at once; those that reach over an alarm's end are none."""
-            words = np.concatenate(lists)
-            ends = np.cumsum([len(x) for x in lists])
+            words, lengths = np.concatenate(lists), np.array([len(x) for x in lists])
+            ends = np.cumsum(lengths)
             seeds_found, places, rows = [], [], []
             for size, number, mask in plans:
                 own = seed_hashes(words, size, number, mask)
@@ -178,6 +188,8 @@ def contaminated_alarms(
                     hit = hit[(kept[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)]
                 row = np.searchsorted(ends, hit, side="right")
                 inside = hit + size <= ends[row]
+                if size < alone_below:
+                    inside &= lengths[np.minimum(row, len(lengths) - 1)] == size
                 seeds_found.append(own[hit[inside]])
                 places.append(hit[inside])
                 rows.append(row[inside])
@@ -209,7 +221,7 @@ def contaminated_alarms(
             if plans and held:
                 yield found_in(keys, lists)
 
-    if not plans:  # no item is long enough
+    if not plans:  # no item has words
         return spark.createDataFrame([], f"alarm_event_id {alarms.schema['alarm_event_id'].dataType.simpleString()}, item_id {item_key}, first_word bigint, overlap_words bigint, same_words bigint")
     key = alarms.schema["alarm_event_id"].dataType.simpleString()
     touched = scratch.stage(
@@ -239,7 +251,7 @@ def contaminated_alarms(
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [
-                longest_overlap(np.asarray(a), np.asarray(b), size, tolerated(size, window, substitutions))
+                longest_overlap(np.asarray(a), np.asarray(b), size, allowed(size))
                 for a, b, size in zip(batch["alarm_words"], batch["item_words"], batch["size"])
             ]
             out = batch[["alarm_event_id", "text_no"]].copy()

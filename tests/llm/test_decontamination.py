@@ -16,19 +16,19 @@ def words_of(text):
     return re.findall(r"\w+", (text or "").lower())
 
 
-def brute(docs, items, window=13, substitutions=2, least=8):
+def brute(docs, items, window=13, substitutions=2, exact=8, alone=3):
     """All pairs with some aligned windows that differ in few words, from the full table of equal words."""
     numbers = {}
     coded = lambda text: np.array([numbers.setdefault(w, len(numbers)) for w in words_of(text)], np.int64)
     docs = [(d, coded(t)) for d, t in docs]
     found = set()
     for item, own in [(i, coded(t)) for i, t in items]:
-        if len(own) < least:
+        if not len(own):
             continue
         size = min(window, len(own))
-        allowed = substitutions * size // window
+        allowed = substitutions * size // window if size >= exact else 0
         for doc, words in docs:
-            if len(words) < size:
+            if len(words) < size or len(own) < alone and len(words) != len(own):
                 continue
             # equal words counted along diagonals
             total = np.zeros((len(own) + 1, len(words) + 1), np.int64)
@@ -112,3 +112,14 @@ def test_query_equals_brute_force(spark):
     items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
     got = {(r.doc_id, r.item_id) for r in LLM_QUERIES["op2_decontamination"](spark, sf_dir).collect()}
     assert got == brute(docs, items)
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    items = [(0, "Why is it low?"), (1, "reset"), (2, "string low"), (3, "电流过低"), (4, "いつ直りますか"), (5, "?!")]
+    docs = [
+        (0, "He asked: why is it, low today"), (1, "why is it very low"), (2, "reset"), (3, "reset now"), (4, "String: LOW"), (5, "a string low"),
+        (6, "告警：第三串电流过低，请检查"), (7, "电流不低"), (8, "さて、いつ直りますか。"), (9, ""), (10, None),
+    ]
+    got = {(r.alarm_event_id, r.item_id) for r in decontamination.contaminated_alarms(*frames(spark, docs, items)).collect()}
+    assert got == {(0, 0), (2, 1), (4, 2), (6, 3), (8, 4)}
+    assert {r.alarm_event_id for r in decontamination.clean_alarms(*frames(spark, docs, items)).collect()} == {1, 3, 5, 7, 9, 10}
