@@ -34,7 +34,7 @@ ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890")
 LOOKS_LIKE = str.maketrans({"@": "a", "4": "a", "0": "o", "1": "l", "!": "i", "3": "e", "5": "s", "$": "s", "7": "t"})
 LONGEST_WORD = 20
 DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d")
-REPEAT = re.compile(r"(.{1,8}?)\1+", re.S)
+LONGEST_UNIT = 8
 
 
 def _neighbour_keys() -> set[tuple[str, str]]:
@@ -64,34 +64,52 @@ def _single(character: str) -> float:
     return math.log10(33)
 
 
-def _runs(text: str, together) -> Iterator[tuple[int, int]]:
-    """Longest stretches of three characters or more whose neighbours belong together."""
-    begin = 0
-    for i in range(1, len(text) + 1):
-        if i == len(text) or not together(text[i - 1], text[i]):
-            if i - begin >= 3:
-                yield begin, i
-            begin = i
+class _Begins:
+    """Places where a segment may begin whose cost grows with the logarithm of its length.
 
+    Of two places the earlier one, once it is as cheap, stays so for all later
+    ends; the later one is dropped then, so few are kept.
+    """
+
+    def __init__(self):
+        self.kept: list[tuple[int, float]] = []
+
+    def add(self, begin: int, cost: float) -> None:
+        self.kept.append((begin, cost))
+
+    def least(self, end: int, unit: int = 1) -> float:
+        best, kept = math.inf, []
+        for begin, cost in self.kept:
+            total = cost + math.log10((end - begin) / unit)
+            if total < best:
+                best = total
+                kept.append((begin, cost))
+        self.kept = kept
+        return best
 
-def guess_cost(value: str, words: dict[str, float]) -> float:
-    """log10 of the guesses that the cheapest cut of ``value`` needs. Linear in its length."""
-    n, lower = len(value), value.lower()
+
+def guess_cost(value: str, words: dict[str, float], units: dict[str, float] | None = None) -> float:
+    """log10 of the guesses that the cheapest of all cuts of ``value`` needs.
+
+    Segments are words (also in other case or with signs for letters), dates,
+    walks on the keyboard and sequences of three characters or more, repeats of
+    up to eight characters, and single characters; any of them may begin or end
+    inside a longer one.
+    """
+    n = len(value)
     if not n:
         return 0.0
-    plain = lower.translate(LOOKS_LIKE) if len(lower.translate(LOOKS_LIKE)) == n else lower
-    ending: dict[int, list[tuple[int, float]]] = {}
-    for match in DATE.finditer(value):
-        ending.setdefault(match.end(), []).append((match.start(), math.log10(120 * (365 if match.end() - match.start() > 4 else 1))))
-    if len(lower) == n:
-        for begin, end in _runs(lower, lambda a, b: (a, b) in NEAR):
-            ending.setdefault(end, []).append((begin, math.log10(40 * 4 * (end - begin))))
-        for step in (1, -1):
-            for begin, end in _runs(lower, lambda a, b: a.isalnum() and b.isalnum() and ord(b) - ord(a) == step):
-                ending.setdefault(end, []).append((begin, math.log10(62 * 2 * (end - begin))))
-    repeats: dict[int, list[tuple[int, int]]] = {}
-    for match in REPEAT.finditer(value):
-        repeats.setdefault(match.end(), []).append((match.start(), len(match[1])))
+    units = {} if units is None else units
+    lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+    plain = lower.translate(LOOKS_LIKE)
+    chains = [  # whether neighbours go on, guesses of one character more, places where a chain may begin
+        (lambda a, b: (a, b) in NEAR, math.log10(40 * 4), _Begins()),
+        (lambda a, b: a.isalnum() and b.isalnum() and ord(b) - ord(a) == 1, math.log10(62 * 2), _Begins()),
+        (lambda a, b: a.isalnum() and b.isalnum() and ord(b) - ord(a) == -1, math.log10(62 * 2), _Begins()),
+    ]
+    chain_begin = [0, 0, 0]
+    period_begin = {unit: 0 for unit in range(1, LONGEST_UNIT + 1)}
+    repeats = {unit: [_Begins() for _ in range(unit)] for unit in period_begin}
     best = [0.0] * (n + 1)
     for end in range(1, n + 1):
         least = best[end - 1] + _single(value[end - 1])
@@ -103,11 +121,29 @@ def guess_cost(value: str, words: dict[str, float]) -> float:
                 cost += 0.6
             if cost is not None:
                 least = min(least, best[begin] + cost + (0.3 if value[begin:end] != lower[begin:end] else 0.0))
-        for begin, cost in ending.get(end, ()):
-            least = min(least, best[begin] + cost)
-        for begin, unit in repeats.get(end, ()):
-            once = best[begin + unit] - best[begin] if unit else 0.0
-            least = min(least, best[begin] + max(once, 0.0) + math.log10((end - begin) // unit))
+        if value[end - 1].isdigit():
+            for begin in range(max(0, end - 10), end - 3):
+                if DATE.fullmatch(value, begin, end):
+                    least = min(least, best[begin] + math.log10(120 * (365 if end - begin > 4 else 1)))
+        for i, (together, guesses, begins) in enumerate(chains):
+            if end > 1 and not together(lower[end - 2], lower[end - 1]):
+                chain_begin[i] = end - 1
+                begins.kept.clear()
+            if end - 3 >= chain_begin[i]:
+                begins.add(end - 3, best[end - 3])
+                least = min(least, begins.least(end) + guesses)
+        for unit, first in period_begin.items():
+            if end > unit and value[end - 1] != value[end - 1 - unit]:
+                period_begin[unit] = first = end - unit
+                for begins in repeats[unit]:
+                    begins.kept.clear()
+            if end - 2 * unit >= first:
+                begins = repeats[unit][end % unit]
+                begins.add(end - 2 * unit, best[end - 2 * unit])
+                text = value[end - unit : end]
+                if text not in units:
+                    units[text] = guess_cost(text, words, units)
+                least = min(least, begins.least(end, unit) + units[text])
         best[end] = least
     return best[n]
 

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import random
 import re
 
 import pytest
@@ -80,6 +81,57 @@ def test_cheapest_cut_of_words(value):
     assert secret_scan.guess_cost(value, WORDS) == pytest.approx(min(sum(map(cost, cut)) for cut in all_cuts(value)))
 
 
+def plain_cost(value, known):
+    """The cheapest of all cuts, each part by the definition of its kind."""
+    if value in known:
+        return known[value]
+
+    def chain(part, fits):
+        return len(part) >= 3 and all(fits(a, b) for a, b in zip(part, part[1:]))
+
+    def cost(part):
+        if len(part) == 1:
+            return 1.0 if part.isdigit() else math.log10(26) if part.isalpha() else math.log10(33)
+        lower, options = part.lower(), [math.inf]
+        case, plain = (0.3 if part != lower else 0.0), lower.translate(secret_scan.LOOKS_LIKE)
+        if lower in WORDS:
+            options.append(WORDS[lower] + case)
+        elif plain in WORDS:
+            options.append(WORDS[plain] + 0.6 + case)
+        if secret_scan.DATE.fullmatch(part):
+            options.append(math.log10(120 * (365 if len(part) > 4 else 1)))
+        if chain(lower, lambda a, b: (a, b) in secret_scan.NEAR):
+            options.append(math.log10(160 * len(part)))
+        for step in (1, -1):
+            if chain(lower, lambda a, b: a.isalnum() and b.isalnum() and ord(b) - ord(a) == step):
+                options.append(math.log10(124 * len(part)))
+        for unit in range(1, min(8, len(part) // 2) + 1):
+            if len(part) % unit == 0 and part == part[:unit] * (len(part) // unit):
+                options.append(plain_cost(part[:unit], known) + math.log10(len(part) // unit))
+        return min(options)
+
+    known[value] = min(sum(map(cost, cut)) for cut in all_cuts(value))
+    return known[value]
+
+
+def test_cheapest_of_all_cuts():
+    rng, known = random.Random(11), {}
+    pieces = ["pass", "word", "p4ss", "Word", "qwer", "tyu", "asdf", "abc", "cba", "987", "2024", "2024-05", "0517", "aa", "xyx", "zq", "!", "9", "abab", "1"]
+    values = ["qwertypass", "abcdabcdab", "20240517pass", "wordwordwo", "aaaaaaaaab", "qwertyqwer"]
+    values += ["".join(rng.choice(pieces) for _ in range(4))[:11] for _ in range(150)]
+    for value in values:
+        assert secret_scan.guess_cost(value, WORDS) == pytest.approx(plain_cost(value, known)), value
+    user = {"user": 2.0}
+    assert secret_scan.guess_cost("qwertyuser", user) == pytest.approx(math.log10(160 * 6) + 2.0)
+
+
+def test_long_values_take_linear_time():
+    words = secret_scan.dictionary(tokenizer_file())
+    for value in ("qw" * 20_000, "abc" * 10_000, "a" * 40_000):
+        assert secret_scan.guess_cost(value, words) < 8
+    assert secret_scan.guess_cost("0123456789" * 3_000, words) > 8  # a unit of more than eight characters is no repeat
+
+
 def test_patterns_are_cheap():
     words = secret_scan.dictionary(tokenizer_file())
     weak = ["password123", "2024-05-17", "aaaaaaaaaaaaaaaa", "qwertyuiop", "abcdefghij", "changeme", "abcabcabcabc", "12345678"]
