@@ -41,12 +41,6 @@ def finite_count(values: Column) -> Column:
     return F.size(F.filter(values, lambda v: v.isNotNull()))
 
 
-def jaccard(left: Column, right: Column) -> Column:
-    """Overlap of two sets; null when both are empty."""
-    union = F.size(F.array_union(left, right))
-    return F.when(union > 0, F.size(F.array_intersect(left, right)) / union)
-
-
 def number_list(numbers: Column) -> Column:
     """``"03,07"`` from string numbers: distinct, ascending, two digits."""
     return F.array_join(

@@ -11,7 +11,7 @@ from stringwatch.config import PersistentSettings
 from stringwatch.functions.arrays import median
 from stringwatch.functions.timegrid import local_date
 from stringwatch.operators import runs
-from stringwatch.operators.residuals import group_continuity
+from stringwatch.operators.residuals import continuity_of_sets, string_bit
 from stringwatch.operators.thresholds import ContextThresholds, fit_context_thresholds, with_context_threshold
 from stringwatch.schema import DEVICE_KEYS, POINT_KEYS, STRING_KEYS, require_columns
 from stringwatch.storage import stage
@@ -41,33 +41,28 @@ def group_deficits(points: DataFrame, settings: PersistentSettings) -> DataFrame
     member = valid & F.col("collective_group_member")
     lower = F.collect_list(F.when(member, F.col("residual_ratio")))
     upper = F.collect_list(F.when(valid & ~F.col("collective_group_member"), F.col("residual_ratio")))
-    # one device-time holds at most the channels of a device
-    levels = (
-        points.groupBy(*POINT_KEYS)
+    # one device-time holds at most the channels of a device; dealt out by device once, it is not moved again
+    groups = (
+        points.repartition(*DEVICE_KEYS)
+        .groupBy(*POINT_KEYS)
         .agg(
             F.count_if(valid).cast("int").alias("string_count"),
             F.count_if(member).cast("int").alias("group_size"),
             lower.alias("_lower"),
             upper.alias("_upper"),
+            *[F.bit_or(string_bit(F.col("string_no"), F.coalesce(member, F.lit(False)), i)).alias(f"_w{i}") for i in (0, 1)],
         )
-        .withColumn("_structural", (F.col("group_size") >= settings.minimum_group_strings)
+        .withColumn("_group", (F.col("group_size") >= settings.minimum_group_strings)
             & (F.col("group_size") <= F.col("string_count") * F.lit(settings.maximum_group_fraction))
             & (F.size("_upper") >= settings.minimum_upper_strings))
-        .withColumn("persistent_deficit", F.when(F.col("_structural"), 1 - median(F.col("_lower")) / median(F.col("_upper"))))
-        .select(*POINT_KEYS, "string_count", "group_size", "persistent_deficit")
+        .withColumn("persistent_deficit", F.when(F.col("_group"), 1 - median(F.col("_lower")) / median(F.col("_upper"))))
+        .withColumn("_group", F.col("persistent_deficit").isNotNull())
+        .drop("_lower", "_upper")
     )
     line = runs.Timeline(DEVICE_KEYS, "event_time", settings.interval_minutes)
-    marked = points.join(levels.select(*POINT_KEYS, "persistent_deficit"), list(POINT_KEYS), "left")
-    structural_member = F.col("persistent_deficit").isNotNull() & member
-    groups = group_continuity(
-        marked,
-        structural_member,
-        settings.minimum_group_strings,
-        settings.membership_overlap_threshold,
-        line,
-        "persistent",
-    ).withColumnRenamed("persistent_overlap", "persistent_membership_overlap")
-    joined = groups.join(levels, list(POINT_KEYS))
+    joined = continuity_of_sets(groups, settings.membership_overlap_threshold, line, "persistent").withColumnRenamed(
+        "persistent_overlap", "persistent_membership_overlap"
+    )
     recent = (
         Window.partitionBy(*DEVICE_KEYS).orderBy("event_time").rowsBetween(-(settings.minimum_consecutive - 1), 0)
     )
@@ -75,14 +70,19 @@ def group_deficits(points: DataFrame, settings: PersistentSettings) -> DataFrame
     return joined.withColumn(
         "persistent_window_median_deficit",
         F.when(complete, F.percentile("persistent_deficit", F.lit(0.5)).over(recent)),
-    ).drop("_members")
+    )
 
 
 def fit_persistent(
-    points: DataFrame, settings: PersistentSettings = PersistentSettings()
+    points: DataFrame, settings: PersistentSettings = PersistentSettings(), groups: DataFrame | None = None
 ) -> tuple[PersistentModel, dict[str, float]]:
-    """Deficit thresholds from window-complete groups, robustly capped."""
-    groups = stage(group_deficits(points, settings), "persistent-groups")
+    """Deficit thresholds from window-complete groups, robustly capped.
+
+    ``groups`` are the points' :func:`group_deficits`, staged, where they serve
+    the application too.
+    """
+    if groups is None:
+        groups = stage(group_deficits(points, settings), "persistent-groups")
     samples = groups.where(F.col("persistent_window_median_deficit").isNotNull()).select(
         *DEVICE_KEYS,
         "string_count",
@@ -112,7 +112,9 @@ def fit_persistent(
     return PersistentModel(settings, thresholds), report
 
 
-def apply_persistent(points: DataFrame, model: PersistentModel, strict_column: str = "hier_strict_alert") -> DataFrame:
+def apply_persistent(
+    points: DataFrame, model: PersistentModel, strict_column: str = "hier_strict_alert", groups: DataFrame | None = None
+) -> DataFrame:
     """Add the persistent branch beside an existing strict alert.
 
     The threshold is compared with the median of the window, not with each
@@ -120,7 +122,7 @@ def apply_persistent(points: DataFrame, model: PersistentModel, strict_column: s
     """
     settings = model.settings
     groups = with_context_threshold(
-        group_deficits(points, settings), model.thresholds, "persistent_threshold", "persistent_threshold_level", "string_count"
+        group_deficits(points, settings) if groups is None else groups, model.thresholds, "persistent_threshold", "persistent_threshold_level", "string_count"
     )
     raw = F.coalesce(F.col("persistent_deficit") >= F.col("persistent_threshold"), F.lit(False))
     confirmed = F.coalesce(

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stringwatch.config import ResidualSettings
-from stringwatch.functions.arrays import jaccard, let, median
+from stringwatch.functions.arrays import let, median
 from stringwatch.functions.gaps import largest_gap
 from stringwatch.functions.gates import absolute_drop, effect_gate, relative_drop
 from stringwatch.functions.lof import lof_scores
@@ -163,33 +163,71 @@ def add_raw_alerts(scored: DataFrame, settings: ResidualSettings) -> DataFrame:
 def group_continuity(
     points: DataFrame, member: Column, minimum_strings: int, overlap: float, line: runs.Timeline, prefix: str
 ) -> DataFrame:
-    """Per device-time: members, overlap with the previous set, streak.
+    """Per device-time: overlap of its members with the previous set, and streak."""
+    flag = F.coalesce(member, F.lit(False))
+    groups = points.groupBy(*POINT_KEYS).agg(*[F.bit_or(string_bit(F.col("string_no"), flag, i)).alias(f"_w{i}") for i in (0, 1)])
+    return continuity_of_sets(groups.withColumn("_group", F.bit_count("_w0") + F.bit_count("_w1") >= minimum_strings), overlap, line, prefix)
+
+
+def _overlap_of_sets(previous: str) -> Column:
+    """Members in both sets over members in one of them."""
+
+    def count(join: str) -> Column:
+        return sum((F.bit_count(getattr(F.col(f"_w{i}"), join)(F.col(f"{previous}_w{i}"))) for i in (0, 1)), F.lit(0))
+
+    return count("bitwiseAND") / count("bitwiseOR")
+
+
+def continuity_of_sets(groups: DataFrame, overlap: float, line: runs.Timeline, prefix: str) -> DataFrame:
+    """Overlap and streak of device-times whose members are bits in ``_w0`` and ``_w1``; ``_group`` tells which are groups.
 
     A group continues when the previous device-time lies one interval back, had
     a group, and the member sets overlap enough.
     """
-    groups = points.groupBy(*POINT_KEYS).agg(
-        F.array_sort(F.collect_set(F.when(member, F.col("string_no")))).alias("_members")
-    )
-    groups = groups.withColumn("_is_group", F.size("_members") >= minimum_strings)
-    groups = runs.with_previous(
-        groups,
-        line,
-        {
-            "_previous_time": F.col(line.time),
-            "_previous_members": F.col("_members"),
-            "_previous_group": F.col("_is_group"),
-        },
-    )
-    connected = F.col("_is_group") & runs.follows(line) & F.coalesce(F.col("_previous_group"), F.lit(False))
-    groups = groups.withColumn(
-        f"{prefix}_overlap", F.when(connected, jaccard(F.col("_members"), F.col("_previous_members")))
-    )
-    starts = F.col("_is_group") & ~F.coalesce(F.col(f"{prefix}_overlap") >= overlap, F.lit(False))
+    columns = {"_previous_time": F.col(line.time), "_previous_w0": F.col("_w0"), "_previous_w1": F.col("_w1"), "_previous_group": F.col("_group")}
+    groups = runs.with_previous(groups, line, columns)
+    connected = F.col("_group") & runs.follows(line) & F.coalesce(F.col("_previous_group"), F.lit(False))
+    groups = groups.withColumn(f"{prefix}_overlap", F.when(connected, _overlap_of_sets("_previous")))
+    starts = F.col("_group") & ~F.coalesce(F.col(f"{prefix}_overlap") >= overlap, F.lit(False))
     groups = runs.with_latest_time(groups, line, {"_start": starts})
     return groups.withColumn(
-        f"{prefix}_consecutive", F.when(F.col("_is_group"), runs.run_length(line, "_start")).otherwise(0)
-    ).drop("_previous_time", "_previous_members", "_previous_group", "_start", "_is_group")
+        f"{prefix}_consecutive", F.when(F.col("_group"), runs.run_length(line, "_start")).otherwise(0)
+    ).drop(*columns, "_start", "_group", "_w0", "_w1")
+
+
+def string_bit(string_no: Column, flag: Column, word: int) -> Column:
+    """The bit of a flagged string in one of two 64-bit words, which hold 128 strings."""
+    place = string_no.cast("int") - 1
+    inside = flag & (place >= 64 * word) & (place < 64 * (word + 1))
+    return F.when(inside, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))).otherwise(F.lit(0).cast("long"))
+
+
+def with_group_continuity(
+    points: DataFrame, member: Column, minimum_strings: int, overlap: float, line: runs.Timeline, prefix: str
+) -> DataFrame:
+    """As :func:`group_continuity`, but on the points themselves: each gets overlap and streak of its device-time.
+
+    The members of a device-time are two words of bits. Everything follows from
+    windows inside a device, so points dealt out by device are not moved again.
+    """
+    at = Window.partitionBy(*line.keys, line.time)
+    micros = F.unix_micros(line.time)
+    whole = Window.partitionBy(*line.keys).orderBy(micros)
+    earlier = whole.rangeBetween(Window.unboundedPreceding, -1)
+    upto = whole.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    flag = F.coalesce(member, F.lit(False))
+    result = points.withColumns({f"_w{i}": F.bit_or(string_bit(F.col("string_no"), flag, i)).over(at) for i in (0, 1)})
+    result = result.withColumn("_group", F.bit_count("_w0") + F.bit_count("_w1") >= minimum_strings)
+    result = result.withColumn("_previous", F.last(F.struct(F.col(line.time).alias("time"), "_w0", "_w1", "_group")).over(earlier))
+
+    follows = F.coalesce(micros - F.unix_micros("_previous.time") == line.interval_micros, F.lit(False))
+    connected = F.col("_group") & follows & F.coalesce(F.col("_previous._group"), F.lit(False))
+    result = result.withColumn(f"{prefix}_overlap", F.when(connected, _overlap_of_sets("_previous.")))
+    starts = F.col("_group") & ~F.coalesce(F.col(f"{prefix}_overlap") >= overlap, F.lit(False))
+    result = result.withColumn("_start", F.max(F.when(starts, F.col(line.time))).over(upto))
+    return result.withColumn(
+        f"{prefix}_consecutive", F.when(F.col("_group"), runs.run_length(line, "_start")).otherwise(0)
+    ).drop("_w0", "_w1", "_group", "_previous", "_start")
 
 
 def add_persistence(points: DataFrame, settings: ResidualSettings, chunk_minutes: int | None = None) -> DataFrame:
@@ -201,18 +239,15 @@ def add_persistence(points: DataFrame, settings: ResidualSettings, chunk_minutes
     device_line = runs.Timeline(DEVICE_KEYS, "event_time", settings.interval_minutes, chunk_minutes)
     string_line = runs.Timeline(STRING_KEYS, "event_time", settings.interval_minutes, chunk_minutes)
     isolated, member = F.col("isolated_raw_alert") == 1, F.col("collective_raw_alert") == 1
-    groups = group_continuity(
-        points,
-        member,
-        settings.minimum_collective_strings,
-        settings.collective_overlap_threshold,
-        device_line,
-        "collective",
-    ).withColumnRenamed("collective_consecutive", "collective_event_consecutive")
+    settled = (settings.minimum_collective_strings, settings.collective_overlap_threshold, device_line, "collective")
+    if chunk_minutes is None:
+        # one exchange: all that follows stays inside a device
+        result = with_group_continuity(points.repartition(*DEVICE_KEYS), member, *settled)
+    else:
+        result = points.join(group_continuity(points, member, *settled), list(POINT_KEYS), "left")
+    result = result.withColumnRenamed("collective_consecutive", "collective_event_consecutive")
     confirmed = F.col("collective_event_consecutive") >= settings.minimum_consecutive
-    result = points.join(groups.drop("_members"), list(POINT_KEYS), "left").withColumn(
-        "collective_event_alert", F.coalesce(confirmed, F.lit(False)).cast("int")
-    )
+    result = result.withColumn("collective_event_alert", F.coalesce(confirmed, F.lit(False)).cast("int"))
     result = runs.with_streak(result, string_line, isolated, "isolated_consecutive")
     result = runs.with_streak(result, string_line, isolated | member, "mixed_consecutive")
     single = F.col("isolated_consecutive") >= settings.minimum_consecutive

@@ -540,8 +540,9 @@ def persistent_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def persistent_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = scored_points(spark, sf_dir)
-    fitted, _ = persistent.fit_persistent(scored, PERSISTENT)
-    alerts = persistent.apply_persistent(scored, fitted)
+    groups = stage(persistent.group_deficits(scored, PERSISTENT), "persistent-groups")
+    fitted, _ = persistent.fit_persistent(scored, PERSISTENT, groups)
+    alerts = persistent.apply_persistent(scored, fitted, groups=groups)
     return alerts.select(
         *keys(), "string_no", *r6("persistent_threshold"), "persistent_threshold_level",
         "persistent_event_alert", "persistent_collective_member_alert",
@@ -562,8 +563,9 @@ select plant::varchar as plant_id, dev::varchar as device_no, cast(s as integer)
 )
 def persistent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = scored_points(spark, sf_dir)
-    fitted, _ = persistent.fit_persistent(scored, PERSISTENT)
-    events = persistent.persistent_events(persistent.apply_persistent(scored, fitted))
+    groups = stage(persistent.group_deficits(scored, PERSISTENT), "persistent-groups")
+    fitted, _ = persistent.fit_persistent(scored, PERSISTENT, groups)
+    events = persistent.persistent_events(persistent.apply_persistent(scored, fitted, groups=groups))
     return events.select(
         "plant_id", "device_no", "string_no", epoch("start_time", "start_epoch"), epoch("end_time", "end_epoch"), "points",
         *r6("maximum_deficit", "minimum_current"),

@@ -171,3 +171,25 @@ def test_asof_join_random(spark):
     for _, m, i in left:
         near = [v for _, x, v in right if x <= m and m - x <= 15]
         assert got[i] == (max(near) if near else None)
+
+
+def test_persistence_moves_points_once(spark):
+    """Groups as bits and streaks follow from windows inside a device: one exchange, and the rows of the joined way."""
+    rng, rows, start = random.Random(3), [], dt.datetime(2026, 6, 1)
+    for device in ("a", "b"):
+        minute = 0
+        for _ in range(120):
+            minute += rng.choice([5, 5, 5, 5, 10])
+            low = set(rng.sample([1, 2, 63, 64, 65, 99], rng.randint(0, 5)))
+            rows += [(start + dt.timedelta(minutes=minute), "p", device, s, int(rng.random() < 0.2), int(s in low)) for s in (1, 2, 63, 64, 65, 99)]
+    schema = "event_time timestamp, plant_id string, device_no string, string_no int, isolated_raw_alert int, collective_raw_alert int"
+    points = spark.createDataFrame(rows, schema)
+    settings = ResidualSettings(minimum_consecutive=2, collective_overlap_threshold=0.5)
+    once = res.add_persistence(points, settings)
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    joined = res.add_persistence(points, settings, chunk_minutes=60)
+    columns = ["plant_id", "device_no", "string_no", "event_time", "collective_overlap", "collective_event_consecutive", "residual_alert", "alert_reason"]
+    order = ["device_no", "event_time", "string_no"]
+    got, want = once.select(columns).orderBy(order).collect(), joined.select(columns).orderBy(order).collect()
+    assert got == want and any(r.alert_reason == "collective" for r in got)
