@@ -14,10 +14,11 @@ from stringwatch.plans.driver_views import (
     epoch,
     raw_alarm_table,
     station_table,
+    table,
 )
 from stringwatch.plans.registry import query
 from stringwatch.plans.string_queries import SETTINGS, SQL_SCORES
-from stringwatch.sources import sinks
+from stringwatch.sources import alarm_files, sinks
 from stringwatch.storage import stage, staging_path
 
 TZ = "Asia/Shanghai"
@@ -71,6 +72,27 @@ def alarm_label_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alarms.with_label_scope(alarm_events(spark, sf_dir)).select("alarm_event_id", "label_scope", "string_no")
 
 
+@query(
+    "alarm_files_of_manifest",
+    f"""with {SQL_A} select cast(id as varchar) as alarm_event_id, code as alarm_code, 'station-' || cast(st_plant as varchar) as station_name,
+ cast(dev as varchar) as device_no, rt as raise_epoch, et as end_epoch, case when len(strings) > 0 then 'string' else 'device' end as label_scope,
+ cast(s as integer) as string_no
+ from (select * from al where code in ('101001', '101002') and dev in (select s_suppkey from supplier)) left join lateral (select unnest(strings) as s) on true""",
+)
+def alarm_files_of_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alarms written as CSV files with a byte-order mark and read again, for the devices that a manifest lists."""
+    path, raw = staging_path(spark, "alarm-files"), raw_alarm_table(spark, sf_dir)
+    raw.withColumnRenamed("id", "\ufeffid").write.option("header", "true").csv(path)
+    plant = F.floor(F.col("s_suppkey") / 10).cast("string")
+    manifest = table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("station-"), plant).alias("station_name"), F.col("s_suppkey").cast("string").alias("device_no")
+    )
+    return alarm_files.read_alarm_events(spark, path, manifest).select(
+        "alarm_event_id", "alarm_code", "station_name", "device_no", epoch("raise_time", "raise_epoch"),
+        epoch("end_time", "end_epoch"), "label_scope", "string_no",
+    )
+
+
 SQL_GRID = (
     SQL_A
     + """,

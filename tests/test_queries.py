@@ -50,4 +50,20 @@ def test_registry_is_consistent():
 
 def test_entry_and_complete_detection(spark):
     assert driver.entry(spark).columns[:3] == ["plant_id", "device_no", "string_no"]
-    assert driver.queries()["detected_events"](spark, SMALLEST).count() >= 0
+    events = driver.queries()["detected_events"](spark, SMALLEST).orderBy("plant_id", "device_no", "string_no", "start_epoch").collect()
+    assert events
+    for event in events:
+        assert event.end_epoch - event.start_epoch == 300 * (event.points - 1)
+        assert 0 < event.alert_points <= event.points and 0 <= event.reactivated_points <= event.points
+    for one, two in zip(events, events[1:]):
+        if one[:3] == two[:3]:  # events of a string neither touch nor overlap
+            assert two.start_epoch > one.end_epoch + 300
+
+
+def test_power_model_is_about_as_good_as_the_mean(spark):
+    """The derived targets have no trend, so a sound fit is close to the mean of all rows; a broken one is not."""
+    rows = driver.queries()["power_model_predictions"](spark, SMALLEST).collect()
+    assert rows and all(r.predicted_power == r.predicted_power for r in rows)
+    mean = sum(r.target_active_power for r in rows) / len(rows)
+    squared = sum((r.target_active_power - r.predicted_power) ** 2 for r in rows)
+    assert squared <= 1.15 * sum((r.target_active_power - mean) ** 2 for r in rows)
