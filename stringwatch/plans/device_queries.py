@@ -526,6 +526,31 @@ def residual_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "residual_audit_by_day",
+    f"""with {SQL_PEERS},
+ra as (
+  select plant, dev, strftime(to_timestamp(epoch + 28800)::timestamp, '%Y-%m-%d') as day, abs(target - phys) as e, abs(target - base) as b from bp where target is not null)
+select cast(plant as varchar) as plant_id, cast(dev as varchar) as device_no, day as local_date, count(*) as samples, round(avg(e), 4) as model_mae,
+ round(avg(b), 4) as baseline_mae, round(avg(e - b), 4) as mae_delta, round(avg((round(e, 9) < round(b, 9))::int), 4) as win_rate
+from ra group by grouping sets ((plant, dev), (day), ())""",
+)
+def residual_audit_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By device of its plant, and by local date."""
+    rows = peer_rows(spark, sf_dir).where(F.col("target_active_power").isNotNull())
+    rows = rows.select(
+        "plant_id", "device_no",
+        local_date("event_time", TZ).cast("string").alias("local_date"),
+        F.round(F.abs("peer_physical_residual"), 9).alias("absolute_error"),
+        F.round(F.abs("baseline_residual"), 9).alias("baseline_absolute_error"),
+    )
+    audit = training.residual_audit(rows, (("plant_id", "device_no"), ("local_date",), ()))
+    return audit.select(
+        "plant_id", "device_no", "local_date", "samples",
+        *[F.round(c, 4).alias(c) for c in ("model_mae", "baseline_mae", "mae_delta", "win_rate")],
+    )
+
+
 @query(
     "training_audit",
     f"""with {SQL_TRAINING},{SQL_WEATHER},

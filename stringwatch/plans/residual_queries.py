@@ -11,6 +11,7 @@ from stringwatch.config import (
     PersistentSettings,
     ResidualSettings,
     WeatherSettings,
+    derive_persistence,
 )
 from stringwatch.functions.arrays import number_list
 from stringwatch.functions.gates import effect_gate
@@ -18,7 +19,8 @@ from stringwatch.operators import irradiance, memory, persistent, residuals, thr
 from stringwatch.plans import detection
 from stringwatch.plans.driver_views import SQL_VIEWS, SQL_WEATHER, device_table, epoch, weather_table
 from stringwatch.plans.registry import query
-from stringwatch.storage import stage
+from stringwatch.sources import sinks
+from stringwatch.storage import stage, staging_path
 
 KEYS_SQL = "cast(plant as varchar) as plant_id, cast(dev as varchar) as device_no, epoch as event_epoch"
 SETTINGS = ResidualSettings(
@@ -275,6 +277,27 @@ def residual_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SQL_PERSIST_THREE = SQL_PERSIST
+for _point in ("dt5.cons >= {} as cev", "iso_n >= {} as si", "mix_n >= {} as sm"):
+    SQL_PERSIST_THREE = SQL_PERSIST_THREE.replace(_point.format(2), _point.format(3))
+
+
+@query(
+    "derived_persistence_alerts",
+    f"""with {SQL_PERSIST_THREE} select {KEYS_SQL}, cast(s as integer) as string_no, cast(cev as integer) as collective_event_alert,
+ cast(si or sg or sm as integer) as residual_alert from p3""",
+)
+def derived_persistence_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored calibration derived to one more confirming point; scores stay as they are."""
+    path = staging_path(spark, "calibration")
+    sinks.save_model(spark, f"{path}/residual", SETTINGS)
+    sinks.save_model(spark, f"{path}/hierarchy", HIERARCHY)
+    base = sinks.load_settings(spark, f"{path}/residual", ResidualSettings)
+    derived, _ = derive_persistence(base, sinks.load_settings(spark, f"{path}/hierarchy", HierarchySettings), 3, "three-points", "three-points")
+    alerts = residuals.add_persistence(scored_points(spark, sf_dir), derived)
+    return alerts.select(*keys(), "string_no", "collective_event_alert", "residual_alert")
+
+
 @query(
     "residual_thresholds",
     f"""with {SQL_SCALE} select
