@@ -78,6 +78,11 @@ class Scratch:
     def stage(self, frame: DataFrame, name: str = "table", codec: str | None = None) -> DataFrame:
         return stage(frame, name, self.path(name), codec)
 
+    def release(self, path: str) -> None:
+        """Delete a table before the others, once nothing that is still to be written reads it."""
+        remove(self.spark, path)
+        self.paths.remove(path)
+
     def drop(self, *keep: str) -> None:
         for path in self.paths:
             if path not in keep:
